@@ -197,3 +197,50 @@ def with_layers(body: str, layers: str = "base") -> str:
     if layers == "base":
         ctes += base_ctes()
     return "WITH " + ",\n".join(ctes) + "\n" + body
+
+
+# ---------------------------------------------------------------------------
+# Statistical tests
+# ---------------------------------------------------------------------------
+
+def chi_square_sql(test: str, finding: str, grp: str, label1: str, label2: str, v1, v2,
+                   event: str = "led_to_30day_readmission", crit: float = C.CHI2_CRITICAL_DOF1) -> str:
+    """One chi-square test (Yates when dof = 1) as a scalar-row subquery."""
+    rate = lambda v: (f"(SELECT {round_ratio('CAST(ev AS BIGINT) * 100', 'tot')} FROM rt_ "
+                      f"WHERE r = '{v}')")
+    return f"""SELECT * FROM (
+WITH o_ AS (SELECT CAST({grp} AS VARCHAR) AS r, {event} AS c, COUNT(*) AS n FROM base GROUP BY 1, 2),
+g_ AS (SELECT rr.r, cc.c, COALESCE(o_.n, 0) AS n FROM (SELECT DISTINCT r FROM o_) rr
+       CROSS JOIN (SELECT DISTINCT c FROM o_) cc LEFT JOIN o_ ON o_.r = rr.r AND o_.c = cc.c),
+m_ AS (SELECT *, SUM(n) OVER () AS n_all, SUM(n) OVER (PARTITION BY r) AS n_r,
+       SUM(n) OVER (PARTITION BY c) AS n_c, (SELECT COUNT(DISTINCT r) FROM g_) AS k_r,
+       (SELECT COUNT(DISTINCT c) FROM g_) AS k_c FROM g_),
+e_ AS (SELECT *, CAST(n_r AS DOUBLE) * n_c / n_all AS ex, (k_r - 1) * (k_c - 1) AS dof FROM m_),
+d_ AS (SELECT *, CASE WHEN dof = 1 THEN GREATEST(ABS(n - ex) - 0.5, 0.0) ELSE ABS(n - ex) END AS dev FROM e_),
+s_ AS (SELECT CAST(MAX(n_all) AS BIGINT) AS n, CAST(MAX(dof) AS INTEGER) AS dof,
+       ROUND(SUM(dev * dev / ex), 6) AS chi2 FROM d_),
+rt_ AS (SELECT r, SUM(CASE WHEN c = 1 THEN n ELSE 0 END) AS ev, SUM(n) AS tot FROM g_ GROUP BY r)
+SELECT '{test}' AS test, '{finding}' AS finding, n, dof, chi2, chi2 > {crit} AS significant,
+       '{label1}' AS group1, {rate(v1)} AS rate1, '{label2}' AS group2, {rate(v2)} AS rate2 FROM s_) t_{test}"""
+
+
+def mann_whitney_sql(test: str, finding: str, value: str, reason: str,
+                     event: str = "led_to_30day_readmission",
+                     zcrit: float = C.Z_CRITICAL_TWO_SIDED) -> str:
+    return f"""SELECT * FROM (
+WITH f_ AS (SELECT CAST({value} AS DOUBLE) AS v, SUM(CASE WHEN {event} = 1 THEN 1 ELSE 0 END) AS n1,
+       SUM(CASE WHEN {event} = 1 THEN 0 ELSE 1 END) AS n0 FROM base
+       WHERE {value} IS NOT NULL AND {event} IS NOT NULL GROUP BY 1),
+r_ AS (SELECT *, n1 + n0 AS n, COALESCE(SUM(n1 + n0) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING
+       AND 1 PRECEDING), 0) AS below FROM f_),
+a_ AS (SELECT CAST(SUM(n1) AS DOUBLE) AS n1, CAST(SUM(n0) AS DOUBLE) AS n0,
+       SUM(n1 * (below + (n + 1) / 2.0)) AS r1, CAST(SUM(n * n * n - n) AS BIGINT) AS tie_term FROM r_),
+md_ AS (SELECT quantile_cont(CASE WHEN {event} = 1 THEN CAST({value} AS DOUBLE) END, 0.5) AS median1,
+        quantile_cont(CASE WHEN {event} = 0 THEN CAST({value} AS DOUBLE) END, 0.5) AS median0 FROM base),
+u_ AS (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u1 FROM a_),
+z_ AS (SELECT *, n1 * n0 - u1 AS u2 FROM u_),
+zz_ AS (SELECT *, ROUND((GREATEST(u1, u2) - n1 * n0 / 2.0 - 0.5) / SQRT(n1 * n0 / 12.0 *
+        ((n1 + n0 + 1) - tie_term / ((n1 + n0) * ((n1 + n0) - 1)))), 6) AS z FROM z_)
+SELECT '{test}' AS test, '{finding}' AS finding, '{reason}' AS reason, CAST(n1 AS BIGINT) AS n1,
+       CAST(n0 AS BIGINT) AS n0, u1, u2, tie_term, median1, median0, z, ABS(z) > {zcrit} AS significant
+FROM zz_ CROSS JOIN md_) t_{test}"""

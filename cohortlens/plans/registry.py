@@ -254,3 +254,23 @@ register("d7_age_prior_matrix", O.with_layers(
     "SELECT age, " + ", ".join(
         f"{O.round_ratio(f'CAST(SUM(CASE WHEN {_BAND_CASE} = {chr(39)}{b}{chr(39)} THEN {EV} END) AS BIGINT) * 100', f'COUNT(CASE WHEN {_BAND_CASE} = {chr(39)}{b}{chr(39)} THEN 1 END)')} AS {O.q(b)}"
         for b in _BANDS) + " FROM base GROUP BY age"))(on_base(E.age_by_prior_inpatient_matrix))
+
+# ---------------------------------------------------------------- H ------
+
+from . import battery as B  # noqa: E402
+
+
+def _grp_sql(spec) -> str:
+    return {"T1": "is_repeat_patient", "T2": "polypharmacy_flag", "T5": "gender",
+            "T6": "CASE WHEN \"A1Cresult\" IS DISTINCT FROM 'None' THEN 1 ELSE 0 END",
+            "T7": "change"}[spec.test]
+
+
+register("h1_chi_square_tests", O.with_layers(" UNION ALL ".join(
+    O.chi_square_sql(s.test, s.finding, _grp_sql(s), s.label1, s.label2, s.value1, s.value2)
+    for s in B.CHI_SPECS)))(on_base(B.chi_square_tests))
+register("h2_mann_whitney_tests", O.with_layers(" UNION ALL ".join(
+    O.mann_whitney_sql(s.test, s.finding, s.value, s.reason) for s in B.RANK_SPECS)))(
+    on_base(B.rank_tests))
+# p-values need erfc / the chi-square tail: checked on rows only.
+register("h5_test_battery")(on_base(B.battery))
