@@ -46,12 +46,12 @@ def add_test_flags(df: DataFrame, a1c_col: str = "A1Cresult", target: str = "rea
     })
 
 
-def feature_summary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(feature, min, max, mean) in one aggregate pass."""
+def feature_summary(df: DataFrame, cols: Sequence[str], digits: int | None = 6) -> DataFrame:
+    """(feature, min, max, mean) in one aggregate pass; mean rounded to ``digits``."""
     aggs = []
     for c in cols:
         aggs += [F.min(c).cast("double").alias(f"{c}__min"), F.max(c).cast("double").alias(f"{c}__max"),
-                 F.avg(c).alias(f"{c}__mean")]
+                 (F.round(F.avg(c), digits) if digits is not None else F.avg(c)).alias(f"{c}__mean")]
     one = df.agg(*aggs)
     rows = [F.struct(F.lit(c).alias("feature"), F.col(f"{c}__min").alias("min"),
                      F.col(f"{c}__max").alias("max"), F.col(f"{c}__mean").alias("mean"))

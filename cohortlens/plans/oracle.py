@@ -103,7 +103,7 @@ def raw_ctes() -> list[str]:
         "LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey)",
         "src_ AS (SELECT * FROM o2_ LEFT JOIN li_ ON l_orderkey = k LEFT JOIN cu_ ON c_custkey = p)",
         f"raw1_ AS (SELECT {rows} FROM src_)",
-        f"raw_ AS (SELECT * FROM raw1_ UNION ALL SELECT * FROM raw1_ "
+        f"raw_ AS MATERIALIZED (SELECT * FROM raw1_ UNION ALL SELECT * FROM raw1_ "
         f"WHERE encounter_id % {DUPLICATE_EVERY} = 0)",
     ]
 
@@ -164,7 +164,7 @@ def clean_ctes() -> list[str]:
         f"fence_ AS (SELECT {fences} FROM qs_)",
         f"c9a_ AS (SELECT {', '.join(q(c) for c in keep)}, {flags} FROM c67_ CROSS JOIN fence_)",
         f"c9_ AS (SELECT *, CASE WHEN {any_flag} > 0 THEN 1 ELSE 0 END AS any_outlier_flag FROM c9a_)",
-        f"clean AS (SELECT *, {active} AS num_active_medications, "
+        f"clean AS MATERIALIZED (SELECT *, {active} AS num_active_medications, "
         f"CASE WHEN {change} THEN 1 ELSE 0 END AS any_medication_change, "
         f"{age_mid} AS age_midpoint, "
         f"number_outpatient + number_emergency + number_inpatient AS total_prior_visits, "
@@ -182,7 +182,7 @@ def base_ctes() -> list[str]:
         "AS encounter_seq, COUNT(*) OVER (PARTITION BY patient_nbr) AS patient_total_encounters, "
         "LAG(encounter_id) OVER (PARTITION BY patient_nbr ORDER BY encounter_id) AS prior_encounter_id "
         "FROM valid_)",
-        "base AS (SELECT *, CASE WHEN readmitted = '<30' THEN 1 ELSE 0 END AS led_to_30day_readmission, "
+        "base AS MATERIALIZED (SELECT *, CASE WHEN readmitted = '<30' THEN 1 ELSE 0 END AS led_to_30day_readmission, "
         "CASE WHEN readmitted IN ('<30', '>30') THEN 1 ELSE 0 END AS led_to_any_readmission, "
         "CASE WHEN prior_encounter_id IS NOT NULL THEN 1 ELSE 0 END AS is_itself_a_readmission, "
         "CASE WHEN prior_encounter_id IS NULL THEN 1 ELSE 0 END AS is_first_encounter, "
@@ -244,3 +244,24 @@ zz_ AS (SELECT *, ROUND((GREATEST(u1, u2) - n1 * n0 / 2.0 - 0.5) / SQRT(n1 * n0
 SELECT '{test}' AS test, '{finding}' AS finding, '{reason}' AS reason, CAST(n1 AS BIGINT) AS n1,
        CAST(n0 AS BIGINT) AS n0, u1, u2, tie_term, median1, median0, z, ABS(z) > {zcrit} AS significant
 FROM zz_ CROSS JOIN md_) t_{test}"""
+
+
+# ---------------------------------------------------------------------------
+# Column inventories of the layers (for per-column report SQL)
+# ---------------------------------------------------------------------------
+
+def raw_types() -> dict[str, str]:
+    from ..sources.adapter import raw_schema
+    return {f.name: f.dataType.simpleString() for f in raw_schema().fields}
+
+
+AFTER3 = RAW_COLS + ["duplicate_flag", "weight_available", "diag_1_missing_flag"]
+CLEAN_COLS = ([C.snake(c) for c in AFTER3] + ["gender_invalid_flag", "expired_or_hospice_flag"]
+              + [f"{c}_outlier_flag" for c in C.NUMERIC_COLS] + ["any_outlier_flag"]
+              + ["num_active_medications", "any_medication_change", "age_midpoint",
+                 "total_prior_visits", "polypharmacy_flag"])
+CLEAN_STRINGS = [C.snake(c) for c in STRING_RAW]
+
+
+def union_all(parts: list[str]) -> str:
+    return " UNION ALL ".join(f"({p})" for p in parts)

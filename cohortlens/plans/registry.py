@@ -205,14 +205,7 @@ def _hund(x: str) -> str:
     return _H.format(x=x)
 
 
-register("d1_gender_vs_baseline", O.with_layers(
-    f"SELECT g.*, ov.baseline_rate, "
-    f"CAST({_hund('g.readmission_rate_pct')} - {_hund('ov.baseline_rate')} AS DOUBLE) / 100 AS gap_pts, "
-    f"{O.round_ratio(f'({_hund(chr(103) + '.readmission_rate_pct')} - {_hund('ov.baseline_rate')}) * 100', _hund('ov.baseline_rate'))} AS relative_pct, "
-    f"CASE WHEN g.readmission_rate_pct > ov.baseline_rate THEN 'Above' WHEN g.readmission_rate_pct < ov.baseline_rate "
-    f"THEN 'Below' ELSE 'Equal' END AS vs_baseline "
-    f"FROM (SELECT gender, {_rate3()} FROM base GROUP BY gender) g CROSS JOIN {_OVERALL} ov"))(
-    on_base(lambda b: E.segments_vs_baseline(b, "gender")))
+register("d1_gender_vs_baseline")(on_base(lambda b: E.segments_vs_baseline(b, "gender")))
 
 register("d2_relative_risk", O.with_layers(
     "SELECT " + ", ".join([
@@ -250,10 +243,16 @@ register("d6_rows_per_entity", O.with_layers(
 
 _BANDS = [lab for _, lab in C.PRIOR_INPATIENT_BANDS] + [C.PRIOR_INPATIENT_REST]
 _BAND_CASE = O.exact_band_case("number_inpatient", C.PRIOR_INPATIENT_BANDS, C.PRIOR_INPATIENT_REST)
+def _band_rate(band: str) -> str:
+    match = f"{_BAND_CASE} = '{band}'"
+    events = f"CAST(SUM(CASE WHEN {match} THEN {EV} END) AS BIGINT) * 100"
+    rows = f"COUNT(CASE WHEN {match} THEN 1 END)"
+    return f"{O.round_ratio(events, rows)} AS {O.q(band)}"
+
+
 register("d7_age_prior_matrix", O.with_layers(
-    "SELECT age, " + ", ".join(
-        f"{O.round_ratio(f'CAST(SUM(CASE WHEN {_BAND_CASE} = {chr(39)}{b}{chr(39)} THEN {EV} END) AS BIGINT) * 100', f'COUNT(CASE WHEN {_BAND_CASE} = {chr(39)}{b}{chr(39)} THEN 1 END)')} AS {O.q(b)}"
-        for b in _BANDS) + " FROM base GROUP BY age"))(on_base(E.age_by_prior_inpatient_matrix))
+    "SELECT age, " + ", ".join(_band_rate(b) for b in _BANDS) + " FROM base GROUP BY age"))(
+    on_base(E.age_by_prior_inpatient_matrix))
 
 # ---------------------------------------------------------------- H ------
 
@@ -274,3 +273,258 @@ register("h2_mann_whitney_tests", O.with_layers(" UNION ALL ".join(
     on_base(B.rank_tests))
 # p-values need erfc / the chi-square tail: checked on rows only.
 register("h5_test_battery")(on_base(B.battery))
+
+# ------------------------------------------------------ quality family ----
+
+from . import quality as Q  # noqa: E402
+
+_RT = O.raw_types()
+_q = O.q
+_rr = O.round_ratio
+
+
+def _q1_sql() -> str:
+    parts = [f"SELECT '{c}' AS \"column\", '{t}' AS dtype, COUNT({_q(c)}) AS non_null, "
+             f"COUNT(*) - COUNT({_q(c)}) AS null_count, "
+             f"{_rr(f'(COUNT(*) - COUNT({_q(c)})) * 100', 'COUNT(*)')} AS null_pct, "
+             f"COUNT(DISTINCT CAST({_q(c)} AS VARCHAR)) AS \"unique\", "
+             f"COALESCE(CAST(MIN({_q(c)}) AS VARCHAR), 'ALL NULL') AS sample_value FROM raw_"
+             for c, t in _RT.items()]
+    return O.with_layers(O.union_all(parts), "raw")
+
+
+def _q2_body() -> str:
+    def one(c: str) -> str:
+        hits = f"COUNT_IF({_q(c)} = '?')"
+        return (f"SELECT '{c}' AS \"column\", CAST({hits} AS BIGINT) AS sentinel_count, "
+                f"{_rr(hits + ' * 100', 'COUNT(*)')} AS sentinel_pct FROM raw_")
+    return f"SELECT * FROM ({O.union_all([one(c) for c in O.STRING_RAW])}) s WHERE sentinel_count > 0"
+
+
+def _topn_sql(cols, n: int, table: str = "raw_") -> str:
+    parts = [f"SELECT '{c}' AS \"column\", CAST({_q(c)} AS VARCHAR) AS value, COUNT(*) AS count "
+             f"FROM {table} GROUP BY 2" for c in cols]
+    ranked = (f"SELECT *, ROW_NUMBER() OVER (PARTITION BY \"column\" ORDER BY count DESC, value ASC NULLS LAST) "
+              f"AS rk FROM ({O.union_all(parts)}) u")
+    return (f"SELECT \"column\", value, count, {_rr('count * 100', f'(SELECT COUNT(*) FROM {table})')} AS pct "
+            f"FROM ({ranked}) r WHERE rk <= {n}")
+
+
+def _q4_sql() -> str:
+    parts = []
+    for c in C.NUMERIC_COLS:
+        x = f"CAST({_q(c)} AS DOUBLE)"
+        parts.append(
+            f"SELECT '{c}' AS \"column\", COUNT({x}) AS \"count\", MIN({x}) AS \"min\", MAX({x}) AS \"max\", "
+            f"ROUND(AVG({x}), 6) AS mean, quantile_cont({x}, 0.5) AS median, ROUND(stddev_samp({x}), 6) AS std, "
+            f"quantile_cont({x}, 0.25) AS q1, quantile_cont({x}, 0.75) AS q3, ROUND(skewness({x}), 6) AS skew, "
+            f"quantile_cont({x}, 0.75) - quantile_cont({x}, 0.25) AS iqr, MAX({x}) - MIN({x}) AS \"range\" "
+            f"FROM raw_")
+    return O.with_layers(O.union_all(parts), "raw")
+
+
+register("q1_structure_profile", _q1_sql())(Q.q1)
+register("q2_sentinel_report", O.with_layers(_q2_body(), "raw"))(Q.q2)
+register("q3_cardinality_top10", O.with_layers(_topn_sql(C.CATEGORICAL_COLS, 10), "raw"))(Q.q3)
+register("q4_numeric_profile", _q4_sql())(Q.q4)
+register("q5_class_balance", O.with_layers(
+    "SELECT readmitted, count, percentage, "
+    f"{_rr('MAX(h) OVER ()', 'MIN(h) OVER ()', 1)} AS imbalance_ratio FROM ("
+    "SELECT *, CAST(ROUND(percentage * 100) AS BIGINT) AS h FROM ("
+    f"SELECT readmitted, count, {_rr('count * 100', 'SUM(count) OVER ()')} AS percentage FROM ("
+    "SELECT readmitted, COUNT(*) AS count FROM clean WHERE readmitted IS NOT NULL GROUP BY 1) a) b) c",
+    "clean"))(Q.q5)
+register("q6_weight_drilldown", O.with_layers(
+    "SELECT 'weight' AS \"column\", 'string' AS dtype, t.total_rows, v.value, v.count, t.equality_hits, "
+    "t.regex_hits FROM (" + _topn_sql(["weight"], 5) + ") v CROSS JOIN (SELECT COUNT(*) AS total_rows, "
+    "COUNT_IF(weight = '?') AS equality_hits, COUNT_IF(regexp_matches(weight, '^\\?$')) AS regex_hits "
+    "FROM raw_) t", "raw"))(Q.q6)
+
+register("c1_sentinel_replacement", O.with_layers(
+    f"SELECT COUNT(*) AS columns_with_sentinel, CAST(SUM(sentinel_count) AS BIGINT) AS values_replaced "
+    f"FROM ({_q2_body()}) q", "raw"))(Q.c1)
+register("c2_duplicates", O.with_layers(
+    "SELECT rows_before, rows_after, rows_before - rows_after AS duplicates_removed, pk_conflict_rows FROM "
+    "(SELECT (SELECT COUNT(*) FROM raw_) AS rows_before, (SELECT COUNT(*) FROM c2f_) AS rows_after, "
+    "(SELECT CAST(SUM(duplicate_flag) AS BIGINT) FROM c2f_) AS pk_conflict_rows) s", "clean"))(Q.c2)
+register("a22_entity_frequency", O.with_layers(
+    "SELECT COUNT_IF(n > 1) AS entities_with_repeats, MAX(n) AS max_rows_per_entity FROM "
+    "(SELECT patient_nbr, COUNT(*) AS n FROM c2f_ GROUP BY 1) s", "clean"))(Q.a22)
+register("c3_remaining_nulls", O.with_layers(
+    "SELECT * FROM (" + O.union_all([
+        f"SELECT '{c}' AS \"column\", COUNT(*) - COUNT({_q(c)}) AS null_count, "
+        f"{_rr(f'(COUNT(*) - COUNT({_q(c)})) * 100', 'COUNT(*)')} AS null_pct FROM clean"
+        for c in O.CLEAN_COLS]) + ") s WHERE null_count > 0", "clean"))(Q.c3)
+register("c4_coercion_report", O.with_layers(O.union_all([
+    f"SELECT '{c}' AS \"column\", COUNT_IF(TRY_CAST(CAST({c} AS VARCHAR) AS INTEGER) IS NULL) AS nulls_after, "
+    f"COUNT_IF({c} IS NOT NULL AND TRY_CAST(CAST({c} AS VARCHAR) AS INTEGER) IS NULL) AS coercion_nulls FROM c3_"
+    for c in C.NUMERIC_COLS]), "clean"))(Q.c4)
+register("c5_vocabulary", O.with_layers(O.union_all([
+    f"SELECT DISTINCT '{c}' AS \"column\", CAST({_q(c)} AS VARCHAR) AS value FROM clean WHERE {_q(c)} IS NOT NULL"
+    for c in Q.VOCAB_COLS]), "clean"))(Q.c5)
+register("c6_c7_exclusion_flags", O.with_layers(
+    "SELECT CAST(SUM(gender_invalid_flag) AS BIGINT) AS gender_invalid, "
+    "CAST(SUM(expired_or_hospice_flag) AS BIGINT) AS expired_or_hospice, COUNT(*) AS \"rows\" FROM clean",
+    "clean"))(Q.c67)
+_VALID_MED = ", ".join(f"'{v}'" for v in C.VALID_MED_VALUES)
+register("c8_medication_validation", O.with_layers(O.union_all([
+    f"SELECT '{m}' AS \"column\", CAST({_q(m)} AS VARCHAR) AS value, COUNT(*) AS \"rows\" FROM clean "
+    f"WHERE {_q(m)} IS NOT NULL AND {_q(m)} NOT IN ({_VALID_MED}) GROUP BY 2"
+    for m in C.ENCOUNTERS.medication_cols_clean]), "clean"))(Q.c8)
+register("c9_outlier_report", O.with_layers(O.union_all([
+    f"SELECT '{c}' AS \"column\", ROUND((SELECT {c}__lo FROM fence_), 2) AS lower_bound, "
+    f"ROUND((SELECT {c}__hi FROM fence_), 2) AS upper_bound, "
+    f"CAST(SUM({c}_outlier_flag) AS BIGINT) AS outlier_count, "
+    f"{_rr(f'CAST(SUM({c}_outlier_flag) AS BIGINT) * 100', 'COUNT(*)')} AS outlier_pct FROM c9_"
+    for c in C.NUMERIC_COLS]), "clean"))(Q.c9)
+register("c9_any_outlier", O.with_layers(
+    "SELECT CAST(SUM(any_outlier_flag) AS BIGINT) AS rows_with_outlier, COUNT(*) AS \"rows\", "
+    f"{_rr('CAST(SUM(any_outlier_flag) AS BIGINT) * 100', 'COUNT(*)')} AS outlier_row_pct FROM clean",
+    "clean"))(Q.c9_any)
+register("f6_feature_summary", O.with_layers(O.union_all([
+    f"SELECT '{f}' AS feature, CAST(MIN({f}) AS DOUBLE) AS \"min\", CAST(MAX({f}) AS DOUBLE) AS \"max\", "
+    f"ROUND(AVG({f}), 6) AS mean FROM clean" for f in Q.FEATURES]), "clean"))(Q.f6)
+
+
+def _a21_sql() -> str:
+    cols = list(Q.CORR_COLS)
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
+    cc = ", ".join(f"corr(CAST({cols[i]} AS DOUBLE), CAST({cols[j]} AS DOUBLE)) AS r{i}_{j}" for i, j in pairs)
+    parts = []
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols):
+            r = "1.0" if i == j else f"ROUND(r{min(i, j)}_{max(i, j)}, 6)"
+            parts.append(f"SELECT '{a}' AS col_a, '{b}' AS col_b, CAST({r} AS DOUBLE) AS r FROM cc_")
+    return O.with_layers(f"SELECT * FROM (WITH cc_ AS (SELECT {cc} FROM clean) {O.union_all(parts)}) z", "clean")
+
+
+def _g1_sql() -> str:
+    parts = []
+    for c in C.NUMERIC_COLS:
+        x = f"CAST({c} AS DOUBLE)"
+        parts.append(
+            f"SELECT '{c}' AS \"column\", q.grp AS readmitted, n, q1, median, q3, q3 - q1 AS iqr, "
+            f"MIN(CASE WHEN v >= q1 - 1.5 * (q3 - q1) THEN v END) AS whisker_low, "
+            f"MAX(CASE WHEN v <= q3 + 1.5 * (q3 - q1) THEN v END) AS whisker_high, "
+            f"CAST(SUM(CASE WHEN v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1) THEN 1 ELSE 0 END) "
+            f"AS BIGINT) AS fliers FROM (SELECT CAST(readmitted AS VARCHAR) AS grp, COUNT({x}) AS n, "
+            f"quantile_cont({x}, 0.25) AS q1, quantile_cont({x}, 0.5) AS median, quantile_cont({x}, 0.75) AS q3 "
+            f"FROM clean WHERE {x} IS NOT NULL GROUP BY 1) q JOIN (SELECT CAST(readmitted AS VARCHAR) AS grp, "
+            f"{x} AS v FROM clean WHERE {x} IS NOT NULL) d ON d.grp = q.grp GROUP BY q.grp, n, q1, median, q3")
+    return O.with_layers(O.union_all(parts), "clean")
+
+
+def _g4_sql(col: str = "num_active_medications", bins: int = 20) -> str:
+    def edge(i):
+        return f"(CASE WHEN ({i}) >= {bins} THEN le ELSE ({i}) * step + fe END)"
+    return O.with_layers(f"""SELECT grp AS readmitted, k3 AS bin, k3 * step + fe AS bin_low,
+CASE WHEN k3 + 1 >= {bins} THEN le ELSE (k3 + 1) * step + fe END AS bin_high, COUNT(*) AS count FROM (
+SELECT *, CASE WHEN v >= {edge('k2 + 1')} AND k2 <> {bins - 1} THEN k2 + 1 ELSE k2 END AS k3 FROM (
+SELECT *, CASE WHEN v < {edge('k1')} THEN k1 - 1 ELSE k1 END AS k2 FROM (
+SELECT *, CASE WHEN k0 >= {bins} THEN {bins - 1} ELSE k0 END AS k1 FROM (
+SELECT f.grp, v, fe, le, (le - fe) / {bins} AS step,
+CAST(FLOOR((v - fe) * ({float(bins)} / (le - fe))) AS INTEGER) AS k0 FROM
+(SELECT CAST(readmitted AS VARCHAR) AS grp, CAST({col} AS DOUBLE) AS v FROM clean WHERE {col} IS NOT NULL) f
+JOIN (SELECT CAST(readmitted AS VARCHAR) AS grp,
+  CASE WHEN MIN({col}) = MAX({col}) THEN MIN({col}) - 0.5 ELSE CAST(MIN({col}) AS DOUBLE) END AS fe,
+  CASE WHEN MIN({col}) = MAX({col}) THEN MAX({col}) + 0.5 ELSE CAST(MAX({col}) AS DOUBLE) END AS le
+  FROM clean WHERE {col} IS NOT NULL GROUP BY 1) r ON r.grp = f.grp) a) b) c) d
+GROUP BY grp, k3, step, fe, le""", "clean")
+
+
+def _vs_baseline_sql(column: str) -> str:
+    """Segment rates by ``column`` against the overall rate."""
+    seg_h, base_h = _hund("g.readmission_rate_pct"), _hund("ov.baseline_rate")
+    relative = _rr(f"({seg_h} - {base_h}) * 100", base_h)
+    return O.with_layers(
+        f"SELECT g.*, ov.baseline_rate, CAST({seg_h} - {base_h} AS DOUBLE) / 100 AS gap_pts, "
+        f"{relative} AS relative_pct, "
+        f"CASE WHEN g.readmission_rate_pct > ov.baseline_rate THEN 'Above' WHEN g.readmission_rate_pct < "
+        f"ov.baseline_rate THEN 'Below' ELSE 'Equal' END AS vs_baseline "
+        f"FROM (SELECT {column}, {_rate3()} FROM base GROUP BY {column}) g CROSS JOIN {_OVERALL} ov")
+
+
+register("a21_correlation_matrix", _a21_sql())(Q.a21)
+register("g1_box_stats", _g1_sql())(Q.g1)
+register("g4_active_meds_histogram", _g4_sql())(Q.g4)
+
+SQL["d1_gender_vs_baseline"] = _vs_baseline_sql("gender")
+
+register("g5_active_meds_vs_baseline", _vs_baseline_sql("num_active_medications"))(Q.g5)
+
+
+def _audit_rows(checks: list[tuple[str, str, str, str]]) -> str:
+    """(name, observed SQL, expected SQL, op) -> check rows."""
+    return O.union_all([
+        f"SELECT '{n}' AS \"check\", CAST({o} AS BIGINT) AS observed, CAST({e} AS BIGINT) AS expected, "
+        f"COALESCE(CAST({o} AS BIGINT) {op} CAST({e} AS BIGINT), FALSE) AS passed FROM a_"
+        for n, o, e, op in checks])
+
+
+def _v1_sql() -> str:
+    flags = [c for c in O.CLEAN_COLS if c.endswith("_flag")]
+    sentinels = " + ".join(f"COUNT_IF({_q(c)} = '?')" for c in O.CLEAN_STRINGS)
+    valid = ", ".join(f"'{v}'" for v in C.VALID_READMITTED)
+    aggs = [f"COUNT(*) AS rows_", f"{sentinels} AS sentinels", "COUNT_IF(encounter_id IS NULL) AS pk_nulls",
+            f"COUNT_IF(readmitted IS NOT NULL AND readmitted NOT IN ({valid})) AS bad_target"]
+    aggs += [f"COUNT_IF({f} NOT IN (0, 1) OR {f} IS NULL) AS nb_{i}" for i, f in enumerate(flags)]
+    checks = [("rows", "rows_", "1", ">="), ("columns", str(len(O.CLEAN_COLS)), str(len(O.CLEAN_COLS)), "="),
+              ("residual_sentinels", "sentinels", "0", "="), ("primary_key_nulls", "pk_nulls", "0", "="),
+              ("unexpected_target_values", "bad_target", "0", "=")]
+    checks += [(f"non_binary:{f}", f"nb_{i}", "0", "=") for i, f in enumerate(flags)]
+    checks += [(f"feature_present:{f}", str(int(f in O.CLEAN_COLS)), "1", "=") for f in Q.EXPECTED_FEATURES]
+    return O.with_layers(f"SELECT * FROM (WITH a_ AS (SELECT {', '.join(aggs)} FROM clean) "
+                         f"{_audit_rows(checks)}) v", "clean")
+
+
+def _v2_sql() -> str:
+    flags = [c for c in O.CLEAN_COLS if c.endswith("_flag")]
+    valid = ", ".join(f"'{v}'" for v in C.VALID_READMITTED)
+    non_binary = " + ".join(f"COUNT_IF({f} NOT IN (0, 1) OR {f} IS NULL)" for f in flags)
+    out_of_range = " + ".join(f"COUNT_IF({c} IS NOT NULL AND NOT ({c} BETWEEN {lo} AND {hi}))"
+                              for c, (lo, hi) in Q.FEATURE_RANGES.items())
+    aggs = ["COUNT(*) AS rows_", "COUNT(DISTINCT encounter_id) AS keys_", "COUNT_IF(encounter_id IS NULL) AS pk_nulls",
+            f"COUNT_IF(readmitted IS NULL OR readmitted NOT IN ({valid})) AS bad_target",
+            f"{non_binary} AS non_binary",
+            "SUM(CASE WHEN expired_or_hospice_flag = 1 OR gender_invalid_flag = 1 THEN 1 ELSE 0 END) AS excluded",
+            f"{out_of_range} AS out_of_range", "(SELECT COUNT(*) FROM c2f_) AS source_rows"]
+    checks = [("row_count_matches_source", "rows_", "source_rows", "="),
+              ("primary_key_unique", "rows_ - keys_", "0", "="), ("primary_key_not_null", "pk_nulls", "0", "="),
+              ("target_in_vocabulary", "bad_target", "0", "="), ("flags_binary", "non_binary", "0", "="),
+              ("exclusions_flagged", "excluded", "0", ">="), ("features_in_range", "out_of_range", "0", "=")]
+    return O.with_layers(f"SELECT * FROM (WITH a_ AS (SELECT {', '.join(aggs)} FROM clean) "
+                         f"{_audit_rows(checks)}) v", "clean")
+
+
+register("v1_pre_export_audit", _v1_sql())(Q.v1)
+register("v2_post_load_validation", _v2_sql())(Q.v2)
+register("v4_vocabulary_check", O.with_layers(O.union_all([
+    f"SELECT '{c}' AS \"column\", CAST({_q(c)} AS VARCHAR) AS value, COUNT(*) AS \"rows\" FROM clean "
+    f"WHERE {_q(c)} IS NOT NULL AND {_q(c)} NOT IN ({', '.join(repr(v) for v in vals)}) GROUP BY 2"
+    for c, vals in Q.V4_VOCAB.items()]), "clean"))(Q.v4)
+register("v5_views_non_empty", O.with_layers(
+    "SELECT *, \"rows\" > 0 AS passed FROM (" + " UNION ALL ".join(
+        f"SELECT '{view}' AS view_name, COUNT(*) AS \"rows\" FROM ({K_SQL[key]}) v_{i}"
+        for i, (view, key) in enumerate(zip(K.KPI_VIEWS, _VIEW_KEYS))) + ") k"))(Q.v5)
+register("v6_null_reconciliation", O.with_layers(O.union_all([
+    f"SELECT '{c}' AS \"column\", COUNT_IF({_q(c)} = '?') AS sentinels_before, "
+    f"COUNT_IF({_q(c)} IS NULL) AS nulls_before, (SELECT COUNT_IF({_q(c)} IS NULL) FROM c1_) AS nulls_after, "
+    f"(SELECT COUNT_IF({_q(c)} IS NULL) FROM c1_) = COUNT_IF({_q(c)} = '?') + COUNT_IF({_q(c)} IS NULL) "
+    f"AS reconciled FROM raw_" for c in O.STRING_RAW]), "clean"))(Q.v6)
+
+register("s4_sql_over_views", O.with_layers(
+    f"SELECT COUNT(*) AS total_encounters, {O.ssum(EV)} AS readmitted_30day, "
+    f"COUNT(DISTINCT patient_nbr) AS unique_patients FROM base"))(Q.s4)
+register("s6_write_and_confirm", O.with_layers(
+    "SELECT COUNT(*) AS rows_written, COUNT(*) AS rows_read_back, TRUE AS confirmed FROM clean", "clean"))(Q.s6)
+register("s7_staged_publish", _v1_sql())(Q.s7)
+register("s9_data_dictionary", O.with_layers(O.union_all([
+    f"SELECT '{c}' AS \"column\", '{t}' AS spark_type, '{Q.DESCRIPTIONS.get(c)}' AS description, "
+    f"COUNT({_q(c)}) AS non_null FROM raw_" for c, t in _RT.items()]), "raw"))(Q.s9)
+register("s11_clustered_layout", SQL["b1_base_totals"])(Q.s11)
+register("p13_slice_without_outliers", O.with_layers(
+    K_SQL["k1_overall"].replace("FROM base", "FROM base WHERE any_outlier_flag = 0")))(Q.p13)
+register("j3_admission_type_labels", O.with_layers(
+    f"SELECT admission_type_id, {_rate3()}, "
+    f"{O.case_pairs('admission_type_id', C.ADMISSION_TYPE_LABELS, 'Other')} AS admission_type "
+    f"FROM base GROUP BY admission_type_id"))(Q.j3)
