@@ -108,6 +108,12 @@ def split_first(c: ColumnOrName, sep_regex: str = r"\.") -> Column:
     return F.split(col(c), sep_regex).getItem(0)
 
 
+def num(c: ColumnOrName) -> Column:
+    """Numeric value as DOUBLE with NaN read as missing (pandas semantics)."""
+    v = col(c).cast("double")
+    return F.nanvl(v, F.lit(None).cast("double"))
+
+
 def try_number(c: ColumnOrName, to: str = "double") -> Column:
     """``pd.to_numeric(errors='coerce')``: unparsable text becomes NULL."""
     return F.expr(f"try_cast({c} as {to})") if isinstance(c, str) else c.try_cast(to)

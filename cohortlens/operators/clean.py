@@ -208,7 +208,7 @@ def value_frequencies(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     shuffle carries distinct values only; every quantile below is computed
     from this table instead of the raw rows.
     """
-    long = df.unpivot([], [F.col(c).cast("double").alias(c) for c in cols], "column", "value")
+    long = df.unpivot([], [X.num(c).alias(c) for c in cols], "column", "value")
     return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -244,7 +244,7 @@ def flag_iqr_outliers(df: DataFrame, cols: Sequence[str], multiplier: float = 1.
     flagged = df.crossJoin(F.broadcast(one_row))
     flags = {}
     for c in cols:
-        v = F.col(c)
+        v = X.num(c)
         flags[f"{c}_outlier_flag"] = X.flag((v < F.col(f"{c}_lo")) | (v > F.col(f"{c}_hi")))
     flagged = flagged.withColumns(flags)
     flagged = flagged.withColumn(any_flag, X.flag(sum(F.col(f) for f in flags) > 0))

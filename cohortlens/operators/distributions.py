@@ -22,7 +22,7 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str], digits: int = 6) -> D
     computes each unordered pair once."""
     cols = [c for c in cols if c in df.columns]
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    one = df.agg(*[F.corr(F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double")).alias(f"r{i}_{j}")
+    one = df.agg(*[F.corr(X.num(cols[i]), X.num(cols[j])).alias(f"r{i}_{j}")
                    for i, j in pairs])
     rows = []
     for i, a in enumerate(cols):
@@ -38,7 +38,7 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str], digits: int = 6) -> D
 
 def group_frequencies(df: DataFrame, cols: Sequence[str], by: str) -> DataFrame:
     """(column, grp, value, n) for numeric ``cols`` split by ``by``; NULL values dropped."""
-    long = df.select(F.col(by).cast("string").alias("grp"), *[F.col(c).cast("double").alias(c) for c in cols]) \
+    long = df.select(F.col(by).cast("string").alias("grp"), *[X.num(c).alias(c) for c in cols]) \
         .unpivot(["grp"], list(cols), "column", "value")
     return (long.filter(F.col("value").isNotNull())
             .groupBy("column", "grp", "value").agg(F.count(F.lit(1)).alias("n")))
@@ -106,4 +106,3 @@ def rate_by_value_vs_baseline(base: DataFrame, column: str, event: str) -> DataF
     return versus_baseline(seg, overall, "readmission_rate_pct", "overall_rate_pct")
 
 
-__all__ = ["correlation_matrix", "box_stats", "histogram", "rate_by_value_vs_baseline", "X"]

@@ -12,7 +12,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import expr as X
 from .clean import sentinel_counts  # noqa: F401  (Q2 lives with the cleaning rules)
@@ -99,7 +98,7 @@ def profile_numerics(df: DataFrame, cols: Sequence[str], digits: int = 6) -> Dat
     """
     aggs = []
     for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
+        x = X.num(c)
         aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}"),
                  F.avg(x).alias(f"av{i}"), F.stddev_samp(x).alias(f"sd{i}"),
                  F.skewness(x).alias(f"sk{i}"),
@@ -154,6 +153,3 @@ def column_drilldown(df: DataFrame, column: str, sentinel: str = "?", top_n: int
 def _regex_escape(s: str) -> str:
     return "".join("\\" + ch if not ch.isalnum() else ch for ch in s)
 
-
-__all__ = ["profile_structure", "sentinel_counts", "profile_cardinality", "profile_numerics",
-           "class_balance", "column_drilldown", "T"]

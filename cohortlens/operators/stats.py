@@ -370,5 +370,6 @@ def adjust_p_values(battery: DataFrame, p_col: str = "p_value") -> DataFrame:
     out = out.withColumn("p_bonferroni", F.least(F.lit(1.0), F.col(p_col) * F.col("_m")))
     raw_bh = F.col(p_col) * F.col("_m") / F.col("_i")
     tail = Window.orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, 0)
-    out = out.withColumn("p_bh", F.least(F.lit(1.0), F.min(raw_bh).over(tail)))
+    # BH >= p mathematically; the clamp removes a last-bit rounding of p*m/m.
+    out = out.withColumn("p_bh", F.greatest(F.col(p_col), F.least(F.lit(1.0), F.min(raw_bh).over(tail))))
     return out.drop("_m", "_i")
