@@ -59,17 +59,25 @@ def remove_duplicates(df: DataFrame, pk: str, flag_col: str = "duplicate_flag")
     """Drop exact duplicate rows, then flag every copy of a conflicting key.
 
     ``dropDuplicates`` aggregates partially on the map side, so many copies of
-    one row collapse before the shuffle.  Key conflicts are found with a
-    per-key count (also partially aggregated) and joined back; the planner
-    broadcasts the conflict list when it is small and otherwise uses a
-    sort-merge join whose hot partitions AQE splits.
+    one row collapse before the shuffle.
+    """
+    return flag_key_conflicts(df.dropDuplicates(), pk, flag_col)
+
+
+def flag_key_conflicts(deduped: DataFrame, pk: str, flag_col: str = "duplicate_flag") -> DataFrame:
+    """Flag (1) every row whose key appears more than once.
+
+    Conflicts are found with a per-key count (partially aggregated, so a hot
+    key costs one row per map task) and joined back; the planner broadcasts
+    the conflict list when it is small and otherwise uses a sort-merge join
+    whose hot partitions AQE splits.  ``deduped`` is read twice, so callers
+    that computed it expensively should persist it first.
     """
-    deduped = df.dropDuplicates()
     conflicts = (deduped.groupBy(pk).agg(F.count(F.lit(1)).alias("_copies"))
                  .filter(F.col("_copies") > 1).select(pk, F.lit(1).alias(flag_col)))
     return (deduped.join(conflicts, on=pk, how="left")
             .withColumn(flag_col, F.coalesce(F.col(flag_col), F.lit(0)).cast("int"))
-            .select(*df.columns, flag_col))
+            .select(*deduped.columns, flag_col))
 
 
 def entity_frequency(df: DataFrame, entity: str) -> DataFrame:

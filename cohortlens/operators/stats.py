@@ -10,6 +10,7 @@ vectorised pandas UDF on the one-row-per-test result.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -21,6 +22,12 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import expr as X
 
+try:  # ship the small tail-probability helpers with the UDFs, by value,
+    from pyspark import cloudpickle  # so Python workers need no package import
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+except (ImportError, AttributeError, ValueError):  # pragma: no cover
+    pass
+
 
 # ---------------------------------------------------------------------------
 # Tail probabilities (small numeric helpers for the final result rows)

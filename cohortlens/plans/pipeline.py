@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import config as C
@@ -27,10 +28,19 @@ MISSING_POLICY = dict(
 
 
 def clean_encounters(raw: DataFrame, schema: C.EncounterSchema = C.ENCOUNTERS,
-                     multiplier: float = 1.5) -> tuple[DataFrame, DataFrame]:
-    """C1-C9 then F1-F5; returns (clean table, outlier report)."""
-    df = CL.replace_sentinel(raw, schema.sentinel)
-    df = CL.remove_duplicates(df, schema.primary_key)
+                     multiplier: float = 1.5, cached: list | None = None) -> tuple[DataFrame, DataFrame]:
+    """C1-C9 then F1-F5; returns (clean table, outlier report).
+
+    The de-duplicated rows feed three readers (the key-conflict count, the
+    outlier fences and the row pass).  When ``cached`` is a list they are
+    persisted, so the scan and the de-duplication shuffle run once, and the
+    persisted frame is appended for the caller to release after writing.
+    """
+    df = CL.replace_sentinel(raw, schema.sentinel).dropDuplicates()
+    if cached is not None:
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        cached.append(df)
+    df = CL.flag_key_conflicts(df, schema.primary_key)
     df = CL.treat_missing(df, **MISSING_POLICY)
     df = CL.correct_dtypes(df, schema.id_cols, schema.numeric_cols)
     df = CL.standardize_text(df, upper_cols=[schema.target], rename=schema.rename_map)
@@ -66,9 +76,16 @@ def build_layers(spark: SparkSession, sf_dir: str, materialized: bool = True) ->
     if hit is not None:
         return hit
     raw = raw_encounters(spark, sf_dir)
-    clean, outliers = clean_encounters(raw)
+    if materialized:
+        # The bronze table is stored once, like the raw table of a warehouse.
+        raw = materialize(raw, "raw")
+    cached: list = []
+    clean, outliers = clean_encounters(raw, cached=cached if materialized else None)
     if materialized:
         clean = materialize(clean, "clean")
+        outliers = materialize(outliers, "outliers")
+        for frame in cached:
+            frame.unpersist()
     base = encounter_base(clean)
     if materialized:
         base = materialize(base, "base", cache=True)

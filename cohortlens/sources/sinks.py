@@ -66,6 +66,9 @@ def staged_publish(df: DataFrame, target: str, audit: Callable[[DataFrame], Data
     report = audit(staged) if audit is not None else load_confirmation(df, staged)
     from ..operators.audit import enforce
     enforce(report, "passed" if "passed" in report.columns else "confirmed")
+    # The report is a handful of check rows; keep it as data because the
+    # staging folder it was computed from is about to be renamed.
+    report = spark.createDataFrame(report.collect(), report.schema)
     fs, tgt, jvm = _fs(spark, target)
     if fs.exists(tgt):
         old = jvm.org.apache.hadoop.fs.Path(f"{target.rstrip('/')}.previous-{uuid.uuid4().hex}")
