@@ -10,10 +10,11 @@ so ``sequence`` splits the work:
   functions run per slice and a small per-slice summary (row count, first
   and last row) supplies the offsets and the neighbours across slice edges.
 
-The hot-key table holds at most ``rows / hot_rows`` keys and the slice summary
-at most ``hot keys + slices`` rows, so both are broadcast with a proven bound.
-Whether any key is hot is decided first by one small job over the per-key
-counts, so a table without hot keys gets the plain one-shuffle plan.
+Hot keys are detected on a sample (candidates are bounded by
+``2 * rows / hot_rows``) and the slice summary holds at most ``hot keys +
+slices`` rows, so both are broadcast with a proven bound.  Whether any key is
+hot is decided first by one small job, so a table without hot keys gets the
+plain one-shuffle plan.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_HOT_ROWS = 2_000_000
+SAMPLE_HITS = 200
 
 
 def _order_cols(order: Sequence[str]):
@@ -49,10 +51,18 @@ def sequence(df: DataFrame, key: str, order: Sequence[str], *,
     spark = df.sparkSession
     cols = df.columns
 
-    per_key = df.groupBy(key).agg(F.count(F.lit(1)).alias("_key_rows"))
-    hot = per_key.filter(F.col("_key_rows") > hot_rows)
-    # One small job decides the plan: the per-key counts are partially
-    # aggregated and only the first hot key, if any, reaches the driver.
+    # Hot keys are found on a sample: a key at the threshold contributes about
+    # SAMPLE_HITS sampled rows, so one holding a large share of the table
+    # cannot be missed.  Both paths are exact, so a borderline key landing on
+    # either side only changes balance, never results.  The candidate list is
+    # bounded by 2 * rows / hot_rows keys.
+    fraction = min(1.0, SAMPLE_HITS / float(hot_rows))
+    cut = max(1.0, fraction * hot_rows / 2.0)
+    hot = (df.select(key).sample(fraction=fraction, seed=17).groupBy(key)
+           .agg(F.count(F.lit(1)).alias("_hits")).filter(F.col("_hits") >= cut)
+           .select(key, F.lit(1).alias("_hot")))
+    # One small job decides the plan; only the first hot key, if any, reaches
+    # the driver.
     has_hot = len(hot.take(1)) > 0
 
     # ---- ordinary keys: one window over the key partition ---------------
@@ -71,12 +81,12 @@ def sequence(df: DataFrame, key: str, order: Sequence[str], *,
         out = df.withColumns(add)
         return _finish(out, seq, count)
     tagged = df.join(F.broadcast(hot), on=key, how="left")
-    cold = tagged.filter(F.col("_key_rows").isNull())
+    cold = tagged.filter(F.col("_hot").isNull())
     cold = cold.withColumns(add).select(*cols, *add.keys())
 
     # ---- hot keys: ordered slices + slice summary ----------------------
     n_slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hot_part = (tagged.filter(F.col("_key_rows").isNotNull())
+    hot_part = (tagged.filter(F.col("_hot").isNotNull())
                 .repartitionByRange(n_slices, F.col(key), *[F.col(c) for c in order])
                 .withColumn("_slice", F.spark_partition_id()))
     ws = Window.partitionBy(key, "_slice").orderBy(*_order_cols(order))
@@ -99,6 +109,7 @@ def sequence(df: DataFrame, key: str, order: Sequence[str], *,
     summary = summary.withColumns({
         "_offset": F.coalesce(F.sum("_slice_rows").over(
             wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "_key_rows": F.sum("_slice_rows").over(Window.partitionBy(key)),
         **({"_prev_last": F.lag("_last").over(wk), "_next_first": F.lead("_first").over(wk)}
            if carried else {}),
     })

@@ -49,3 +49,10 @@ def test_exclusions_apply_before_sequencing(spark):
             r.is_repeat_patient, r.led_to_30day_readmission) for r in base.collect()]
     # encounter 2 is excluded: it takes no sequence number; patient 8 vanishes entirely
     assert got == [(1, 1, None, 2, 1, 0), (3, 2, 1, 2, 1, 0)]
+
+
+def test_sampled_hot_key_detection_is_still_exact(spark):
+    df = _skewed(spark, seed=9)
+    got = sequence(df, "k", ["t", "o"], seq="seq", count="cnt", prev={"prv": "v"}, nxt={"nxt": "v"},
+                   hot_rows=300, slices=4)
+    assert _cmp(got, _brute(df, "k", ["t", "o"]))
