@@ -259,3 +259,40 @@ def j3(spark, d):
                         "led_to_30day_readmission"), Rate("readmission_rate_pct", "led_to_30day_readmission")])
     return (seg.join(F.broadcast(dim), "admission_type_id", "left")
             .withColumn("admission_type", F.coalesce("admission_type", F.lit("Other"))))
+
+
+# ------------------------------------------------------- whole layers ----
+
+def b0(spark, d):
+    """The sequenced base view itself."""
+    return layers(spark, d).base
+
+
+def clean_table(spark, d):
+    """The clean (silver) table: every cleaning rule and feature at once."""
+    return layers(spark, d).clean
+
+
+def a20(spark, d):
+    """Wide contingency table gender x outcome (fixed outcome values)."""
+    from ..operators.stats import crosstab_wide
+    return crosstab_wide(layers(spark, d).base, "gender", "readmitted", C.VALID_READMITTED)
+
+
+def a24(spark, d):
+    """Majority and minority class with their shares and ratio."""
+    bal = P.class_balance(layers(spark, d).clean, S_.target)
+    return bal.agg(F.max_by(S_.target, "count").alias("majority_class"),
+                   F.max("percentage").alias("majority_pct"),
+                   F.min_by(S_.target, "count").alias("minority_class"),
+                   F.min("percentage").alias("minority_pct"),
+                   F.first("imbalance_ratio").alias("imbalance_ratio"))
+
+
+def f78(spark, d):
+    """A1C-tested and 30-day binary flags, counted."""
+    from ..operators.features import add_test_flags
+    flagged = add_test_flags(layers(spark, d).base)
+    return flagged.agg(F.sum("a1c_tested").cast("long").alias("a1c_tested"),
+                       F.sum("readmit_30_binary").cast("long").alias("readmit_30_binary"),
+                       F.count(F.lit(1)).alias("rows"))

@@ -528,3 +528,21 @@ register("j3_admission_type_labels", O.with_layers(
     f"SELECT admission_type_id, {_rate3()}, "
     f"{O.case_pairs('admission_type_id', C.ADMISSION_TYPE_LABELS, 'Other')} AS admission_type "
     f"FROM base GROUP BY admission_type_id"))(Q.j3)
+
+register("b0_encounter_base", O.with_layers("SELECT * FROM base"))(Q.b0)
+register("c0_clean_table", O.with_layers("SELECT * FROM clean", "clean"))(Q.clean_table)
+register("a20_crosstab_gender_outcome", O.with_layers(
+    "SELECT gender, " + ", ".join(
+        f"COUNT(CASE WHEN readmitted = '{v}' THEN 1 END) AS {_q(v)}" for v in C.VALID_READMITTED)
+    + " FROM base GROUP BY gender"))(Q.a20)
+register("a24_majority_minority", O.with_layers(
+    "SELECT arg_max(readmitted, count) AS majority_class, MAX(percentage) AS majority_pct, "
+    "arg_min(readmitted, count) AS minority_class, MIN(percentage) AS minority_pct, "
+    f"{_rr('MAX(h)', 'MIN(h)', 1)} AS imbalance_ratio FROM (SELECT *, CAST(ROUND(percentage * 100) AS BIGINT) AS h "
+    f"FROM (SELECT readmitted, count, {_rr('count * 100', 'SUM(count) OVER ()')} AS percentage FROM "
+    "(SELECT readmitted, COUNT(*) AS count FROM clean WHERE readmitted IS NOT NULL GROUP BY 1) a) b) c",
+    "clean"))(Q.a24)
+register("f7_f8_test_flags", O.with_layers(
+    "SELECT CAST(SUM(CASE WHEN \"A1Cresult\" IS DISTINCT FROM 'None' THEN 1 ELSE 0 END) AS BIGINT) AS a1c_tested, "
+    "CAST(SUM(CASE WHEN readmitted = '<30' THEN 1 ELSE 0 END) AS BIGINT) AS readmit_30_binary, "
+    "COUNT(*) AS \"rows\" FROM base"))(Q.f78)
