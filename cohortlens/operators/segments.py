@@ -32,6 +32,10 @@ class Metric:
     def helpers(self) -> list[str]:
         return []
 
+    def from_totals(self) -> Column:
+        """The metric from pre-aggregated totals (see ``segment_cube``)."""
+        raise ValueError(f"{type(self).__name__} cannot be derived from segment totals")
+
 
 @dataclass(frozen=True)
 class Count(Metric):
@@ -40,6 +44,9 @@ class Count(Metric):
     def aggs(self):
         return [F.count(F.lit(1)).alias(self.name)]
 
+    def from_totals(self):
+        return F.col("n")
+
 
 @dataclass(frozen=True)
 class Sum(Metric):
@@ -49,6 +56,9 @@ class Sum(Metric):
     def aggs(self):
         return [F.sum(self.column).cast("long").alias(self.name)]
 
+    def from_totals(self):
+        return F.col(f"s_{self.column}")
+
 
 @dataclass(frozen=True)
 class Rate(Metric):
@@ -63,6 +73,9 @@ class Rate(Metric):
     def post(self):
         return X.rate_pct(f"_{self.name}_s", f"_{self.name}_n", self.digits)
 
+    def from_totals(self):
+        return X.rate_pct(f"s_{self.flag}", "n", self.digits)
+
     def helpers(self):
         return [f"_{self.name}_s", f"_{self.name}_n"]
 
@@ -85,6 +98,10 @@ class Mean(Metric):
     def post(self):
         return X.round_ratio(f"_{self.name}_s", F.col(f"_{self.name}_n") * self.scale, self.digits)
 
+    def from_totals(self):
+        return X.round_ratio(f"s_{self.column}_x{self.scale}", F.col(f"c_{self.column}") * self.scale,
+                             self.digits)
+
     def helpers(self):
         return [f"_{self.name}_s", f"_{self.name}_n"]
 
@@ -144,6 +161,63 @@ def segment_rates(df: DataFrame, by: Sequence[str | tuple[str, Column]], metrics
     return out.select(*[n for n, _ in pairs], *[m.post().alias(m.name) for m in metrics])
 
 
+# ---------------------------------------------------------------------------
+# Many segment families in one pass
+# ---------------------------------------------------------------------------
+
+@dataclass(frozen=True)
+class Family:
+    """A segment family: a name and up to two (key name, key expression) pairs.
+
+    Expressions are zero-argument callables so families can be declared
+    before a Spark session exists.
+    """
+    name: str
+    keys: tuple = ()
+
+
+def segment_cube(df: DataFrame, families, flags, measures) -> DataFrame:
+    """Totals of every family's segments in one scan and one shuffle.
+
+    Each row is exploded into one (family, k1, k2) entry per family and a
+    single partially-aggregated ``groupBy`` produces, per segment, the row
+    count ``n``, ``s_<flag>`` sums and ``s_<col>_x<scale>`` / ``c_<col>``
+    sums and counts for the means.  ``measures`` is {column: scale}.  The
+    output has one row per segment of every family (small), and
+    ``from_cube`` derives any count / sum / rate / mean metric from it.
+    Keys are carried as text and cast back by ``from_cube``.
+    """
+    entries = []
+    for fam in families:
+        ks = [expr().cast("string") for _, expr in fam.keys]
+        ks += [F.lit(None).cast("string")] * (2 - len(ks))
+        entries.append(F.struct(F.lit(fam.name).alias("family"), ks[0].alias("k1"), ks[1].alias("k2")))
+    values = [F.col(f).alias(f) for f in flags]
+    values += [(F.col(c) * scale if scale != 1 else F.col(c)).cast("long").alias(f"_v_{c}") for c, scale in
+               measures.items()]
+    values += [F.col(c).alias(f"_c_{c}") for c in measures]
+    long = df.select(F.explode(F.array(*entries)).alias("_f"), *values)
+    aggs = [F.count(F.lit(1)).alias("n")]
+    aggs += [F.sum(f).cast("long").alias(f"s_{f}") for f in flags]
+    aggs += [F.sum(f"_v_{c}").alias(f"s_{c}_x{scale}") for c, scale in measures.items()]
+    aggs += [F.count(f"_c_{c}").alias(f"c_{c}") for c in measures]
+    return long.select("_f.*", *[c for c in long.columns if c != "_f"]).groupBy("family", "k1", "k2").agg(*aggs)
+
+
+def from_cube(cube: DataFrame, family: Family, key_types, metrics, min_rows: int | None = None,
+              where: Column | None = None) -> DataFrame:
+    """One family's segments from ``segment_cube`` totals: the same result as
+    ``segment_rates`` over the rows (``where`` filters segments by key)."""
+    t = cube.filter(F.col("family") == family.name)
+    keys = [F.col(k).cast(tp).alias(name) for k, (name, _), tp in zip(("k1", "k2"), family.keys, key_types)]
+    t = t.select(*keys, *[c for c in cube.columns if c not in ("family", "k1", "k2")])
+    if where is not None:
+        t = t.filter(where)
+    if min_rows is not None:
+        t = t.filter(F.col("n") >= min_rows)
+    return t.select(*[name for name, _ in family.keys], *[m.from_totals().alias(m.name) for m in metrics])
+
+
 def share_of_total(df: DataFrame, count_col: str, name: str = "pct_of_total",
                    digits: int = 2) -> DataFrame:
     """``count * 100.0 / SUM(count) OVER ()`` on an aggregated frame.
@@ -154,6 +228,16 @@ def share_of_total(df: DataFrame, count_col: str, name: str = "pct_of_total",
     return df.withColumn(name, X.round_ratio(F.col(count_col).cast("long") * 100, total, digits))
 
 
+def present(df: DataFrame, *order) -> DataFrame:
+    """Sort a small report frame (one row per segment) for presentation.
+
+    The rows are gathered into one partition and sorted there, which avoids
+    the range-partition sampling job a global ``orderBy`` would start.  Only
+    for frames bounded by the number of segments.
+    """
+    return df.coalesce(1).sortWithinPartitions(*order)
+
+
 def hundredths(c: str | Column) -> Column:
     """A 2-decimal rate as an exact integer number of hundredths."""
     return F.round(X.col(c) * 100).cast("long")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import expr as X
 from ..operators.segments import (Count, Distinct, Mean, Rate, Sum, adjacent_step, hundredths,
-                                  segment_rates, share_of_total, versus_baseline)
+                                  present, segment_rates, share_of_total, versus_baseline)
 from .kpi import EVENT, kpi_overall, prior_inpatient_band, readmission_status
 
 RATE3 = lambda: [Count("encounters"), Sum("readmitted_30day", EVENT),
@@ -18,13 +18,13 @@ RATE3 = lambda: [Count("encounters"), Sum("readmitted_30day", EVENT),  # noqa: E
 def target_distribution(base: DataFrame) -> DataFrame:
     """Outcome classes with their share of all encounters."""
     counts = segment_rates(base, ["readmitted"], [Count("encounters")])
-    return share_of_total(counts, "encounters").orderBy(F.desc("encounters"), "readmitted")
+    return share_of_total(counts, "encounters").transform(present, F.desc("encounters"), "readmitted")
 
 
 def rate_by(base: DataFrame, column: str, order_by_rate: bool = True) -> DataFrame:
     """Rate by one stored column."""
     out = segment_rates(base, [column], RATE3())
-    return out.orderBy(F.desc("readmission_rate_pct"), column) if order_by_rate else out.orderBy(column)
+    return present(out, F.desc("readmission_rate_pct"), column) if order_by_rate else present(out, column)
 
 
 def rate_by_race(base: DataFrame) -> DataFrame:
@@ -40,20 +40,20 @@ def utilisation_by_outcome(base: DataFrame) -> DataFrame:
         Mean("avg_active_medications", "num_active_medications"),
         Mean("avg_lab_procedures", "num_lab_procedures"), Mean("avg_diagnoses", "number_diagnoses"),
         Mean("avg_prior_visits", "total_prior_visits"), Rate("polypharmacy_pct", "polypharmacy_flag"),
-    ]).orderBy("readmission_outcome")
+    ]).transform(present, "readmission_outcome")
 
 
 def rate_by_los_band(base: DataFrame) -> DataFrame:
     """Length-of-stay bands."""
     band = X.upper_bands("time_in_hospital", C.LOS_BANDS, C.LOS_BAND_REST)
-    return segment_rates(base, [("los_band", band)], RATE3()).orderBy("los_band")
+    return segment_rates(base, [("los_band", band)], RATE3()).transform(present, "los_band")
 
 
 def rate_by_diagnosis(base: DataFrame) -> DataFrame:
     """Diagnosis chapters with mean length of stay."""
     return segment_rates(base, [("diagnosis_category", X.icd_chapter("diag_1"))],
                          RATE3() + [Mean("avg_los_days", "time_in_hospital")]) \
-        .orderBy(F.desc("readmission_rate_pct"), "diagnosis_category")
+                             .transform(present, F.desc("readmission_rate_pct"), "diagnosis_category")
 
 
 def top_specialties(base: DataFrame, k: int = C.TOP_SPECIALTIES,
@@ -65,7 +65,7 @@ def top_specialties(base: DataFrame, k: int = C.TOP_SPECIALTIES,
     """
     out = segment_rates(base.filter(F.col("medical_specialty") != C.UNKNOWN), ["medical_specialty"],
                         RATE3() + [Mean("avg_los_days", "time_in_hospital")], min_rows=min_rows)
-    return out.orderBy(F.desc("encounters"), "medical_specialty").limit(k)
+    return present(out, F.desc("encounters"), "medical_specialty").limit(k)
 
 
 def rate_by_admission_source(base: DataFrame) -> DataFrame:
@@ -73,14 +73,15 @@ def rate_by_admission_source(base: DataFrame) -> DataFrame:
     out = segment_rates(base, ["admission_source_id"], RATE3())
     out = out.withColumn("source_label", X.code_label("admission_source_id", C.ADMISSION_SOURCE_LABELS))
     return out.select("admission_source_id", "source_label", "encounters", "readmitted_30day",
-                      "readmission_rate_pct").orderBy(F.desc("readmission_rate_pct"), "admission_source_id")
+                      "readmission_rate_pct") \
+                          .transform(present, F.desc("readmission_rate_pct"), "admission_source_id")
 
 
 def change_by_diabetes_med(base: DataFrame) -> DataFrame:
     """Medication change x diabetes medication."""
     return segment_rates(base, [("medication_change", F.col("change")),
                                 ("on_diabetes_medication", F.col("diabetesMed"))], RATE3()) \
-        .orderBy(F.desc("readmission_rate_pct"), "medication_change", "on_diabetes_medication")
+                                    .transform(present, F.desc("readmission_rate_pct"), "medication_change", "on_diabetes_medication")
 
 
 def rate_by_polypharmacy(base: DataFrame) -> DataFrame:
@@ -88,7 +89,7 @@ def rate_by_polypharmacy(base: DataFrame) -> DataFrame:
     burden = F.when(F.col("polypharmacy_flag") == 1, C.POLYPHARMACY_LABELS[0]) \
         .otherwise(C.POLYPHARMACY_LABELS[1])
     return segment_rates(base, [("medication_burden", burden)], RATE3()) \
-        .orderBy(F.desc("readmission_rate_pct"), "medication_burden")
+        .transform(present, F.desc("readmission_rate_pct"), "medication_burden")
 
 
 def encounter_tier() -> F.Column:
@@ -98,7 +99,7 @@ def encounter_tier() -> F.Column:
 def rate_by_encounter_tier(base: DataFrame) -> DataFrame:
     """1st, 2nd, 3rd, 4th+ encounter of the patient."""
     return segment_rates(base, [("encounter_tier", encounter_tier())], RATE3()) \
-        .orderBy(F.desc("readmission_rate_pct"), "encounter_tier")
+        .transform(present, F.desc("readmission_rate_pct"), "encounter_tier")
 
 
 def repeat_vs_first(base: DataFrame) -> DataFrame:
@@ -112,7 +113,7 @@ def repeat_vs_first(base: DataFrame) -> DataFrame:
 def age_volume_and_rate(base: DataFrame) -> DataFrame:
     """Encounters and rate per age band (dual-axis chart data)."""
     return segment_rates(base, ["age"], [Count("encounters"), Rate("readmission_rate_pct", EVENT)]) \
-        .orderBy("age")
+        .transform(present, "age")
 
 
 # ------------------------------------------------------------- derived ----
@@ -182,4 +183,4 @@ def age_by_prior_inpatient_matrix(base: DataFrame) -> DataFrame:
     wide = long.groupBy("age").pivot("prior_inpatient_band", bands).agg(
         F.sum(EVENT).cast("long").alias("s"), F.count(F.lit(1)).alias("n"))
     return wide.select("age", *[X.rate_pct(f"`{b}_s`", f"`{b}_n`").alias(b) for b in bands]) \
-        .orderBy("age")
+        .transform(present, "age")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import expr as X
 from ..operators.segments import (Count, Distinct, Max, Mean, Median, Min, Rate, Sum,
-                                  segment_rates)
+                                  segment_rates, present)
 
 EVENT = "led_to_30day_readmission"
 
@@ -40,7 +40,7 @@ def kpi_by_diagnosis(base: DataFrame) -> DataFrame:
         Count("total_encounters"), Sum("readmitted_30day", EVENT),
         Rate("readmission_rate_pct", EVENT),
         Mean("avg_los_days", "time_in_hospital"), Mean("avg_medications", "num_medications"),
-    ]).orderBy(F.desc("readmission_rate_pct"), "diagnosis_category")
+    ]).transform(present, F.desc("readmission_rate_pct"), "diagnosis_category")
 
 
 def kpi_by_disposition(base: DataFrame, min_rows: int = C.KPI_MIN_DISPOSITION) -> DataFrame:
@@ -57,7 +57,7 @@ def kpi_by_disposition(base: DataFrame, min_rows: int = C.KPI_MIN_DISPOSITION) -
                          X.code_label("discharge_disposition_id", C.DISPOSITION_LABELS))
     return out.select("discharge_disposition_id", "disposition_label", "total_encounters",
                       "readmitted_30day", "readmission_rate_pct", "avg_los_days") \
-        .orderBy(F.desc("readmission_rate_pct"), "discharge_disposition_id")
+                          .transform(present, F.desc("readmission_rate_pct"), "discharge_disposition_id")
 
 
 def readmission_status() -> F.Column:
@@ -75,7 +75,7 @@ def kpi_los_by_readmission(base: DataFrame) -> DataFrame:
         Mean("avg_active_medications", "num_active_medications"),
         Mean("avg_diagnoses", "number_diagnoses"),
         Mean("avg_prior_visits", "total_prior_visits"),
-    ]).orderBy("readmission_status")
+    ]).transform(present, "readmission_status")
 
 
 def prior_inpatient_band() -> F.Column:
@@ -89,7 +89,7 @@ def kpi_by_age(base: DataFrame) -> DataFrame:
         Count("encounters"), Sum("readmitted_30day", EVENT),
         Rate("readmission_rate_pct", EVENT),
         Mean("avg_age", "age_midpoint", digits=1, scale=2),
-    ]).orderBy("age", "prior_inpatient_band")
+    ]).transform(present, "age", "prior_inpatient_band")
 
 
 def kpi_by_specialty(base: DataFrame, min_rows: int = C.KPI_MIN_SPECIALTY) -> DataFrame:
@@ -99,7 +99,7 @@ def kpi_by_specialty(base: DataFrame, min_rows: int = C.KPI_MIN_SPECIALTY) -> Da
         Rate("readmission_rate_pct", EVENT),
         Mean("avg_los_days", "time_in_hospital"), Mean("avg_medications", "num_medications"),
         Mean("avg_active_medications", "num_active_medications"),
-    ], min_rows=min_rows).orderBy(F.desc("readmission_rate_pct"), "medical_specialty")
+    ], min_rows=min_rows).transform(present, F.desc("readmission_rate_pct"), "medical_specialty")
 
 
 def kpi_high_risk_segments(base: DataFrame, tiers=C.RISK_TIERS) -> DataFrame:
@@ -113,7 +113,7 @@ def kpi_high_risk_segments(base: DataFrame, tiers=C.RISK_TIERS) -> DataFrame:
         Mean("avg_total_prior_visits", "total_prior_visits"),
         Sum("polypharmacy_count", "polypharmacy_flag"),
         Rate("polypharmacy_pct", "polypharmacy_flag"),
-    ]).orderBy("risk_tier")
+    ]).transform(present, "risk_tier")
 
 
 def patient_type() -> F.Column:
@@ -127,7 +127,7 @@ def kpi_repeat_patients(base: DataFrame) -> DataFrame:
         Sum("readmitted_30day", EVENT), Rate("readmission_rate_pct", EVENT),
         Mean("avg_los_days", "time_in_hospital"), Mean("avg_prior_visits", "total_prior_visits"),
         Mean("avg_medications", "num_medications"),
-    ]).orderBy(F.desc("readmission_rate_pct"), "patient_type")
+    ]).transform(present, F.desc("readmission_rate_pct"), "patient_type")
 
 
 KPI_VIEWS = {

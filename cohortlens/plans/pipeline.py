@@ -59,6 +59,15 @@ class Layers:
     clean: DataFrame
     outliers: DataFrame
     base: DataFrame
+    _cube: DataFrame | None = None
+
+    @property
+    def cube(self) -> DataFrame:
+        """Every segment family of the base view, aggregated once (small)."""
+        if self._cube is None:
+            from .cube import encounter_cube
+            self._cube = encounter_cube(self.base).persist(StorageLevel.MEMORY_AND_DISK)
+        return self._cube
 
 
 _CACHE: dict[tuple, Layers] = {}

@@ -546,3 +546,19 @@ register("f7_f8_test_flags", O.with_layers(
     "SELECT CAST(SUM(CASE WHEN \"A1Cresult\" IS DISTINCT FROM 'None' THEN 1 ELSE 0 END) AS BIGINT) AS a1c_tested, "
     "CAST(SUM(CASE WHEN readmitted = '<30' THEN 1 ELSE 0 END) AS BIGINT) AS readmit_30_binary, "
     "COUNT(*) AS \"rows\" FROM base"))(Q.f78)
+
+
+# ------------------------------------------------- shared segment totals ----
+# Reports that only need counts, sums, rates and means read their family from
+# the one-pass segment totals instead of scanning the base view again.
+
+from .cube import CUBE_QUERIES  # noqa: E402
+
+
+def on_cube(fn):
+    return lambda spark, sf_dir: fn(build_layers(spark, sf_dir).cube)
+
+
+for _name, _fn in CUBE_QUERIES.items():
+    assert _name in QUERIES, _name
+    QUERIES[_name] = on_cube(_fn)
