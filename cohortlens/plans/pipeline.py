@@ -92,9 +92,10 @@ def build_layers(spark: SparkSession, sf_dir: str, materialized: bool = True) ->
     clean, outliers = clean_encounters(raw, cached=cached if materialized else None)
     if materialized:
         clean = materialize(clean, "clean")
-        outliers = materialize(outliers, "outliers")
         for frame in cached:
             frame.unpersist()
+        # The outlier report stays lazy: only the C9 report reads it, and it
+        # recomputes from the stored bronze table when asked.
     base = encounter_base(clean)
     if materialized:
         base = materialize(base, "base", cache=True)
