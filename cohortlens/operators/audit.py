@@ -66,8 +66,7 @@ def post_load_validation(loaded: DataFrame, source_rows: DataFrame, pk: str, tar
         F.count_if(F.col(target).isNull() | ~F.col(target).isin(list(valid_target))).alias("bad_target"),
         non_binary.alias("non_binary"), F.sum(excluded).alias("excluded"),
         out_of_range.alias("out_of_range"))
-    src = source_rows.select(F.col(source_rows.columns[0]).alias("source_rows"))
-    one = one.crossJoin(src)
+    one = one.withColumn("source_rows", source_rows.select(F.col(source_rows.columns[0])).scalar())
     checks = [_check("row_count_matches_source", F.col("rows"), F.col("source_rows"), "=="),
               _check("primary_key_unique", F.col("rows") - F.col("keys"), 0),
               _check("primary_key_not_null", F.col("pk_nulls"), 0),
@@ -101,13 +100,13 @@ def null_reconciliation(raw: DataFrame, replaced: DataFrame, sentinel: str = "?"
     cols = list(columns or string_columns(raw))
     before = raw.agg(*[F.count_if(F.col(c) == sentinel).alias(f"s{i}") for i, c in enumerate(cols)],
                      *[F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)])
-    after = replaced.agg(*[F.count_if(F.col(c).isNull()).alias(f"a{i}") for i, c in enumerate(cols)])
-    both = before.crossJoin(after)
+    after = replaced.agg(F.struct(*[F.count_if(F.col(c).isNull()).alias(f"a{i}")
+                                    for i, c in enumerate(cols)])).scalar()
     rows = [F.struct(F.lit(c).alias("column"), F.col(f"s{i}").alias("sentinels_before"),
-                     F.col(f"n{i}").alias("nulls_before"), F.col(f"a{i}").alias("nulls_after"),
-                     (F.col(f"a{i}") == F.col(f"s{i}") + F.col(f"n{i}")).alias("reconciled"))
+                     F.col(f"n{i}").alias("nulls_before"), after[f"a{i}"].alias("nulls_after"),
+                     (after[f"a{i}"] == F.col(f"s{i}") + F.col(f"n{i}")).alias("reconciled"))
             for i, c in enumerate(cols)]
-    return both.select(F.inline(F.array(*rows)))
+    return before.select(F.inline(F.array(*rows)))
 
 
 def enforce(report: DataFrame, passed_col: str = "passed") -> DataFrame:

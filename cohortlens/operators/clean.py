@@ -90,13 +90,12 @@ def entity_frequency(df: DataFrame, entity: str) -> DataFrame:
 def duplicate_summary(raw: DataFrame, pk: str) -> DataFrame:
     """One row: exact duplicate rows removed and rows flagged as key conflicts."""
     deduped = remove_duplicates(raw, pk)
-    a = raw.agg(F.count(F.lit(1)).alias("rows_before"))
-    b = deduped.agg(F.count(F.lit(1)).alias("rows_after"),
-                    F.sum("duplicate_flag").cast("long").alias("pk_conflict_rows"))
-    return a.crossJoin(b).select(
-        "rows_before", "rows_after",
-        (F.col("rows_before") - F.col("rows_after")).alias("duplicates_removed"),
-        "pk_conflict_rows")
+    after = deduped.agg(F.struct(F.count(F.lit(1)).alias("rows"),
+                                 F.sum("duplicate_flag").cast("long").alias("conflicts"))).scalar()
+    return raw.agg(F.count(F.lit(1)).alias("rows_before")).select(
+        "rows_before", after["rows"].alias("rows_after"),
+        (F.col("rows_before") - after["rows"]).alias("duplicates_removed"),
+        after["conflicts"].alias("pk_conflict_rows"))
 
 
 # ---------------------------------------------------------------- C3 ------
@@ -242,19 +241,20 @@ def flag_iqr_outliers(df: DataFrame, cols: Sequence[str], multiplier: float = 1.
     """Per-column ``<col>_outlier_flag`` (strictly outside the fences) plus a
     composite flag; returns (flagged frame, report).
 
-    The fences are one row per column; they are pivoted into a single row and
-    cross-joined by broadcast (exactly one row, so the bound is proven).
+    The fences are one row per column; pivoted into one struct they become a
+    single scalar subquery, which Spark evaluates once and hands to every
+    task as a value (no join at all).
     """
     freq = value_frequencies(df, cols)
     fences = iqr_fences(freq, multiplier)
     one_row = fences.groupBy().pivot("column", list(cols)).agg(
         F.first("lower_bound").alias("lo"), F.first("upper_bound").alias("hi"))
-    flagged = df.crossJoin(F.broadcast(one_row))
+    bounds = one_row.select(F.struct(*[F.col(f"{c}_{b}") for c in cols for b in ("lo", "hi")])).scalar()
     flags = {}
     for c in cols:
         v = X.num(c)
-        flags[f"{c}_outlier_flag"] = X.flag((v < F.col(f"{c}_lo")) | (v > F.col(f"{c}_hi")))
-    flagged = flagged.withColumns(flags)
+        flags[f"{c}_outlier_flag"] = X.flag((v < bounds[f"{c}_lo"]) | (v > bounds[f"{c}_hi"]))
+    flagged = df.withColumns(flags)
     flagged = flagged.withColumn(any_flag, X.flag(sum(F.col(f) for f in flags) > 0))
     flagged = flagged.select(*df.columns, *flags.keys(), any_flag)
 

@@ -82,10 +82,9 @@ def profile_cardinality(df: DataFrame, cols: Sequence[str], top_n: int = 10,
               .filter(F.col("_r") <= top_n))
     w2 = Window.partitionBy("column").orderBy(*order)
     top = stage1.withColumn("_r", F.row_number().over(w2)).filter(F.col("_r") <= top_n)
-    rows = df.agg(F.count(F.lit(1)).alias("_rows"))
-    return (top.crossJoin(F.broadcast(rows))
-            .select("column", "value", F.col("count").cast("long").alias("count"),
-                    X.rate_pct("count", "_rows").alias("pct"))
+    rows = df.agg(F.count(F.lit(1))).scalar()
+    return (top.select("column", "value", F.col("count").cast("long").alias("count"),
+                       X.rate_pct("count", rows).alias("pct"))
             .orderBy("column", F.desc("count"), F.col("value").asc_nulls_last()))
 
 
@@ -139,15 +138,15 @@ def column_drilldown(df: DataFrame, column: str, sentinel: str = "?", top_n: int
     Returns the top values as rows, each carrying the column-level figures.
     """
     c = F.col(column)
-    stats = df.agg(F.count(F.lit(1)).alias("total_rows"),
-                   F.count_if(c == sentinel).alias("equality_hits"),
-                   F.count_if(c.cast("string").rlike("^" + _regex_escape(sentinel) + "$"))
-                   .alias("regex_hits"))
+    stats = df.agg(F.struct(F.count(F.lit(1)).alias("total_rows"),
+                            F.count_if(c == sentinel).alias("equality_hits"),
+                            F.count_if(c.cast("string").rlike("^" + _regex_escape(sentinel) + "$"))
+                            .alias("regex_hits"))).scalar()
     top = profile_cardinality(df, [column], top_n).select("value", "count")
-    return (top.crossJoin(F.broadcast(stats))
-            .select(F.lit(column).alias("column"),
-                    F.lit(df.schema[column].dataType.simpleString()).alias("dtype"),
-                    "total_rows", "value", "count", "equality_hits", "regex_hits"))
+    return top.select(F.lit(column).alias("column"),
+                      F.lit(df.schema[column].dataType.simpleString()).alias("dtype"),
+                      stats["total_rows"].alias("total_rows"), "value", "count",
+                      stats["equality_hits"].alias("equality_hits"), stats["regex_hits"].alias("regex_hits"))
 
 
 def _regex_escape(s: str) -> str:

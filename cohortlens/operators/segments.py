@@ -247,12 +247,13 @@ def versus_baseline(segments: DataFrame, overall: DataFrame, rate_col: str,
                     baseline_col: str) -> DataFrame:
     """Point gap and relative % versus the overall baseline, Above/Below.
 
-    ``overall`` is a one-row frame (proven bound), cross-joined by broadcast.
-    Gaps are computed in integer hundredths, so they are exact.
+    ``overall`` is a one-row frame; its rate enters as a scalar subquery
+    (evaluated once).  Gaps are computed in integer hundredths, so they are
+    exact.
     """
-    base = overall.select(F.col(baseline_col).alias("baseline_rate"))
+    baseline = overall.select(F.col(baseline_col)).scalar()
     gap = hundredths(rate_col) - hundredths("baseline_rate")
-    return (segments.crossJoin(F.broadcast(base))
+    return (segments.withColumn("baseline_rate", baseline)
             .withColumns({
                 "gap_pts": gap.cast("double") / 100.0,
                 "relative_pct": X.round_ratio(gap * 100, hundredths("baseline_rate"), 2),

@@ -135,14 +135,15 @@ def critical_value(dof: Column) -> Column:
 def contingency(df: DataFrame, row: Column | str, col: Column | str) -> DataFrame:
     """Long contingency table (r, c, n) including zero cells.
 
-    Only observed cells come out of the aggregation; the zero cells are
-    filled from the (small) sets of row and column categories.
+    One aggregation pivots the column categories into columns (a zero where
+    a cell is empty); unpivoting gives the long form with every cell.  The
+    column categories are the pivot values (bounded by
+    ``spark.sql.pivotMaxValues``); ``c`` comes back as text.
     """
-    r = X.col(row).alias("r")
-    c = X.col(col).alias("c")
-    obs = df.groupBy(r, c).agg(F.count(F.lit(1)).alias("n"))
-    grid = obs.select("r").distinct().crossJoin(obs.select("c").distinct())
-    return grid.join(obs, ["r", "c"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    wide = (df.select(X.col(row).alias("r"), X.col(col).cast("string").alias("c"))
+            .groupBy("r").pivot("c").agg(F.count(F.lit(1))).na.fill(0))
+    cats = [x for x in wide.columns if x != "r"]
+    return wide.unpivot(["r"], cats, "c", "n")
 
 
 def crosstab_wide(df: DataFrame, row: str, col: str, values: Sequence | None = None) -> DataFrame:
@@ -164,10 +165,13 @@ def chi_square_from_table(table: DataFrame, group_cols: Sequence[str] = (),
     wg = Window.partitionBy(*g) if g else Window.partitionBy()
     wr = Window.partitionBy(*g, "r")
     wc = Window.partitionBy(*g, "c")
-    t = table.withColumns({
-        "_N": F.sum("n").over(wg), "_R": F.sum("n").over(wr), "_C": F.sum("n").over(wc),
-        "_nr": F.size(F.collect_set("r").over(wg)), "_nc": F.size(F.collect_set("c").over(wg)),
-    })
+    t = table.withColumns({"_N": F.sum("n").over(wg), "_R": F.sum("n").over(wr), "_C": F.sum("n").over(wc)})
+    cats = table.groupBy(*g).agg(F.countDistinct("r").alias("_nr"), F.countDistinct("c").alias("_nc"))
+    if g:
+        t = t.join(cats, g)
+    else:
+        one = cats.select(F.struct("_nr", "_nc")).scalar()
+        t = t.withColumns({"_nr": one["_nr"], "_nc": one["_nc"]})
     t = t.withColumn("_E", F.col("_R").cast("double") * F.col("_C") / F.col("_N")) \
         .withColumn("_dof", (F.col("_nr") - 1) * (F.col("_nc") - 1))
     dev = F.abs(F.col("n") - F.col("_E"))
@@ -280,15 +284,18 @@ class RankSpec:
 
 
 def _chi_long(base: DataFrame, specs: Sequence[ChiSpec], event: str) -> DataFrame:
-    """All contingency tables in one pass: (test, r, c, n)."""
-    stacked = base.select(F.col(event).alias("c"), F.explode(F.array(*[
+    """All contingency tables of a 0/1 event in one pass: (test, r, c, n).
+
+    Conditional counts give both event cells of every observed group (a
+    zero where a cell is empty), so no category grid is needed.
+    """
+    stacked = base.select(F.col(event).alias("_e"), F.explode(F.array(*[
         F.struct(F.lit(s.test).alias("test"), s.group().cast("string").alias("r")) for s in specs
-    ])).alias("_t")).select("_t.test", "_t.r", "c")
-    obs = stacked.groupBy("test", "r", "c").agg(F.count(F.lit(1)).alias("n"))
-    rs = obs.select("test", "r").distinct()
-    cs = obs.select("test", "c").distinct()
-    return rs.join(cs, "test").join(obs, ["test", "r", "c"], "left") \
-        .withColumn("n", F.coalesce("n", F.lit(0)))
+    ])).alias("_t")).select("_t.test", "_t.r", "_e")
+    counts = stacked.groupBy("test", "r").agg(F.count_if(F.col("_e") == 1).alias("1"),
+                                             F.count_if(F.col("_e") == 0).alias("0"))
+    return counts.unpivot(["test", "r"], ["1", "0"], "c", "n") \
+        .withColumn("c", F.col("c").cast("int"))
 
 
 def chi_square_battery(base: DataFrame, specs: Sequence[ChiSpec], event: str,

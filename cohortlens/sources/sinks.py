@@ -29,9 +29,10 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
 
 def load_confirmation(source: DataFrame, loaded: DataFrame) -> DataFrame:
     """V3: (rows_written, rows_read_back, confirmed)."""
-    a = source.agg(F.count(F.lit(1)).alias("rows_written"))
-    b = loaded.agg(F.count(F.lit(1)).alias("rows_read_back"))
-    return a.crossJoin(b).withColumn("confirmed", F.col("rows_written") == F.col("rows_read_back"))
+    back = loaded.agg(F.count(F.lit(1))).scalar()
+    return (source.agg(F.count(F.lit(1)).alias("rows_written"))
+            .withColumn("rows_read_back", back)
+            .withColumn("confirmed", F.col("rows_written") == F.col("rows_read_back")))
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, properties: Mapping[str, str] | None = None,
