@@ -58,3 +58,16 @@ def test_failed_audit_blocks_publish(spark):
     with pytest.raises(ValueError):
         S.staged_publish(df, os.path.join(work, "t"), lambda st: pre_export_audit(st, "k", "t", ["NO"], []))
     assert not os.path.exists(os.path.join(work, "t"))
+
+
+def test_run_pipeline_writes_reports_and_clean_table(spark):
+    from cohortlens.plans.pipeline import run_pipeline
+    from cohortlens.session import materialize
+    work = tempfile.mkdtemp(prefix="cohortlens-run-")
+    raw = materialize(_raw(spark), "raw-test")
+    paths = run_pipeline(raw, work)
+    assert spark.read.parquet(paths["clean_table"]).count() == raw.dropDuplicates().count()
+    kpi = spark.read.option("header", "true").csv(paths["kpi_overall"]).collect()
+    assert len(kpi) == 1 and int(kpi[0]["total_encounters"]) > 0
+    assert spark.read.option("header", "true").csv(paths["test_battery"]).count() == 7
+    assert spark.read.option("header", "true").csv(paths["e14_encounter_tier"]).count() == 4
