@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from .clean import sentinel_counts  # noqa: F401  (Q2 lives with the cleaning rules)
+from .segments import present
 
 
 def _rows(one: DataFrame, specs: list[tuple[str, dict]]) -> DataFrame:
@@ -27,40 +28,41 @@ def _rows(one: DataFrame, specs: list[tuple[str, dict]]) -> DataFrame:
 def profile_structure(df: DataFrame, exact_distinct: bool = True) -> DataFrame:
     """Q1: (column, dtype, non_null, null_count, null_pct, unique, sample_value).
 
-    Counts and samples come from one aggregate.  Exact distinct counts use
-    one long-form (column, value) distinct pass instead of N COUNT(DISTINCT)
-    expressions (which Spark would expand N-fold); ``exact_distinct=False``
-    switches to HyperLogLog++ in the same aggregate.  The sample is the
-    smallest non-null value, which is deterministic (row order is not).
+    Counts and samples come from one aggregate, reshaped into one row per
+    column; derived figures are computed once on the reshaped rows.  Exact
+    distinct counts use one long-form (column, value) distinct pass instead of
+    N COUNT(DISTINCT) expressions (which Spark would expand N-fold);
+    ``exact_distinct=False`` switches to HyperLogLog++ in the same aggregate.
+    The sample is the smallest non-null value, which is deterministic (row
+    order is not).
     """
-    cols = df.columns
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    for i, c in enumerate(cols):
-        aggs += [F.count(F.col(c)).alias(f"n{i}"), F.min(F.col(c)).cast("string").alias(f"s{i}")]
+    fields = df.schema.fields
+    # Wide per-column aggregates written as SQL expressions: one call into the
+    # JVM instead of hundreds of small Column objects.
+    aggs = ["count(1) AS _rows"]
+    for i, f in enumerate(fields):
+        q = _ident(f.name)
+        aggs += [f"count({q}) AS n{i}", f"CAST(min({q}) AS STRING) AS s{i}"]
         if not exact_distinct:
-            aggs.append(F.approx_count_distinct(F.col(c)).alias(f"d{i}"))
-    one = df.agg(*aggs)
-    specs = []
-    for i, c in enumerate(cols):
-        fields = {
-            "dtype": F.lit(df.schema[c].dataType.simpleString()),
-            "non_null": F.col(f"n{i}"),
-            "null_count": F.col("_rows") - F.col(f"n{i}"),
-            "null_pct": X.rate_pct(F.col("_rows") - F.col(f"n{i}"), F.col("_rows")),
-            "sample_value": F.coalesce(F.col(f"s{i}"), F.lit("ALL NULL")),
-        }
-        if not exact_distinct:
-            fields["unique"] = F.col(f"d{i}")
-        specs.append((c, fields))
-    out = _rows(one, specs)
+            aggs.append(f"approx_count_distinct({q}) AS d{i}")
+    one = df.selectExpr(*aggs)
+    structs = []
+    for i, f in enumerate(fields):
+        uniq = f", d{i} AS unique" if not exact_distinct else ""
+        structs.append(f"struct({_lit(f.name)} AS column, {_lit(f.dataType.simpleString())} AS dtype, "
+                       f"n{i} AS non_null, _rows AS rows, s{i} AS sample{uniq})")
+    out = one.selectExpr(f"inline(array({', '.join(structs)}))")
     if exact_distinct:
-        long = df.unpivot([], [F.col(c).cast("string").alias(c) for c in cols], "column", "value")
+        long = df.unpivot([], [F.col(f.name).cast("string").alias(f.name) for f in fields], "column", "value")
         uniq = (long.filter(F.col("value").isNotNull()).distinct()
                 .groupBy("column").agg(F.count(F.lit(1)).alias("unique")))
         out = out.join(uniq, "column", "left").withColumn("unique", F.coalesce("unique", F.lit(0)))
-    return out.select("column", "dtype", "non_null", "null_count", "null_pct",
-                      F.col("unique").cast("long").alias("unique"), "sample_value") \
-        .orderBy(F.desc("null_pct"), "column")
+    nulls = F.col("rows") - F.col("non_null")
+    return out.select("column", "dtype", "non_null", nulls.alias("null_count"),
+                      X.rate_pct(nulls, "rows").alias("null_pct"),
+                      F.col("unique").cast("long").alias("unique"),
+                      F.coalesce("sample", F.lit("ALL NULL")).alias("sample_value")) \
+        .transform(present, F.desc("null_pct"), "column")
 
 
 def profile_cardinality(df: DataFrame, cols: Sequence[str], top_n: int = 10,
@@ -91,9 +93,10 @@ def profile_cardinality(df: DataFrame, cols: Sequence[str], top_n: int = 10,
 def profile_numerics(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
     """Q4: count, min, max, mean, median, std, Q1, Q3, skew, IQR, range.
 
-    One aggregate pass.  Quantiles are exact (linear interpolation); std is
-    the sample standard deviation; skew is bias-corrected (pandas ``skew``).
-    Mean/std/skew are rounded to ``digits`` decimals.
+    One aggregate pass, reshaped into one row per column.  Quantiles are exact
+    (linear interpolation); std is the sample standard deviation; skew is
+    bias-corrected (pandas ``skew``).  Mean/std/skew are rounded to
+    ``digits`` decimals.
     """
     aggs = []
     for i, c in enumerate(cols):
@@ -103,17 +106,15 @@ def profile_numerics(df: DataFrame, cols: Sequence[str], digits: int = 6) -> Dat
                  F.skewness(x).alias(f"sk{i}"),
                  F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}")]
     one = df.agg(*aggs)
-    specs = []
-    for i, c in enumerate(cols):
-        q = F.col(f"q{i}")
-        specs.append((c, {
-            "count": F.col(f"n{i}"), "min": F.col(f"mn{i}"), "max": F.col(f"mx{i}"),
-            "mean": F.round(F.col(f"av{i}"), digits), "median": q[1],
-            "std": F.round(F.col(f"sd{i}"), digits), "q1": q[0], "q3": q[2],
-            "skew": F.round(X.skew_unbiased(F.col(f"sk{i}"), F.col(f"n{i}")), digits),
-            "iqr": q[2] - q[0], "range": F.col(f"mx{i}") - F.col(f"mn{i}"),
-        }))
-    return _rows(one, specs)
+    long = _rows(one, [(c, {"count": F.col(f"n{i}"), "min": F.col(f"mn{i}"), "max": F.col(f"mx{i}"),
+                            "av": F.col(f"av{i}"), "sd": F.col(f"sd{i}"), "g1": F.col(f"sk{i}"),
+                            "q": F.col(f"q{i}")}) for i, c in enumerate(cols)])
+    q = F.col("q")
+    return long.select(
+        "column", "count", "min", "max", F.round("av", digits).alias("mean"), q[1].alias("median"),
+        F.round("sd", digits).alias("std"), q[0].alias("q1"), q[2].alias("q3"),
+        F.round(X.skew_unbiased(F.col("g1"), F.col("count")), digits).alias("skew"),
+        (q[2] - q[0]).alias("iqr"), (F.col("max") - F.col("min")).alias("range"))
 
 
 def class_balance(df: DataFrame, target: str) -> DataFrame:
@@ -149,6 +150,14 @@ def column_drilldown(df: DataFrame, column: str, sentinel: str = "?", top_n: int
                       stats["equality_hits"].alias("equality_hits"), stats["regex_hits"].alias("regex_hits"))
 
 
+def _ident(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _lit(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _regex_escape(s: str) -> str:
     return "".join("\\" + ch if not ch.isalnum() else ch for ch in s)
 
