@@ -220,20 +220,19 @@ def value_frequencies(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def iqr_fences(freq: DataFrame, multiplier: float = 1.5) -> DataFrame:
-    """(column, q1, q3, lower_bound, upper_bound, rows) per column.
+    """(column, q1, q3, lower_bound, upper_bound, rows) per column, one aggregate.
 
     Quantiles are exact with linear interpolation (``percentile`` with a
-    frequency weight), matching PERCENTILE_CONT and pandas.
+    frequency weight, NULL values ignored), matching PERCENTILE_CONT and
+    pandas; ``rows`` counts every row, NULLs included.
     """
-    q = freq.filter(F.col("value").isNotNull()).groupBy("column").agg(
-        F.percentile("value", F.array(F.lit(0.25), F.lit(0.75)), F.col("n")).alias("_q"))
-    rows = freq.groupBy("column").agg(F.sum("n").alias("rows"))
-    iqr = F.col("_q")[1] - F.col("_q")[0]
-    return (q.join(rows, "column")
-            .select("column", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("q3"),
-                    (F.col("_q")[0] - F.lit(multiplier) * iqr).alias("lower_bound"),
-                    (F.col("_q")[1] + F.lit(multiplier) * iqr).alias("upper_bound"),
-                    "rows"))
+    q = freq.groupBy("column").agg(
+        F.percentile("value", F.array(F.lit(0.25), F.lit(0.75)), F.col("n")).alias("_q"),
+        F.sum("n").alias("rows"))
+    q1, q3 = F.col("_q")[0], F.col("_q")[1]
+    return q.select("column", q1.alias("q1"), q3.alias("q3"),
+                    (q1 - F.lit(multiplier) * (q3 - q1)).alias("lower_bound"),
+                    (q3 + F.lit(multiplier) * (q3 - q1)).alias("upper_bound"), "rows")
 
 
 def flag_iqr_outliers(df: DataFrame, cols: Sequence[str], multiplier: float = 1.5,
@@ -243,29 +242,33 @@ def flag_iqr_outliers(df: DataFrame, cols: Sequence[str], multiplier: float = 1.
 
     The fences are one row per column; pivoted into one struct they become a
     single scalar subquery, which Spark evaluates once and hands to every
-    task as a value (no join at all).
+    task as a value (no join at all).  The report counts values outside the
+    fences from the value-frequency table, not from the rows.
     """
     freq = value_frequencies(df, cols)
     fences = iqr_fences(freq, multiplier)
-    one_row = fences.groupBy().pivot("column", list(cols)).agg(
-        F.first("lower_bound").alias("lo"), F.first("upper_bound").alias("hi"))
-    bounds = one_row.select(F.struct(*[F.col(f"{c}_{b}") for c in cols for b in ("lo", "hi")])).scalar()
+    bounds = (fences.groupBy().pivot("column", list(cols))
+              .agg(F.first("lower_bound").alias("lo"), F.first("upper_bound").alias("hi"))
+              .select(F.struct(*[F.col(f"{c}_{b}") for c in cols for b in ("lo", "hi")])).scalar())
     flags = {}
     for c in cols:
         v = X.num(c)
         flags[f"{c}_outlier_flag"] = X.flag((v < bounds[f"{c}_lo"]) | (v > bounds[f"{c}_hi"]))
-    flagged = df.withColumns(flags)
-    flagged = flagged.withColumn(any_flag, X.flag(sum(F.col(f) for f in flags) > 0))
-    flagged = flagged.select(*df.columns, *flags.keys(), any_flag)
-
-    outside = (freq.join(fences.select("column", "lower_bound", "upper_bound"), "column")
-               .groupBy("column").agg(F.sum(F.when(
-                   (F.col("value") < F.col("lower_bound")) | (F.col("value") > F.col("upper_bound")),
-                   F.col("n")).otherwise(0)).alias("outlier_count")))
-    report = (fences.join(outside, "column")
-              .select("column",
-                      F.round("lower_bound", 2).alias("lower_bound"),
-                      F.round("upper_bound", 2).alias("upper_bound"),
+    any_out = X.flag(sum(expr for expr in flags.values()) > 0)
+    flagged = df.select(*df.columns, *[e.alias(n) for n, e in flags.items()], any_out.alias(any_flag))
+
+    def bound(side: str) -> Column:
+        out = None
+        for c in cols:
+            cond = F.col("column") == c
+            out = F.when(cond, bounds[f"{c}_{side}"]) if out is None else out.when(cond, bounds[f"{c}_{side}"])
+        return out
+
+    lo, hi = bound("lo"), bound("hi")
+    outside = (F.col("value") < lo) | (F.col("value") > hi)
+    report = (freq.groupBy("column")
+              .agg(F.sum("n").alias("rows"), F.sum(F.when(outside, F.col("n")).otherwise(0)).alias("outlier_count"))
+              .select("column", F.round(lo, 2).alias("lower_bound"), F.round(hi, 2).alias("upper_bound"),
                       F.col("outlier_count").cast("long").alias("outlier_count"),
                       X.rate_pct("outlier_count", "rows").alias("outlier_pct")))
     return flagged, report
