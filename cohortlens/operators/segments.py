@@ -108,11 +108,20 @@ class Mean(Metric):
 
 @dataclass(frozen=True)
 class Median(Metric):
-    """PERCENTILE_CONT(q) (exact, linear interpolation) as DOUBLE."""
+    """PERCENTILE_CONT(q) (exact, linear interpolation) as DOUBLE.
+
+    The exact form keeps a value -> count map per group (small for count-like
+    measures).  ``approx=True`` uses the mergeable ``percentile_approx``
+    sketch instead, for continuous measures with many distinct values.
+    """
     column: str = ""
     q: float = 0.5
+    approx: bool = False
+    accuracy: int = 10_000
 
     def aggs(self):
+        if self.approx:
+            return [F.percentile_approx(F.col(self.column), self.q, self.accuracy).cast("double").alias(self.name)]
         return [F.percentile(F.col(self.column), F.lit(self.q)).alias(self.name)]
 
 

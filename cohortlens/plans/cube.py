@@ -250,3 +250,17 @@ CUBE_QUERIES = {
     "g5_active_meds_vs_baseline": active_meds_vs_baseline,
     "j3_admission_type_labels": admission_type_labels,
 }
+
+
+def kpi_view_row_counts(base: DataFrame, cube: DataFrame) -> DataFrame:
+    """K9 with the cube-served views read from the segment totals."""
+    from functools import reduce
+
+    from . import kpi
+    served = {"vw_kpi_readmission_by_diagnosis": kpi_by_diagnosis(cube),
+              "vw_kpi_readmission_by_disposition": kpi_by_disposition(cube),
+              "vw_kpi_readmission_by_age": kpi_by_age(cube),
+              "vw_kpi_readmission_by_specialty": kpi_by_specialty(cube)}
+    parts = [(served[name] if name in served else fn(base)).agg(F.count(F.lit(1)).alias("rows"))
+             .select(F.lit(name).alias("view_name"), "rows") for name, fn in kpi.KPI_VIEWS.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)

@@ -562,3 +562,12 @@ def on_cube(fn):
 for _name, _fn in CUBE_QUERIES.items():
     assert _name in QUERIES, _name
     QUERIES[_name] = on_cube(_fn)
+
+
+def _k9(spark, sf_dir):
+    from .cube import kpi_view_row_counts
+    layers = build_layers(spark, sf_dir)
+    return kpi_view_row_counts(layers.base, layers.cube)
+
+
+QUERIES["k9_view_row_counts"] = _k9
