@@ -33,6 +33,9 @@ def read_raw(spark: SparkSession, path: str, schema: T.StructType | None = None,
         reader = reader.schema(schema)
     if fmt == "csv":
         options.setdefault("header", "true")
+        # Raw text is kept exactly as delivered; stripping is a cleaning rule.
+        options.setdefault("ignoreLeadingWhiteSpace", "false")
+        options.setdefault("ignoreTrailingWhiteSpace", "false")
     for k, v in options.items():
         reader = reader.option(k, v)
     return reader.load(path)

@@ -50,6 +50,9 @@ def ingest_raw_files(spark: SparkSession, source_dir: str, target_dir: str, chec
     reader = spark.readStream.schema(schema).format(fmt)
     if fmt == "csv":
         options.setdefault("header", "true")
+        # Raw text is kept exactly as delivered; stripping is a cleaning rule.
+        options.setdefault("ignoreLeadingWhiteSpace", "false")
+        options.setdefault("ignoreTrailingWhiteSpace", "false")
     if max_files_per_trigger:
         options["maxFilesPerTrigger"] = str(max_files_per_trigger)
     for k, v in options.items():
