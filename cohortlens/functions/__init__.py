@@ -20,6 +20,5 @@ from .expr import (  # noqa: F401
     split_first,
     strip,
     title_case,
-    try_number,
     upper_bands,
 )

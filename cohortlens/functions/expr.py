@@ -114,11 +114,6 @@ def num(c: ColumnOrName) -> Column:
     return F.nanvl(v, F.lit(None).cast("double"))
 
 
-def try_number(c: ColumnOrName, to: str = "double") -> Column:
-    """``pd.to_numeric(errors='coerce')``: unparsable text becomes NULL."""
-    return F.expr(f"try_cast({c} as {to})") if isinstance(c, str) else c.try_cast(to)
-
-
 # ---------------------------------------------------------------------------
 # Row-wise reductions
 # ---------------------------------------------------------------------------
@@ -167,10 +162,6 @@ def upper_bands(c: ColumnOrName, pairs: Sequence[tuple[int, str]], rest: str) ->
     return out.otherwise(F.lit(rest))
 
 
-def value_labels(c: ColumnOrName, pairs: Sequence[tuple[str, str]], rest: str) -> Column:
-    return code_label(c, pairs, rest)
-
-
 def icd_chapter(c: ColumnOrName) -> Column:
     """ICD-9 primary diagnosis -> chapter label.
 

@@ -29,9 +29,6 @@ class Metric:
     def post(self) -> Column:
         return F.col(self.name)
 
-    def helpers(self) -> list[str]:
-        return []
-
     def from_totals(self) -> Column:
         """The metric from pre-aggregated totals (see ``segment_cube``)."""
         raise ValueError(f"{type(self).__name__} cannot be derived from segment totals")
@@ -76,8 +73,6 @@ class Rate(Metric):
     def from_totals(self):
         return X.rate_pct(f"s_{self.flag}", "n", self.digits)
 
-    def helpers(self):
-        return [f"_{self.name}_s", f"_{self.name}_n"]
 
 
 @dataclass(frozen=True)
@@ -102,8 +97,6 @@ class Mean(Metric):
         return X.round_ratio(f"s_{self.column}_x{self.scale}", F.col(f"c_{self.column}") * self.scale,
                              self.digits)
 
-    def helpers(self):
-        return [f"_{self.name}_s", f"_{self.name}_n"]
 
 
 @dataclass(frozen=True)

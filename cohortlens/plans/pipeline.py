@@ -110,10 +110,6 @@ def build_layers(spark: SparkSession, sf_dir: str, materialized: bool = True) ->
     return layers
 
 
-def base_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_layers(spark, sf_dir).base
-
-
 def run_pipeline(raw: DataFrame, out_dir: str) -> dict[str, str]:
     """Entry A end to end on a stored raw table.
 
