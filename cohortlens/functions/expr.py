@@ -103,6 +103,29 @@ def title_case(c: ColumnOrName) -> Column:
     return F.when(simple, F.initcap(c)).otherwise(general)
 
 
+def _sql_ident(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _sql_unicode(text: str) -> str:
+    """A SQL string literal with every character written as a unicode escape."""
+    return "'" + "".join(f"\\u{ord(ch):04x}" for ch in text) + "'"
+
+
+def strip_title_sql(name: str, upper: bool = False) -> str:
+    """``title_case(strip(name))`` (optionally upper-cased) as one SQL expression.
+
+    The same expression tree as the Column functions, written as text so a
+    wide projection costs one call into the JVM per column.
+    """
+    x = f"btrim({_sql_ident(name)}, {_sql_unicode(_WHITESPACE)})"
+    marked = f"regexp_replace({x}, '([^\\\\p{{L}}])', concat('$1', {_sql_unicode(_TITLE_MARK + ' ')}))"
+    general = f"replace(initcap({marked}), {_sql_unicode(_TITLE_MARK + ' ')}, '')"
+    simple = f"translate({x}, '{_ASCII_LETTERS_SPACE}', '') = ''"
+    out = f"CASE WHEN {simple} THEN initcap({x}) ELSE {general} END"
+    return f"upper({out})" if upper else out
+
+
 def split_first(c: ColumnOrName, sep_regex: str = r"\.") -> Column:
     """``astype(str).str.split('.').str[0]`` (NULL stays NULL)."""
     return F.split(col(c), sep_regex).getItem(0)

@@ -170,8 +170,8 @@ def standardize_text(df: DataFrame, upper_cols: Sequence[str] = (),
     def fix(c: str) -> Column:
         if c not in targets:
             return F.col(c)
-        v = X.title_case(X.strip(c))
-        return F.upper(v) if c in uppers else v
+        # One SQL expression per column (the same tree as title_case(strip(c))).
+        return F.expr(X.strip_title_sql(c, upper=c in uppers))
 
     return df.select(*[fix(c).alias(rename.get(c, c)) for c in df.columns])
 

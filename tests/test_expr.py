@@ -66,3 +66,14 @@ def test_age_midpoint(spark):
     df = spark.createDataFrame([("[70-80)",), ("[0-10)",), ("x",), (None,)], "a string")
     got = {r.a: r.m for r in df.select("a", X.age_midpoint("a").alias("m")).collect()}
     assert got["[70-80)"] == 75.0 and got["[0-10)"] == 5.0 and got["x"] is None and got[None] is None
+
+
+def test_sql_form_of_strip_title_equals_column_form(spark):
+    vals = TITLE_CASES + ["  tab\tsep ", " nbsp ", "x-y/z'w", "ÉCOLE élan"]
+    df = spark.createDataFrame([(v,) for v in vals] + [(None,)], "s string")
+    rows = df.select("s", F.expr(X.strip_title_sql("s")).alias("a"), X.title_case(X.strip("s")).alias("b"),
+                     F.expr(X.strip_title_sql("s", upper=True)).alias("u")).collect()
+    for r in rows:
+        assert r.a == r.b
+        if r.s is not None:
+            assert r.a == r.s.strip().title() and r.u == r.s.strip().title().upper()
