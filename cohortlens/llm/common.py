@@ -102,16 +102,17 @@ def gram_hash(h: np.ndarray, k: int) -> np.ndarray:
 
 class Bounded(dict):
     """A memo per worker process: ``self[key]`` computes missing values with
-    ``fn(key)`` and keeps at most ``limit`` of them (it is emptied when full)."""
+    ``fn(key)`` and keeps the first ``limit`` of them (frequent keys come early);
+    later ones are computed each time."""
 
     def __init__(self, fn, limit: int):
         super().__init__()
         self.fn, self.limit = fn, limit
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[key] = self.fn(key)
+        value = self.fn(key)
+        if len(self) < self.limit:
+            self[key] = value
         return value
 
 

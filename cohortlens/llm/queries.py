@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, url_filter
+from . import packing, quality_rules, url_filter
 from .common import read_table
 
 #: Host labels of advertising and gambling sites; the urls seen there make the block list.
@@ -27,6 +27,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(read_table(spark, sf_dir, "documents"))
+    return packing.with_crc32(pieces).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "window")
+
+
 OP2_SQL = r"""
 WITH u AS (
   SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS tail FROM pages),
@@ -81,6 +87,7 @@ FROM b
 QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op7_quality_rules": op7_quality_rules,
+    "op9_packing": op9_packing,
 }
 
 SQL = {
