@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality_rules, url_filter
+from . import license_scan, packing, quality_rules, toxicity, url_filter
 from .common import read_table
 
 #: Host labels of advertising and gambling sites; the urls seen there make the block list.
@@ -21,6 +21,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, listed).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.quality_rules(docs).select(
@@ -33,6 +37,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "window")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").filter(~toxicity.held_out(F.col("doc_id")))
+    model = toxicity.fit(docs, labels)
+    return toxicity.score_toxicity(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 OP2_SQL = r"""
 WITH u AS (
   SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS tail FROM pages),
@@ -86,8 +97,10 @@ FROM b
 
 QUERIES = {
     "op2_url_filter": op2_url_filter,
+    "op3_license_scan": op3_license_scan,
     "op7_quality_rules": op7_quality_rules,
     "op9_packing": op9_packing,
+    "op10_toxicity": op10_toxicity,
 }
 
 SQL = {
