@@ -2,7 +2,8 @@ r"""Toxicity: a linear classifier on character n-grams scaled by naive Bayes log
 
 Features: character 3- to 5-grams inside words (with word borders), hashed into
 ``2 ** BITS`` buckets; a document has as value of a bucket the number of its
-distinct words that hold the gram.  Training, on labelled rows only:
+distinct words that hold the gram, divided by the square root of the number of its
+distinct words.  That number's logarithm is one more input.  Training, on labelled rows only:
 
 1. ``ratios``: document counts per bucket and class by grouped aggregation;
    ``r = log((p + 1) / (P + 2)) - log((n + 1) / (N + 2))``.
@@ -26,6 +27,7 @@ same name.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -54,10 +56,16 @@ def distinct_words(text: str | None) -> set[str]:
     return set(text.lower().split()) if text else set()
 
 
+def shrink(size: np.ndarray) -> np.ndarray:
+    """Scale of a document's values, by its number of distinct words."""
+    return 5 / np.sqrt(np.maximum(size, 1))
+
+
 @dataclass(frozen=True)
 class Model:
     weights: np.ndarray   # weight times ratio, by bucket
     bias: float
+    length: float         # of log(1 + distinct words)
 
     def word(self, word: str) -> float:
         return float(self.weights[word_grams(word)].sum())
@@ -97,15 +105,15 @@ def ratios(train: DataFrame) -> tuple[np.ndarray, np.ndarray, float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic",
-        train_rows: int = TRAIN_ROWS, min_ratio: float = 1.0, min_docs: int = 3, l2: float = 0.05,
-        steps: int = 200) -> Model:
+        train_rows: int = TRAIN_ROWS, min_ratio: float = 1.0, min_docs: int = 3, l2: float = 1.0,
+        steps: int = 400) -> Model:
     train = training_rows(docs, labels, id_col, label_col, train_rows)
     p, n, size_p, size_n = ratios(train)
     weights = np.zeros(1 << BITS, np.float32)
     if not size_p or not size_n:
         share = size_p / (size_p + size_n) if size_p + size_n else 0.5
         share = min(max(share, 1e-3), 1 - 1e-3)
-        return Model(weights, float(np.log(share / (1 - share))))
+        return Model(weights, float(np.log(share / (1 - share))), 0.0)
     r = np.log((p + 1) / (size_p + 2)) - np.log((n + 1) / (size_n + 2))
     used = (np.abs(r) >= min_ratio) & (p + n >= min_docs)
     column = np.full(1 << BITS, -1, np.int32)
@@ -114,37 +122,43 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: s
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = Bounded(lambda w: [c for c in column[word_grams(w)].tolist() if c >= 0], 200_000)
         for batch in batches:
-            cols, counts = [], []
+            cols, counts, sizes = [], [], []
             for text in batch.column("text"):
-                got = np.array([c for w in distinct_words(text.as_py()) for c in kept[w]], np.int32)
+                words = distinct_words(text.as_py())
+                sizes.append(len(words))
+                got = np.array([c for w in words for c in kept[w]], np.int32)
                 c, k = np.unique(got, return_counts=True)
                 cols.append(c.astype(np.int32).tobytes())
-                counts.append(k.astype(np.int16).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(cols, pa.binary()), pa.array(counts, pa.binary()), batch.column("y")],
-                                             ["c", "k", "y"])
+                counts.append(k.astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cols, pa.binary()), pa.array(counts, pa.binary()), pa.array(sizes, pa.int32()), batch.column("y")],
+                ["c", "k", "size", "y"])
 
     # At most train_rows rows, each with the selected grams it holds.
-    rows = train.mapInArrow(encode, "c binary, k binary, y int").toPandas()
+    rows = train.mapInArrow(encode, "c binary, k binary, size int, y int").toPandas()
     col = [np.frombuffer(x, np.int32) for x in rows.c]
     doc = np.repeat(np.arange(len(rows)), [len(x) for x in col])
     col = np.concatenate(col)
-    val = np.concatenate([np.frombuffer(x, np.int16) for x in rows.k]) * r[used][col]
+    size = rows["size"].to_numpy(float)
+    val = np.concatenate([np.frombuffer(x, np.int32) for x in rows.k]) * r[used][col] * shrink(size)[doc]
+    log_size = np.log1p(size)
     y = (rows.y.to_numpy() == 1).astype(float)
     m = int(used.sum())
     w, b = np.zeros(m), float(np.log(size_p / size_n))
     # Diagonal bound on the curvature (each document's values share its row sum).
-    row = np.bincount(doc, np.abs(val), len(y)) + 1
+    row = np.bincount(doc, np.abs(val), len(y)) + 1 + log_size
     bound = np.bincount(col, np.abs(val) * row[doc], m) / 4 + l2
-    bound_b = row.sum() / 4
-    momentum, velocity, velocity_b = 0.9, np.zeros(m), 0.0
+    bound_b, bound_s = row.sum() / 4, (log_size * row).sum() / 4 + 1e-9
+    momentum, velocity, velocity_b, velocity_s, slope = 0.9, np.zeros(m), 0.0, 0.0, 0.0
     for _ in range(steps):
-        z = b + np.bincount(doc, val * w[col], len(y))
+        z = b + slope * log_size + np.bincount(doc, val * w[col], len(y))
         e = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
         velocity = momentum * velocity - (np.bincount(col, val * e[doc], m) + l2 * w) / bound
         velocity_b = momentum * velocity_b - e.sum() / bound_b
-        w, b = w + velocity, b + velocity_b
+        velocity_s = momentum * velocity_s - (e * log_size).sum() / bound_s
+        w, b, slope = w + velocity, b + velocity_b, slope + velocity_s
     weights[used] = w * r[used]
-    return Model(weights, float(b))
+    return Model(weights, float(b), float(slope))
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
@@ -160,8 +174,12 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
         fitted = shared.value
         sums = Bounded(fitted.word, 500_000)
         for batch in batches:
-            z = np.array([sum(map(sums.__getitem__, sorted(distinct_words(t.as_py())))) for t in batch.column("__text")], float)
-            s = 1 / (1 + np.exp(-np.clip(z + fitted.bias, -30, 30)))
+            z, size = np.zeros(len(batch)), np.zeros(len(batch))
+            for i, text in enumerate(batch.column("__text")):
+                words = distinct_words(text.as_py())
+                z[i], size[i] = math.fsum(map(sums.__getitem__, words)), len(words)
+            z = fitted.bias + fitted.length * np.log1p(size) + z * shrink(size)
+            s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(f.name) for f in carried] + [pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))],
                 [f.name for f in carried] + names)
