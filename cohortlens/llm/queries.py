@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, packing, quality_rules, toxicity, url_filter
+from . import language_id, license_scan, packing, quality_lm, quality_rules, toxicity, url_filter
 from .common import read_table
 
 #: Host labels of advertising and gambling sites; the urls seen there make the block list.
@@ -25,6 +25,17 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = read_table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return quality_lm.score_quality(read_table(spark, sf_dir, "documents"), trusted)
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, with markup language and host of the pages they were crawled from."""
+    evidence = language_id.page_evidence(read_table(spark, sf_dir, "pages"))
+    return language_id.identify(read_table(spark, sf_dir, "documents"), evidence=evidence).drop("__key")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.quality_rules(docs).select(
@@ -98,6 +109,8 @@ FROM b
 QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_license_scan": op3_license_scan,
+    "op4_quality_classifier": op4_quality_classifier,
+    "op5_language_id": op5_language_id,
     "op7_quality_rules": op7_quality_rules,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
