@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, license_scan, packing, quality_lm, quality_rules, toxicity, url_filter
+from . import language_id, license_scan, near_dedup, packing, quality_lm, quality_rules, toxicity, url_filter
 from .common import read_table
 
 #: Host labels of advertising and gambling sites; the urls seen there make the block list.
@@ -36,6 +36,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read_table(spark, sf_dir, "documents"), evidence=evidence).drop("__key")
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dedup.near_components(docs, shingle=3, num=85, den=100).drop("__key")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.quality_rules(docs).select(
@@ -111,6 +116,7 @@ QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_language_id": op5_language_id,
+    "op6_near_dedup": op6_near_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
