@@ -17,7 +17,7 @@ Text scores are one map over the documents; everything after it works on slim ro
 that holds a third of all rows is one row per map task.  The prior tables are joined
 by host and by domain as ordinary joins (splittable when skewed).
 
-``accepted`` is false where the text has no letters or digits, or where no language
+``kept`` is false where the text has no letters or digits, or where no language
 reaches ``min_posterior``.
 
 Defined cases: null and empty texts have a null language and are rejected.  A null
@@ -160,7 +160,7 @@ def _smoothed(own: list[Column], above: list[Column], weight: float) -> list[Col
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang",
              host_col: str = "source", evidence: DataFrame | None = None, train_rows: int = TRAIN_ROWS,
              max_grams: int = 200, smoothing: float = 20.0, min_posterior: float = 0.5) -> DataFrame:
-    """One row per document: id_col, language, posterior, text_language, declared, host, accepted, __key.
+    """One row per document: id_col, language, posterior, text_language, declared, host, kept, __key.
 
     ``evidence`` (id, declared, host), at most one row per id, overrides the declared
     language and host that come with the documents."""
@@ -168,11 +168,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
                        primary_tag(F.col(declared_col)).alias("declared"),
                        F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"))
     langs, table = fit_text_model(rows, train_rows)
-    names = ["id", "key", "language", "posterior", "text_language", "declared", "host", "accepted"]
+    names = ["id", "key", "language", "posterior", "text_language", "declared", "host", "kept"]
     if not langs:
         none = F.lit(None).cast("string")
         out = rows.select("id", row_key("id", "text").alias("key"), none.alias("language"), F.lit(0.0).alias("posterior"),
-                          none.alias("text_language"), "declared", "host", F.lit(False).alias("accepted"))
+                          none.alias("text_language"), "declared", "host", F.lit(False).alias("kept"))
         return out.select(*names).withColumnsRenamed({"id": id_col, "key": "__key"})
     scored = stored(text_scores(rows, table, max_grams), "language-scores")
     if evidence is not None:
@@ -217,7 +217,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     df = (df.withColumn("language", F.when(F.col("known"), F.get(known_langs, F.array_position("logs", F.col("top")).cast("int") - 1)))
           .withColumn("posterior", F.when(F.col("known"), 1 / norm).otherwise(0.0))
           .withColumn("text_language", F.get(known_langs, F.col("best"))))
-    df = df.withColumn("accepted", F.col("known") & (F.col("posterior") >= min_posterior))
+    df = df.withColumn("kept", F.col("known") & (F.col("posterior") >= min_posterior))
     return df.select(*names).withColumnsRenamed({"id": id_col, "key": "__key"})
 
 
@@ -238,5 +238,5 @@ def page_evidence(pages: DataFrame) -> DataFrame:
 def accepted_documents(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rejected rows.  The rejected rows' keys are written first, so
     that the planner knows their size: few of them are broadcast, many are joined by a shuffle."""
-    gone = stored(decisions.filter(~F.col("accepted")).select("__key").distinct(), "language-rejected")
+    gone = stored(decisions.filter(~F.col("kept")).select("__key").distinct(), "language-rejected")
     return docs.join(gone, row_key(id_col, F.col(text_col).cast("string")) == F.col("__key"), "left_anti")

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hash, hash_words, mix, row_key, space_words, stored
+from .common import fresh, gram_hash, hash_words, mix, row_key, space_words, stored
 from .components import connected_components
 
 ROWS = 4            # MinHash values in a band
@@ -230,7 +230,7 @@ def confirmed_links(members: DataFrame, num: int, den: int) -> DataFrame:
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
                     num: int = 80, den: int = 100) -> DataFrame:
-    """id_col, n_shingles, component_id, kept, __key (one row per input row)."""
+    """id_col, n_shingles, component_id, kept, __key, __group (one row per input row)."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("key", row_key("id", "text"))
@@ -253,8 +253,27 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     classes = classes.select("v", "rep").join(parts, F.col("v") == F.col("vertex"), "left").withColumn("part", F.coalesce("component", "v"))
     ids = classes.groupBy("part").agg(F.min("rep").alias("component_id"))
-    label = classes.join(ids, "part").select("v", "component_id")
+    label = classes.join(ids, "part").select("v", "part", "component_id")
     out = sig.select("id", "key", "n", "v").join(label, "v", "left")
     component = F.coalesce(F.col("component_id"), F.col("id")).cast(kind)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
-                      F.col("id").eqNullSafe(component).alias("kept"), F.col("key").alias("__key"))
+                      F.col("id").eqNullSafe(component).alias("kept"), F.col("key").alias("__key"),
+                      F.coalesce("part", "key").alias("__group"))
+
+
+def one_per_group(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each group of near duplicates: the kept id's, of several such
+    rows the one with the smallest key, of repeated rows one.  Documents without words stay
+    (repeated rows of them once).  ``found``: the result of ``near_components``."""
+    found = stored(found, "near-found")
+    best = found.groupBy("__group").agg(F.min(F.struct(~F.col("kept"), F.col("__key"))).getField("__key").alias("best"))
+    best = best.select(F.col("__group").alias("g"), "best")
+    rows = found.groupBy("__group", "__key").agg(F.count("*").alias("m")).join(best, F.col("__group") == F.col("g"))
+    # Written first, so that the planner knows the sizes: few keys are broadcast, many are joined by a shuffle.
+    gone = stored(rows.filter((F.col("__key") != F.col("best")) | (F.col("m") > 1)).select("__key").distinct(), "near-gone")
+    again = stored(rows.filter((F.col("__key") == F.col("best")) & (F.col("m") > 1)).select("__key").distinct(), "near-repeated")
+    key = fresh(docs, "row")
+    keyed = docs.withColumn(key, row_key(id_col, F.col(text_col).cast("string")))
+    once = keyed.join(gone, F.col(key) == F.col("__key"), "left_anti")
+    repeated = keyed.join(again, F.col(key) == F.col("__key"), "left_semi").dropDuplicates([key])
+    return once.unionByName(repeated).drop(key)

@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, license_scan, near_dedup, packing, quality_lm, quality_rules, substring_dedup, toxicity, url_filter
+from . import decontaminate, language_id, license_scan, near_dedup, packing, quality_lm, quality_rules, substring_dedup, toxicity, url_filter
 from .common import read_table
 
 #: Host labels of advertising and gambling sites; the urls seen there make the block list.
 SPAM_LABELS = ("ads-track", "free-bets", "cheap-pills", "spam-farm", "casino-win", "adult-x")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and benchmark item that it leaks."""
+    docs, items = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    return decontaminate.find_leaks(docs, items).drop("__key")
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url against the rules and against the canonical URLs seen on spam hosts."""
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
@@ -38,7 +44,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return near_dedup.near_components(docs, shingle=3, num=85, den=100).drop("__key")
+    return near_dedup.near_components(docs, shingle=3, num=85, den=100).drop("__key", "__group")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,6 +124,7 @@ FROM b
     {w for ws in quality_rules.STOP_WORDS.values() for w in ws})) + "]")
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_url_filter": op2_url_filter,
     "op3_license_scan": op3_license_scan,
     "op4_quality_classifier": op4_quality_classifier,

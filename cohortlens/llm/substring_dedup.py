@@ -309,3 +309,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 [f.name for f in carried] + names)
 
     return df.mapInArrow(remove, schema)
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
+    """``docs`` with the repeated spans cut out of the texts; other texts stay as they are, white
+    space included.  ``n_chars`` follows the text if the table has it."""
+    names = docs.columns
+    cut = remove_repeats(docs, id_col, text_col, window)
+    cut = cut.withColumn(text_col, F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col(text_col)))
+    if "n_chars" in names and docs.schema["n_chars"].dataType.simpleString() in ("bigint", "int"):
+        kind = docs.schema["n_chars"].dataType
+        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length(text_col).cast(kind)).otherwise(F.col("n_chars")))
+    return cut.select(*[F.col(f"`{c}`") for c in names])
