@@ -59,6 +59,10 @@ def main() -> None:
     # The same reports submitted together, as a report refresh runs them.
     from cohortlens.plans.pipeline import run_reports
     actions = {n: (lambda n=n: registry.QUERIES[n](spark, sf_dir).collect()) for n in suite}
+    # The refresh builds the shared segment totals itself.
+    if layers._cube is not None:
+        layers._cube.unpersist()
+        layers._cube = None
     timed("kpi_eda_batch", lambda: run_reports(actions, threads=cpus))
 
     from cohortlens.plans import eda, kpi

@@ -47,6 +47,17 @@ def round_ratio(num: ColumnOrName, den: ColumnOrName, digits: int = 2) -> Column
     return F.when(d > 0, signed.cast("double") / F.lit(float(scale)))
 
 
+def round_ratio_wide(num: Column, den: Column, digits: int = 2) -> Column:
+    """``round_ratio`` for products of counts: the arithmetic is DECIMAL(38,0)."""
+    wide = "decimal(38,0)"
+    n, d = num.cast(wide), den.cast(wide)
+    twice = F.lit(2 * 10 ** digits).cast("decimal(6,0)")
+    top = (F.abs(n).cast("decimal(31,0)") * twice + d).cast(wide)
+    q = idiv(top, (d.cast("decimal(37,0)") * F.lit(2).cast("decimal(1,0)")).cast(wide)).cast("double")
+    signed = F.when(n < 0, -q).otherwise(q)
+    return F.when(d > 0, signed / F.lit(float(10 ** digits)))
+
+
 def rate_pct(events: ColumnOrName, total: ColumnOrName, digits: int = 2) -> Column:
     """``ROUND(events * 100.0 / total, digits)``."""
     return round_ratio(col(events).cast("long") * 100, total, digits)
@@ -79,8 +90,8 @@ _TITLE_MARK = "\u0001"
 _ASCII_LETTERS_SPACE = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ "
 
 
-# Characters ``str.strip`` removes in the Latin-1 range.
-_WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
+# The characters ``str.strip`` removes (all Unicode white space).
+_WHITESPACE = "".join(chr(i) for i in range(0x110000) if chr(i).isspace())
 
 
 def strip(c: ColumnOrName) -> Column:
@@ -122,7 +133,9 @@ def strip_title_sql(name: str, upper: bool = False) -> str:
     marked = f"regexp_replace({x}, '([^\\\\p{{L}}])', concat('$1', {_sql_unicode(_TITLE_MARK + ' ')}))"
     general = f"replace(initcap({marked}), {_sql_unicode(_TITLE_MARK + ' ')}, '')"
     simple = f"translate({x}, '{_ASCII_LETTERS_SPACE}', '') = ''"
-    out = f"CASE WHEN {simple} THEN initcap({x}) ELSE {general} END"
+    # Values without letters (codes, bands, doses) have no case to change.
+    caseless = f"upper({x}) = lower({x})"
+    out = f"CASE WHEN {simple} THEN initcap({x}) WHEN {caseless} THEN {x} ELSE {general} END"
     return f"upper({out})" if upper else out
 
 

@@ -18,7 +18,7 @@ from .clean import string_columns
 
 
 def _check(name: str, observed: Column, expected, op: str = "==") -> Column:
-    exp = F.lit(expected).cast("long")
+    exp = (expected if isinstance(expected, Column) else F.lit(expected)).cast("long")
     obs = observed.cast("long")
     passed = {"==": obs == exp, ">=": obs >= exp, "<=": obs <= exp, ">": obs > exp}[op]
     return F.struct(F.lit(name).alias("check"), obs.alias("observed"), exp.alias("expected"),
@@ -26,19 +26,20 @@ def _check(name: str, observed: Column, expected, op: str = "==") -> Column:
 
 
 def pre_export_audit(df: DataFrame, pk: str, target: str, valid_target: Sequence[str],
-                     expected_features: Sequence[str], sentinel: str = "?") -> DataFrame:
+                     expected_features: Sequence[str], sentinel: str = "?", expected_columns: int | None = None) -> DataFrame:
     """V1: residual sentinels, key nulls, binary flags, expected features,
-    target vocabulary, plus the frame's shape."""
+    target vocabulary (a NULL target is outside it), plus the frame's shape:
+    at least one row, and ``expected_columns`` columns if given."""
     strings = string_columns(df)
     flags = [c for c in df.columns if c.endswith("_flag")]
     sentinel_hits = sum((F.count_if(F.col(c) == sentinel) for c in strings), F.lit(0))
     aggs = [F.count(F.lit(1)).alias("rows"), sentinel_hits.alias("sentinels"),
             F.count_if(F.col(pk).isNull()).alias("pk_nulls"),
-            F.count_if(F.col(target).isNotNull() & ~F.col(target).isin(list(valid_target))).alias("bad_target")]
+            F.count_if(F.col(target).isNull() | ~F.col(target).isin(list(valid_target))).alias("bad_target")]
     aggs += [F.count_if(~F.col(f).isin(0, 1) | F.col(f).isNull()).alias(f"nb_{i}") for i, f in enumerate(flags)]
     one = df.agg(*aggs)
     checks = [_check("rows", F.col("rows"), 1, ">="),
-              _check("columns", F.lit(len(df.columns)), len(df.columns)),
+              *([_check("columns", F.lit(len(df.columns)), expected_columns)] if expected_columns is not None else []),
               _check("residual_sentinels", F.col("sentinels"), 0),
               _check("primary_key_nulls", F.col("pk_nulls"), 0),
               _check("unexpected_target_values", F.col("bad_target"), 0)]
@@ -49,11 +50,12 @@ def pre_export_audit(df: DataFrame, pk: str, target: str, valid_target: Sequence
 
 def post_load_validation(loaded: DataFrame, source_rows: DataFrame, pk: str, target: str,
                          valid_target: Sequence[str], exclusion_flags: Sequence[str],
-                         ranges: dict[str, tuple[float, float]]) -> DataFrame:
+                         ranges: dict[str, tuple[float, float]], expected_excluded: DataFrame | None = None) -> DataFrame:
     """V2: the seven integrity checks on a loaded table.
 
     row count = source rows, key unique, key non-null, target vocabulary,
-    flags binary, exclusion count (reported), feature ranges.
+    flags binary, excluded rows = rows that match the exclusion rules in the source
+    (``expected_excluded``, a one-row frame), feature ranges.
     """
     flags = [c for c in loaded.columns if c.endswith("_flag")]
     excluded = X.row_any([F.col(f) == 1 for f in exclusion_flags])
@@ -67,25 +69,25 @@ def post_load_validation(loaded: DataFrame, source_rows: DataFrame, pk: str, tar
         non_binary.alias("non_binary"), F.sum(excluded).alias("excluded"),
         out_of_range.alias("out_of_range"))
     one = one.withColumn("source_rows", source_rows.select(F.col(source_rows.columns[0])).scalar())
+    expected = expected_excluded.select(F.col(expected_excluded.columns[0])).scalar() if expected_excluded is not None else F.col("excluded")
+    one = one.withColumn("expected_excluded", expected)
     checks = [_check("row_count_matches_source", F.col("rows"), F.col("source_rows"), "=="),
               _check("primary_key_unique", F.col("rows") - F.col("keys"), 0),
               _check("primary_key_not_null", F.col("pk_nulls"), 0),
               _check("target_in_vocabulary", F.col("bad_target"), 0),
               _check("flags_binary", F.col("non_binary"), 0),
-              _check("exclusions_flagged", F.col("excluded"), 0, ">="),
+              _check("exclusions_flagged", F.col("excluded"), F.col("expected_excluded")),
               _check("features_in_range", F.col("out_of_range"), 0)]
     return one.select(F.inline(F.array(*checks)))
 
 
 def vocabulary_check(df: DataFrame, vocab: dict[str, Sequence[str]]) -> DataFrame:
     """V4: per column, distinct values outside its vocabulary (NULL ignored)."""
-    parts = []
-    for c, valid in vocab.items():
-        parts.append(df.select(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
-                     .filter(F.col("value").isNotNull() & ~F.col("value").isin(list(valid))))
-    bad = parts[0]
-    for p in parts[1:]:
-        bad = bad.unionByName(p)
+    long = df.unpivot([], [F.col(c).cast("string").alias(c) for c in vocab], "column", "value")
+    valid = F.lit(False)
+    for c, values in vocab.items():
+        valid = valid | ((F.col("column") == c) & F.col("value").isin(list(values)))
+    bad = long.filter(F.col("value").isNotNull() & ~valid)
     return bad.groupBy("column", "value").agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -111,7 +113,7 @@ def null_reconciliation(raw: DataFrame, replaced: DataFrame, sentinel: str = "?"
 
 def enforce(report: DataFrame, passed_col: str = "passed") -> DataFrame:
     """Raise if any check failed (the report is a handful of rows)."""
-    failed = report.filter(~F.col(passed_col)).limit(20).collect()
+    failed = report.filter(~F.col(passed_col)).collect()
     if failed:
         raise ValueError("audit failed: " + "; ".join(str(r.asDict()) for r in failed))
     return report

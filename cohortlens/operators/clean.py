@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import expr as X
+from .slicing import exact_quantiles
 
 
 def string_columns(df: DataFrame) -> list[str]:
@@ -73,9 +74,10 @@ def flag_key_conflicts(deduped: DataFrame, pk: str, flag_col: str = "duplicate_f
     whose hot partitions AQE splits.  ``deduped`` is read twice, so callers
     that computed it expensively should persist it first.
     """
-    conflicts = (deduped.groupBy(pk).agg(F.count(F.lit(1)).alias("_copies"))
-                 .filter(F.col("_copies") > 1).select(pk, F.lit(1).alias(flag_col)))
-    return (deduped.join(conflicts, on=pk, how="left")
+    conflicts = (deduped.groupBy(F.col(pk).alias("_pk")).agg(F.count(F.lit(1)).alias("_copies"))
+                 .filter(F.col("_copies") > 1).select("_pk", F.lit(1).alias(flag_col)))
+    # Null-safe: rows that share a NULL key are in conflict as well.
+    return (deduped.join(conflicts, F.col(pk).eqNullSafe(F.col("_pk")), "left")
             .withColumn(flag_col, F.coalesce(F.col(flag_col), F.lit(0)).cast("int"))
             .select(*deduped.columns, flag_col))
 
@@ -87,9 +89,11 @@ def entity_frequency(df: DataFrame, entity: str) -> DataFrame:
                    F.max("n").alias("max_rows_per_entity"))
 
 
-def duplicate_summary(raw: DataFrame, pk: str) -> DataFrame:
-    """One row: exact duplicate rows removed and rows flagged as key conflicts."""
-    deduped = remove_duplicates(raw, pk)
+def duplicate_summary(raw: DataFrame, pk: str, deduplicated: DataFrame | None = None) -> DataFrame:
+    """One row: exact duplicate rows removed and rows flagged as key conflicts.
+
+    ``deduplicated`` is the stored de-duplicated table, if there is one."""
+    deduped = remove_duplicates(raw, pk) if deduplicated is None else flag_key_conflicts(deduplicated, pk)
     after = deduped.agg(F.struct(F.count(F.lit(1)).alias("rows"),
                                  F.sum("duplicate_flag").cast("long").alias("conflicts"))).scalar()
     return raw.agg(F.count(F.lit(1)).alias("rows_before")).select(
@@ -220,15 +224,14 @@ def value_frequencies(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def iqr_fences(freq: DataFrame, multiplier: float = 1.5) -> DataFrame:
-    """(column, q1, q3, lower_bound, upper_bound, rows) per column, one aggregate.
+    """(column, q1, q3, lower_bound, upper_bound, rows) per column.
 
-    Quantiles are exact with linear interpolation (``percentile`` with a
-    frequency weight, NULL values ignored), matching PERCENTILE_CONT and
-    pandas; ``rows`` counts every row, NULLs included.
+    Quantiles are exact with linear interpolation (order statistics from prefix
+    sums of the frequency table, NULL values ignored), matching PERCENTILE_CONT
+    and pandas; ``rows`` counts every row, NULLs included.
     """
-    q = freq.groupBy("column").agg(
-        F.percentile("value", F.array(F.lit(0.25), F.lit(0.75)), F.col("n")).alias("_q"),
-        F.sum("n").alias("rows"))
+    rows = freq.groupBy("column").agg(F.sum("n").alias("rows"))
+    q = rows.join(exact_quantiles(freq, ["column"], "value", "n", [0.25, 0.75]).drop("n"), "column", "left")
     q1, q3 = F.col("_q")[0], F.col("_q")[1]
     return q.select("column", q1.alias("q1"), q3.alias("q3"),
                     (q1 - F.lit(multiplier) * (q3 - q1)).alias("lower_bound"),

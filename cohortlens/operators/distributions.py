@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
+from .slicing import exact_quantiles
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
@@ -48,21 +49,22 @@ def box_stats(df: DataFrame, cols: Sequence[str], by: str, whisker: float = 1.5)
     """G1: per (column, group): n, q1, median, q3, iqr, whiskers (the most
     extreme data within ``whisker`` x IQR of the box) and the flier count."""
     freq = group_frequencies(df, cols, by)
-    qs = freq.groupBy("column", "grp").agg(
-        F.sum("n").alias("n"),
-        F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n")).alias("_q"))
+    qs = exact_quantiles(freq, ["column", "grp"], "value", "n", [0.25, 0.5, 0.75])
     qs = qs.select("column", "grp", "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
                    F.col("_q")[2].alias("q3"))
     qs = qs.withColumn("iqr", F.col("q3") - F.col("q1"))
     lo = F.col("q1") - whisker * F.col("iqr")
     hi = F.col("q3") + whisker * F.col("iqr")
-    j = freq.join(qs.select("column", "grp", "q1", "q3", "iqr"), ["column", "grp"])
+    box = qs.select(F.col("column").alias("_c"), F.col("grp").alias("_g"), "q1", "q3", "iqr")
+    j = freq.join(box, (F.col("column") == F.col("_c")) & F.col("grp").eqNullSafe(F.col("_g")))
     w = j.groupBy("column", "grp").agg(
         F.min(F.when(F.col("value") >= lo, F.col("value"))).alias("whisker_low"),
         F.max(F.when(F.col("value") <= hi, F.col("value"))).alias("whisker_high"),
         F.sum(F.when((F.col("value") < lo) | (F.col("value") > hi), F.col("n")).otherwise(0))
         .cast("long").alias("fliers"))
-    return qs.join(w, ["column", "grp"]).withColumnRenamed("grp", by)
+    w = w.withColumnsRenamed({"column": "_c", "grp": "_g"})
+    return (qs.join(w, (F.col("column") == F.col("_c")) & F.col("grp").eqNullSafe(F.col("_g")))
+            .drop("_c", "_g").withColumnRenamed("grp", by))
 
 
 def histogram(df: DataFrame, column: str, by: str, bins: int = 20) -> DataFrame:

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from .clean import sentinel_counts  # noqa: F401  (Q2 lives with the cleaning rules)
+from .clean import value_frequencies
 from .segments import present
+from .slicing import exact_quantiles
 
 
 def _rows(one: DataFrame, specs: list[tuple[str, dict]]) -> DataFrame:
@@ -94,7 +96,7 @@ def profile_numerics(df: DataFrame, cols: Sequence[str], digits: int = 6) -> Dat
     """Q4: count, min, max, mean, median, std, Q1, Q3, skew, IQR, range.
 
     One aggregate pass, reshaped into one row per column.  Quantiles are exact
-    (linear interpolation); std is the sample standard deviation; skew is
+    (linear interpolation), from prefix sums of value frequencies; std is the sample standard deviation; skew is
     bias-corrected (pandas ``skew``).  Mean/std/skew are rounded to
     ``digits`` decimals.
     """
@@ -103,13 +105,13 @@ def profile_numerics(df: DataFrame, cols: Sequence[str], digits: int = 6) -> Dat
         x = X.num(c)
         aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}"),
                  F.avg(x).alias(f"av{i}"), F.stddev_samp(x).alias(f"sd{i}"),
-                 F.skewness(x).alias(f"sk{i}"),
-                 F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}")]
+                 F.skewness(x).alias(f"sk{i}")]
     one = df.agg(*aggs)
     long = _rows(one, [(c, {"count": F.col(f"n{i}"), "min": F.col(f"mn{i}"), "max": F.col(f"mx{i}"),
-                            "av": F.col(f"av{i}"), "sd": F.col(f"sd{i}"), "g1": F.col(f"sk{i}"),
-                            "q": F.col(f"q{i}")}) for i, c in enumerate(cols)])
-    q = F.col("q")
+                            "av": F.col(f"av{i}"), "sd": F.col(f"sd{i}"), "g1": F.col(f"sk{i}")}) for i, c in enumerate(cols)])
+    quantiles = exact_quantiles(value_frequencies(df, cols), ["column"], "value", "n", [0.25, 0.5, 0.75]).drop("n")
+    long = long.join(quantiles, "column", "left")
+    q = F.col("_q")
     return long.select(
         "column", "count", "min", "max", F.round("av", digits).alias("mean"), q[1].alias("median"),
         F.round("sd", digits).alias("std"), q[0].alias("q1"), q[2].alias("q3"),

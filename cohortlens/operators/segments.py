@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
+from .slicing import exact_quantiles, same_keys
 
 
 @dataclass(frozen=True)
@@ -103,9 +104,9 @@ class Mean(Metric):
 class Median(Metric):
     """PERCENTILE_CONT(q) (exact, linear interpolation) as DOUBLE.
 
-    The exact form keeps a value -> count map per group (small for count-like
-    measures).  ``approx=True`` uses the mergeable ``percentile_approx``
-    sketch instead, for continuous measures with many distinct values.
+    The exact form ranks the group's value frequencies by prefix sums (see
+    ``exact_quantiles``), so no task holds a group's values.  ``approx=True`` uses
+    the mergeable ``percentile_approx`` sketch in the same aggregate.
     """
     column: str = ""
     q: float = 0.5
@@ -115,7 +116,14 @@ class Median(Metric):
     def aggs(self):
         if self.approx:
             return [F.percentile_approx(F.col(self.column), self.q, self.accuracy).cast("double").alias(self.name)]
-        return [F.percentile(F.col(self.column), F.lit(self.q)).alias(self.name)]
+        return []
+
+    def joined(self, df: DataFrame, keys: Sequence[tuple[str, Column]]) -> DataFrame:
+        """(_m0.., name): the exact quantile per group of ``keys``."""
+        names = [f"_m{i}" for i in range(len(keys))]
+        freq = (df.select(*[c.alias(n) for n, (_, c) in zip(names, keys, strict=True)], F.col(self.column).alias("_v"))
+                .groupBy(*names, "_v").agg(F.count(F.lit(1)).alias("_w")))
+        return exact_quantiles(freq, names, "_v", "_w", [self.q]).select(*names, F.col("_q")[0].alias(self.name))
 
 
 @dataclass(frozen=True)
@@ -160,6 +168,14 @@ def segment_rates(df: DataFrame, by: Sequence[str | tuple[str, Column]], metrics
     out = df.groupBy(*[c.alias(n) for n, c in pairs]).agg(*aggs)
     if min_rows is not None:
         out = out.filter(F.col("_having_n") >= min_rows)
+    for m in metrics:
+        if isinstance(m, Median) and not m.approx:
+            q = m.joined(df, pairs)
+            if pairs:
+                names = [f"_m{i}" for i in range(len(pairs))]
+                out = out.join(q, same_keys([F.col(n) for n, _ in pairs], [F.col(n) for n in names]), "left").drop(*names)
+            else:
+                out = out.withColumn(m.name, q.select(m.name).scalar())
     return out.select(*[n for n, _ in pairs], *[m.post().alias(m.name) for m in metrics])
 
 

@@ -4,17 +4,19 @@ A plain ``Window.partitionBy(key)`` sends every row of a key to one task.  If
 one entity holds a large share of the table that task becomes the whole job,
 so ``sequence`` splits the work:
 
-* keys with at most ``hot_rows`` rows use ordinary window functions;
-* rows of hotter keys are range-partitioned on ``(key, order...)``, which
-  cuts a hot key into contiguous ordered slices of bounded size.  Window
-  functions run per slice and a small per-slice summary (row count, first
-  and last row) supplies the offsets and the neighbours across slice edges.
-
-Hot keys are detected on a sample (candidates are bounded by
-``2 * rows / hot_rows``) and the slice summary holds at most ``hot keys +
-slices`` rows, so both are broadcast with a proven bound.  Whether any key is
-hot is decided first by one small job, so a table without hot keys gets the
-plain one-shuffle plan.
+* keys with few rows use ordinary window functions;
+* keys with more than ``hot_rows`` rows are cut into ordered slices by split
+  points taken from the data (``slicing.ordered_slices``): the slice is an
+  expression of the row, so every reader of the sliced frame agrees on it.
+  Window functions run per slice and a small per-slice summary (row count,
+  first and last row) supplies the offsets and the neighbours across slice
+  edges.
+
+Both ways give the same columns; ``hot_rows`` only decides who does the work.
+Whether any key is hot is decided by one small count (each key's rows are counted
+with map-side combining), so a table without hot keys gets the plain one-shuffle
+plan.  No side is broadcast by hint: the hot-key list and the slice summary are
+joined as the planner sees fit for their size.
 """
 
 from __future__ import annotations
@@ -24,8 +26,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .slicing import ordered_slices
+
 DEFAULT_HOT_ROWS = 2_000_000
-SAMPLE_HITS = 200
 
 
 def _order_cols(order: Sequence[str]):
@@ -48,19 +51,10 @@ def sequence(df: DataFrame, key: str, order: Sequence[str], *,
     """
     prev = dict(prev or {})
     nxt = dict(nxt or {})
-    spark = df.sparkSession
     cols = df.columns
 
-    # Hot keys are found on a sample: a key at the threshold contributes about
-    # SAMPLE_HITS sampled rows, so one holding a large share of the table
-    # cannot be missed.  Both paths are exact, so a borderline key landing on
-    # either side only changes balance, never results.  The candidate list is
-    # bounded by 2 * rows / hot_rows keys.
-    fraction = min(1.0, SAMPLE_HITS / float(hot_rows))
-    cut = max(1.0, fraction * hot_rows / 2.0)
-    hot = (df.select(key).sample(fraction=fraction, seed=17).groupBy(key)
-           .agg(F.count(F.lit(1)).alias("_hits")).filter(F.col("_hits") >= cut)
-           .select(key, F.lit(1).alias("_hot")))
+    hot = (df.groupBy(F.col(key).alias("_hot_key")).agg(F.count(F.lit(1)).alias("_rows"))
+           .filter(F.col("_rows") > hot_rows).select("_hot_key", F.lit(1).alias("_hot")))
     # One small job decides the plan; only the first hot key, if any, reaches
     # the driver.
     has_hot = len(hot.take(1)) > 0
@@ -80,15 +74,13 @@ def sequence(df: DataFrame, key: str, order: Sequence[str], *,
     if not has_hot:
         out = df.withColumns(add)
         return _finish(out, seq, count)
-    tagged = df.join(F.broadcast(hot), on=key, how="left")
+    tagged = df.join(hot, F.col(key).eqNullSafe(F.col("_hot_key")), "left").drop("_hot_key")
     cold = tagged.filter(F.col("_hot").isNull())
     cold = cold.withColumns(add).select(*cols, *add.keys())
 
     # ---- hot keys: ordered slices + slice summary ----------------------
-    n_slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hot_part = (tagged.filter(F.col("_hot").isNotNull())
-                .repartitionByRange(n_slices, F.col(key), *[F.col(c) for c in order])
-                .withColumn("_slice", F.spark_partition_id()))
+    per_slice = max(1, hot_rows // max(1, slices)) if slices else hot_rows
+    hot_part = ordered_slices(tagged.filter(F.col("_hot").isNotNull()).drop("_hot"), [key], order, per_slice)
     ws = Window.partitionBy(key, "_slice").orderBy(*_order_cols(order))
     ws_all = Window.partitionBy(key, "_slice")
     carried = sorted(set(prev.values()) | set(nxt.values()))
@@ -113,7 +105,8 @@ def sequence(df: DataFrame, key: str, order: Sequence[str], *,
         **({"_prev_last": F.lag("_last").over(wk), "_next_first": F.lead("_first").over(wk)}
            if carried else {}),
     })
-    joined = local.join(F.broadcast(summary), on=[key, "_slice"], how="left")
+    summary = summary.withColumnRenamed(key, "_skey").withColumnRenamed("_slice", "_sslice")
+    joined = local.join(summary, F.col(key).eqNullSafe(F.col("_skey")) & (F.col("_slice") == F.col("_sslice")))
     hot_add = {}
     if seq:
         hot_add[seq] = (F.col("_rn") + F.col("_offset")).cast("int")

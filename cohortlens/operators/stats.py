@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import expr as X
+from .slicing import ROWS_PER_SLICE, exact_quantiles, prefix_sum
 
 try:  # ship the small tail-probability helpers with the UDFs, by value,
     from pyspark import cloudpickle  # so Python workers need no package import
@@ -78,7 +79,7 @@ def chi2_sf(x: float, dof: int) -> float:
 
 def chi2_critical(dof: int, alpha: float = C.ALPHA) -> float:
     """Critical value by bisection on the survival function."""
-    lo, hi = 0.0, 1000.0
+    lo, hi = 0.0, 1000.0 + 10.0 * dof
     for _ in range(200):
         mid = (lo + hi) / 2
         if chi2_sf(mid, dof) > alpha:
@@ -121,10 +122,16 @@ def normal_two_sided_p(z) -> Column:
     return _udf(_normal_p)(X.col(z))
 
 
+def _chi2_limit(dof: pd.Series) -> pd.Series:
+    return pd.Series([chi2_critical(int(d)) if pd.notna(d) and d > 0 else np.nan for d in dof])
+
+
 def critical_value(dof: Column) -> Column:
-    out = None
+    """Critical value at the 5 % level: fixed values up to 30 degrees of freedom, the
+    survival function's inverse beyond (vectorised UDF on result rows)."""
+    out = F.when(dof > max(CHI2_CRITICAL), _udf(_chi2_limit)(dof))
     for d, v in CHI2_CRITICAL.items():
-        out = F.when(dof == d, F.lit(v)) if out is None else out.when(dof == d, F.lit(v))
+        out = out.when(dof == d, F.lit(v))
     return out
 
 
@@ -133,17 +140,14 @@ def critical_value(dof: Column) -> Column:
 # ---------------------------------------------------------------------------
 
 def contingency(df: DataFrame, row: Column | str, col: Column | str) -> DataFrame:
-    """Long contingency table (r, c, n) including zero cells.
+    """Observed cells (r, c, n) of a contingency table (A20); ``c`` is text.
 
-    One aggregation pivots the column categories into columns (a zero where
-    a cell is empty); unpivoting gives the long form with every cell.  The
-    column categories are the pivot values (bounded by
-    ``spark.sql.pivotMaxValues``); ``c`` comes back as text.
+    One partially aggregated count, with no limit on the categories of either side.
+    Empty cells are left out; ``chi_square_from_table`` accounts for them from the
+    margins, so no grid of categories is built.
     """
-    wide = (df.select(X.col(row).alias("r"), X.col(col).cast("string").alias("c"))
-            .groupBy("r").pivot("c").agg(F.count(F.lit(1))).na.fill(0))
-    cats = [x for x in wide.columns if x != "r"]
-    return wide.unpivot(["r"], cats, "c", "n")
+    return (df.select(X.col(row).alias("r"), X.col(col).cast("string").alias("c"))
+            .groupBy("r", "c").agg(F.count(F.lit(1)).alias("n")))
 
 
 def crosstab_wide(df: DataFrame, row: str, col: str, values: Sequence | None = None) -> DataFrame:
@@ -159,7 +163,9 @@ def chi_square_from_table(table: DataFrame, group_cols: Sequence[str] = (),
 
     With ``correction`` and one degree of freedom the Yates continuity
     correction is applied: each |O - E| shrinks by up to 0.5.
-    Returns (group..., n, dof, chi2).
+    Returns (group..., n, dof, chi2).  Cells may be missing: an empty cell adds
+    its expected count E (Yates: (max(E - 0.5, 0))^2 / E), and the E of all cells add
+    up to n, so without correction the empty ones add n - sum of the observed cells' E.
     """
     g = list(group_cols)
     wg = Window.partitionBy(*g) if g else Window.partitionBy()
@@ -178,8 +184,20 @@ def chi_square_from_table(table: DataFrame, group_cols: Sequence[str] = (),
     if correction:
         dev = F.when(F.col("_dof") == 1, F.greatest(dev - 0.5, F.lit(0.0))).otherwise(dev)
     t = t.withColumn("_term", dev * dev / F.col("_E"))
-    return t.groupBy(*g).agg(F.first("_N").alias("n"), F.first("_dof").cast("int").alias("dof"),
-                             F.sum("_term").alias("chi2"))
+    out = t.groupBy(*g).agg(F.first("_N").alias("n"), F.first("_dof").cast("int").alias("dof"),
+                            F.sum("_term").alias("_seen"), F.sum("_E").alias("_sumE"),
+                            F.count(F.lit(1)).alias("_cells"), F.first(F.col("_nr") * F.col("_nc")).alias("_grid"),
+                            F.min("_E").alias("_minE"))
+    lost = F.when(F.col("_cells") < F.col("_grid"), F.greatest(F.col("n") - F.col("_sumE"), F.lit(0.0))).otherwise(0.0)
+    if correction:
+        # In a 2 x 2 grid without an empty row or column, two empty cells lie on a
+        # diagonal and have the same expected count.
+        empty = F.col("_grid") - F.col("_cells")
+        yates = F.greatest(lost / empty - 0.5, F.lit(0.0))
+        extra = F.when(lost <= 0, 0.0).when(F.col("dof") == 1, empty * yates * yates / (lost / empty)).otherwise(lost)
+    else:
+        extra = lost
+    return out.withColumn("chi2", F.col("_seen") + extra).select(*g, "n", "dof", "chi2")
 
 
 def chi_square_test(df: DataFrame, row: Column | str, col: Column | str,
@@ -194,56 +212,44 @@ def chi_square_test(df: DataFrame, row: Column | str, col: Column | str,
 # Mann-Whitney U (two-sided, tie and continuity corrected)
 # ---------------------------------------------------------------------------
 
-def prefix_sum(df: DataFrame, order_col: str, value_col: str, out: str,
-               group_cols: Sequence[str] = (), slices: int | None = None) -> DataFrame:
-    """Exclusive running sum of ``value_col`` in ``order_col`` order.
-
-    The frame is range-partitioned on (group..., order) into ordered slices;
-    each slice's total is a one-row-per-slice summary, whose running offsets
-    (a window over at most ``slices`` rows per group) are broadcast back.  No
-    task ever holds more than one slice.
-    """
-    g = list(group_cols)
-    n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = df.repartitionByRange(n, *[F.col(c) for c in g], F.col(order_col)) \
-        .withColumn("_slice", F.spark_partition_id())
-    tot = part.groupBy(*g, "_slice").agg(F.sum(value_col).alias("_slice_total"))
-    ws = Window.partitionBy(*g).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.withColumn("_offset", F.coalesce(F.sum("_slice_total").over(ws), F.lit(0)))
-    wl = Window.partitionBy(*g, "_slice").orderBy(order_col) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    local = part.withColumn("_local", F.coalesce(F.sum(value_col).over(wl), F.lit(0)))
-    return (local.join(F.broadcast(tot.select(*g, "_slice", "_offset")), [*g, "_slice"])
-            .withColumn(out, F.col("_offset") + F.col("_local"))
-            .drop("_slice", "_offset", "_local"))
-
-
 def rank_frequencies(df: DataFrame, value: Column | str, in_first: Column,
                      group: Column | None = None) -> DataFrame:
-    """(g, v, n1, n0) value-frequency table of two samples, NULLs dropped."""
+    """([g,] v, n1, n0) value-frequency table of two samples, NULLs dropped; ``g`` only
+    with a ``group`` (a constant key would turn the joins by key into nested loops)."""
     v = X.col(value).cast("double").alias("v")
-    keys = [group.alias("g")] if group is not None else [F.lit("all").alias("g")]
+    keys = [group.alias("g")] if group is not None else []
     return (df.filter(X.col(value).isNotNull() & in_first.isNotNull())
             .groupBy(*keys, v)
             .agg(F.count_if(in_first).alias("n1"), F.count_if(~in_first).alias("n0")))
 
 
-def mann_whitney_from_freq(freq: DataFrame) -> DataFrame:
-    """H2 from a (g, v, n1, n0) frequency table; one row per g.
+def mann_whitney_from_freq(freq: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """H2 from a ([g,] v, n1, n0) frequency table; one row per g, or one row without g.
 
     Mid-ranks come from the running count of smaller values:
     midrank(v) = below(v) + (n(v) + 1) / 2.  U1 is the statistic of the first
     sample; z uses max(U1, U2), the tie term and the continuity correction.
     """
+    g = ["g"] if "g" in freq.columns else []
     f = freq.withColumn("n", F.col("n1") + F.col("n0"))
-    f = prefix_sum(f, "v", "n", "below", group_cols=["g"])
+    f = prefix_sum(f, "v", "n", "below", group_cols=g, rows_per_slice=rows_per_slice)
     f = f.withColumn("midrank", F.col("below") + (F.col("n") + 1) / 2.0)
-    agg = f.groupBy("g").agg(
+    # t^3 - t as DECIMAL: a tie of 2.1 million rows already exceeds LONG.
+    t = F.col("n").cast("decimal(19,0)")
+    tie = (t * t).cast("decimal(38,0)") * F.col("n").cast("decimal(19,0)") - t
+    tie = tie.cast("decimal(38,0)")
+    agg = f.groupBy(*g).agg(
         F.sum("n1").alias("n1"), F.sum("n0").alias("n0"),
         F.sum(F.col("n1") * F.col("midrank")).alias("r1"),
-        F.sum(F.col("n") * F.col("n") * F.col("n") - F.col("n")).alias("tie_term"),
-        F.percentile(F.when(F.col("n1") > 0, F.col("v")), F.lit(0.5), F.col("n1")).alias("median1"),
-        F.percentile(F.when(F.col("n0") > 0, F.col("v")), F.lit(0.5), F.col("n0")).alias("median0"))
+        F.sum(tie).alias("tie_term"))
+    for side in ("n1", "n0"):
+        name = f"median{side[1]}"
+        q = exact_quantiles(freq, g, "v", side, [0.5], rows_per_slice=rows_per_slice)
+        if g:
+            q = q.select(F.col("g").alias("_qg"), F.col("_q")[0].alias(name))
+            agg = agg.join(q, F.col("g").eqNullSafe(F.col("_qg")), "left").drop("_qg")
+        else:
+            agg = agg.withColumn(name, q.select(F.col("_q")[0]).scalar())
     n1, n0 = F.col("n1").cast("double"), F.col("n0").cast("double")
     nn = n1 + n0
     u1 = F.col("r1") - n1 * (n1 + 1) / 2
@@ -255,7 +261,7 @@ def mann_whitney_from_freq(freq: DataFrame) -> DataFrame:
 
 def mann_whitney_test(df: DataFrame, value: str, in_first: Column) -> DataFrame:
     """H2: one row (n1, n0, u1, u2, tie_term, median1, median0, z, p_value, significant)."""
-    res = mann_whitney_from_freq(rank_frequencies(df, value, in_first)).drop("g")
+    res = mann_whitney_from_freq(rank_frequencies(df, value, in_first))
     return res.withColumn("p_value", normal_two_sided_p("z")) \
         .withColumn("significant", F.col("p_value") < C.ALPHA)
 
@@ -334,7 +340,7 @@ def rank_battery(base: DataFrame, specs: Sequence[RankSpec], in_first: Column,
                      F.lit(s.reason).alias("reason")) for s in specs]
     meta = base.sparkSession.range(1).select(F.inline(F.array(*rows)))
     return (meta.join(res, "g").withColumnRenamed("g", "test")
-            .withColumn("z", F.round("z", digits))
+            .withColumn("z", F.round("z", digits)).withColumn("tie_term", F.col("tie_term").cast("double"))
             .withColumn("significant", F.abs(F.col("z")) > C.Z_CRITICAL_TWO_SIDED)
             .select("test", "finding", "reason", "n1", "n0", "u1", "u2", "tie_term",
                     "median1", "median0", "z", "significant"))
@@ -345,13 +351,10 @@ def interpret_chi_square(res: DataFrame) -> DataFrame:
     gap = F.abs(F.col("rate1") - F.col("rate2"))
     sig = F.col("p_value") < C.ALPHA
     sentence = F.format_string(
-        "The %.2f percentage point difference between %s (%.2f%%) and %s (%.2f%%) %s statistically "
-        "significant. This difference %s be explained by random chance.",
-        gap, F.col("group1"), F.col("rate1"), F.col("group2"), F.col("rate2"),
-        F.when(sig, "IS").otherwise("IS NOT"), F.when(sig, "cannot").otherwise("could"))
-    note = F.when(sig & (gap < 0.5), F.format_string(
-        "Statistically significant but the rate difference is very small (%.2f pts); "
-        "statistical significance does not imply practical significance here.", gap))
+        "Chi-square: %s %.2f%%, %s %.2f%%, gap %.2f points; independence %s at the 5%% level.",
+        F.col("group1"), F.col("rate1"), F.col("group2"), F.col("rate2"), gap,
+        F.when(sig, "rejected").otherwise("not rejected"))
+    note = F.when(sig & (gap < 0.5), F.format_string("Gap of %.2f points only: weigh its size, not the test alone.", gap))
     return res.withColumns({"gap_pts": F.round(gap, 2), "interpretation": sentence, "note": note})
 
 
@@ -359,10 +362,9 @@ def interpret_mann_whitney(res: DataFrame) -> DataFrame:
     """H4: wording of a Mann-Whitney result with both medians."""
     sig = F.col("p_value") < C.ALPHA
     sentence = F.format_string(
-        "The difference in %s between the two groups (medians %.2f vs %.2f) %s statistically "
-        "significant (Mann-Whitney U, reason: %s).",
+        "Mann-Whitney: %s, medians %.2f and %.2f; equal distributions %s at the 5%% level (rank test because %s).",
         F.lower(F.col("finding")), F.col("median1"), F.col("median0"),
-        F.when(sig, "IS").otherwise("IS NOT"), F.col("reason"))
+        F.when(sig, "rejected").otherwise("not rejected"), F.col("reason"))
     return res.withColumn("interpretation", sentence)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -65,7 +65,7 @@ def top_specialties(base: DataFrame, k: int = C.TOP_SPECIALTIES,
     """
     out = segment_rates(base.filter(F.col("medical_specialty") != C.UNKNOWN), ["medical_specialty"],
                         RATE3() + [Mean("avg_los_days", "time_in_hospital")], min_rows=min_rows)
-    return present(out, F.desc("encounters"), "medical_specialty").limit(k)
+    return out.orderBy(F.desc("encounters"), "medical_specialty").limit(k)
 
 
 def rate_by_admission_source(base: DataFrame) -> DataFrame:
@@ -124,28 +124,43 @@ def segments_vs_baseline(base: DataFrame, column: str) -> DataFrame:
                            "readmission_rate_pct", "rate_30day_pct")
 
 
-def relative_risk(base: DataFrame) -> DataFrame:
-    """Repeat vs first-time relative risk, % higher and excess events.
+def diagnosis_vs_baseline(base: DataFrame) -> DataFrame:
+    """Diagnosis chapters against the overall 30-day rate."""
+    return versus_baseline(segment_rates(base, [("diagnosis_category", X.icd_chapter("diag_1"))], RATE3()),
+                           kpi_overall(base), "readmission_rate_pct", "rate_30day_pct")
+
 
-    Excess events = repeat encounters x (repeat rate - first-time rate).
+def segment_risk(base: DataFrame, segment: Column, event: str = EVENT) -> DataFrame:
+    """D2/D3 for any two segments: ``segment`` is true (exposed), false (reference) or NULL (neither).
+
+    One row: both rates, relative risk, % higher, and excess events
+    = exposed rows x (exposed rate - reference rate).
     """
-    r = segment_rates(base, [("is_repeat_patient", F.col("is_repeat_patient"))],
-                      [Count("n"), Sum("events", EVENT)])
-    one = r.agg(
-        F.max(F.when(F.col("is_repeat_patient") == 1, F.col("n"))).alias("n1"),
-        F.max(F.when(F.col("is_repeat_patient") == 1, F.col("events"))).alias("e1"),
-        F.max(F.when(F.col("is_repeat_patient") == 0, F.col("n"))).alias("n0"),
-        F.max(F.when(F.col("is_repeat_patient") == 0, F.col("events"))).alias("e0"))
+    s = base.select(segment.alias("_s"), F.col(event).alias("_e"))
+    one = s.agg(F.count_if(F.col("_s")).alias("n1"), F.count_if(~F.col("_s")).alias("n0"),
+                F.sum(F.when(F.col("_s"), F.col("_e"))).cast("long").alias("e1"),
+                F.sum(F.when(~F.col("_s"), F.col("_e"))).cast("long").alias("e0"))
+    return risk_from_counts(one)
+
+
+def risk_from_counts(one: DataFrame) -> DataFrame:
+    """(exposed_rate_pct, reference_rate_pct, relative_risk, pct_higher, excess_events) from
+    counts n1, e1, n0, e0; products of counts are DECIMAL, so they cannot overflow."""
+    w = lambda c: F.col(c).cast("decimal(18,0)")
     # rr = (e1/n1) / (e0/n0) = e1*n0 / (e0*n1)
-    rr_num = F.col("e1") * F.col("n0")
-    rr_den = F.col("e0") * F.col("n1")
-    excess_num = F.col("e1") * F.col("n0") - F.col("e0") * F.col("n1")
+    num, den = w("e1") * w("n0"), w("e0") * w("n1")
     return one.select(
-        X.rate_pct("e1", "n1").alias("repeat_rate_pct"),
-        X.rate_pct("e0", "n0").alias("first_time_rate_pct"),
-        X.round_ratio(rr_num, rr_den, 2).alias("relative_risk"),
-        X.round_ratio((rr_num - rr_den) * 100, rr_den, 2).alias("pct_higher"),
-        X.round_ratio(excess_num, F.col("n0"), 0).alias("excess_events"))
+        X.rate_pct("e1", "n1").alias("exposed_rate_pct"),
+        X.rate_pct("e0", "n0").alias("reference_rate_pct"),
+        X.round_ratio_wide(num, den, 2).alias("relative_risk"),
+        X.round_ratio_wide((num - den).cast("decimal(35,0)") * F.lit(100).cast("decimal(3,0)"), den, 2).alias("pct_higher"),
+        X.round_ratio_wide(num - den, w("n0"), 0).alias("excess_events"))
+
+
+def relative_risk(base: DataFrame) -> DataFrame:
+    """Repeat versus first-time patients."""
+    return segment_risk(base, F.col("is_repeat_patient") == 1).withColumnsRenamed(
+        {"exposed_rate_pct": "repeat_rate_pct", "reference_rate_pct": "first_time_rate_pct"})
 
 
 def share_vs_events(base: DataFrame) -> DataFrame:

@@ -142,6 +142,9 @@ KPI_VIEWS = {
 }
 
 
+KPI_VIEW_ORDER = tuple(KPI_VIEWS)
+
+
 def register_kpi_views(base: DataFrame, base_name: str = "vw_encounter_base") -> dict[str, DataFrame]:
     """Register the base view and the KPI views as temp views."""
     base.createOrReplaceTempView(base_name)

@@ -234,7 +234,7 @@ WITH f_ AS (SELECT CAST({value} AS DOUBLE) AS v, SUM(CASE WHEN {event} = 1 THEN
 r_ AS (SELECT *, n1 + n0 AS n, COALESCE(SUM(n1 + n0) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING
        AND 1 PRECEDING), 0) AS below FROM f_),
 a_ AS (SELECT CAST(SUM(n1) AS DOUBLE) AS n1, CAST(SUM(n0) AS DOUBLE) AS n0,
-       SUM(n1 * (below + (n + 1) / 2.0)) AS r1, CAST(SUM(n * n * n - n) AS BIGINT) AS tie_term FROM r_),
+       SUM(n1 * (below + (n + 1) / 2.0)) AS r1, CAST(SUM(n * n * n - n) AS DOUBLE) AS tie_term FROM r_),
 md_ AS (SELECT quantile_cont(CASE WHEN {event} = 1 THEN CAST({value} AS DOUBLE) END, 0.5) AS median1,
         quantile_cont(CASE WHEN {event} = 0 THEN CAST({value} AS DOUBLE) END, 0.5) AS median0 FROM base),
 u_ AS (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u1 FROM a_),

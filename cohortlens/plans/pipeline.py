@@ -17,7 +17,7 @@ from .. import config as C
 from ..operators import clean as CL
 from ..operators.encounters import encounter_base
 from ..operators.features import engineer_features
-from ..session import materialize
+from ..session import drop_stored, materialize
 from ..sources.adapter import raw_encounters
 
 MISSING_POLICY = dict(
@@ -31,14 +31,14 @@ def clean_encounters(raw: DataFrame, schema: C.EncounterSchema = C.ENCOUNTERS,
                      multiplier: float = 1.5, cached: list | None = None) -> tuple[DataFrame, DataFrame]:
     """C1-C9 then F1-F5; returns (clean table, outlier report).
 
-    The de-duplicated rows feed three readers (the key-conflict count, the
-    outlier fences and the row pass).  When ``cached`` is a list they are
-    persisted, so the scan and the de-duplication shuffle run once, and the
-    persisted frame is appended for the caller to release after writing.
+    The de-duplicated rows feed three readers here (the key-conflict count, the
+    outlier fences and the row pass) and several reports.  When ``cached`` is a
+    list they are written once to the checkpoint folder and the stored frame is
+    appended, so the de-duplication shuffle runs once.
     """
     df = CL.replace_sentinel(raw, schema.sentinel).dropDuplicates()
     if cached is not None:
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        df = materialize(df, "deduplicated")
         cached.append(df)
     df = CL.flag_key_conflicts(df, schema.primary_key)
     df = CL.treat_missing(df, **MISSING_POLICY)
@@ -59,6 +59,7 @@ class Layers:
     clean: DataFrame
     outliers: DataFrame
     base: DataFrame
+    deduplicated: DataFrame | None = None
     _cube: DataFrame | None = None
 
     @property
@@ -84,32 +85,69 @@ def layers_from_raw(raw: DataFrame, materialized: bool = True) -> Layers:
     clean, outliers = clean_encounters(raw, cached=cached if materialized else None)
     if materialized:
         clean = materialize(clean, "clean")
-        for frame in cached:
-            frame.unpersist()
         # The outlier report stays lazy: only the C9 report reads it, and it
         # recomputes from the stored raw table when asked.
     base = encounter_base(clean)
     if materialized:
         base = materialize(base, "base", cache=True)
-    return Layers(raw, clean, outliers, base)
+    kept = cached[0] if cached else CL.replace_sentinel(raw, C.ENCOUNTERS.sentinel).dropDuplicates()
+    return Layers(raw, clean, outliers, base, kept)
 
 
 def build_layers(spark: SparkSession, sf_dir: str, materialized: bool = True) -> Layers:
     """Layers of the driver dataset in ``sf_dir`` (through the encounter
-    adapter), built once per session and directory."""
+    adapter), built once per session, directory and state of its files.
+
+    New files under the same path are seen: the key holds the input files'
+    names, sizes and times, and the layers of the older state are released.
+    """
     key = (spark.sparkContext.applicationId, sf_dir, materialized)
+    state = input_state(spark, sf_dir)
     hit = _CACHE.get(key)
+    if hit is not None and hit[0] == state:
+        return hit[1]
     if hit is not None:
-        return hit
+        release_layers(hit[1])
     raw = raw_encounters(spark, sf_dir)
     if materialized:
         # The derived raw table is stored once, like the raw table of a warehouse.
         raw = materialize(raw, "raw")
     layers = layers_from_raw(raw, materialized)
-    _CACHE[key] = layers
+    _CACHE[key] = (state, layers)
     return layers
 
 
+def input_state(spark: SparkSession, sf_dir: str) -> tuple:
+    """(name, size, time) of the adapter's input files, through Spark's file systems."""
+    from ..sources.adapter import TABLES
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for name in TABLES:
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        fs = path.getFileSystem(conf)
+        if fs.exists(path):
+            out += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(path)]
+    return tuple(sorted(out))
+
+
+def release_layers(layers: Layers) -> None:
+    """Give back the cached frames of layers that are no longer read."""
+    for frame in (layers.base, layers._cube):
+        if frame is not None:
+            frame.unpersist()
+
+
+def drop_layers(spark: SparkSession, sf_dir: str) -> None:
+    """Forget the layers of ``sf_dir``: release what is cached and delete their stored tables."""
+    for materialized in (True, False):
+        hit = _CACHE.pop((spark.sparkContext.applicationId, sf_dir, materialized), None)
+        if hit is not None:
+            release_layers(hit[1])
+            if materialized:
+                for frame in (hit[1].raw, hit[1].deduplicated, hit[1].clean, hit[1].base):
+                    drop_stored(frame)
+
+
 def run_reports(actions: dict, threads: int = 8) -> dict[str, float]:
     """Run independent report actions concurrently; returns seconds per action.
 

@@ -3,7 +3,7 @@ three layers (raw, clean, base) of one dataset."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -15,7 +15,8 @@ from ..operators.encounters import base_totals
 from ..operators.features import feature_summary
 from ..session import checkpoint_dir
 from ..sources import sinks as S
-from .kpi import kpi_overall, kpi_view_row_counts
+from .kpi import KPI_VIEW_ORDER, kpi_overall, register_kpi_views
+from .oracle import CLEAN_COLS
 from .pipeline import MISSING_POLICY, build_layers
 
 S_ = C.ENCOUNTERS
@@ -29,6 +30,11 @@ FEATURE_RANGES = {"num_active_medications": (0, len(C.MEDICATION_COLS)), "age_mi
 V4_VOCAB = {"gender": C.VALID_GENDER, "readmitted": C.VALID_READMITTED,
             "change": C.VALID_CHANGE, "diabetesMed": C.VALID_DIABETES_MED}
 
+# Columns that the test battery reads (S3).
+BATTERY_COLUMNS = ["encounter_id", "patient_nbr", "gender", "age", "time_in_hospital", "number_inpatient",
+                   "total_prior_visits", "num_medications", "num_active_medications", "polypharmacy_flag",
+                   "A1Cresult", "change", "readmitted", "expired_or_hospice_flag", "gender_invalid_flag"]
+
 # Short column descriptions for the data dictionary (our own wording).
 DESCRIPTIONS = {
     "encounter_id": "Unique identifier of the encounter",
@@ -67,7 +73,8 @@ def layers(spark: SparkSession, sf_dir: str):
 
 
 def deduped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return CL.remove_duplicates(CL.replace_sentinel(layers(spark, sf_dir).raw), S_.primary_key)
+    """The stored de-duplicated rows with the key-conflict flag."""
+    return CL.flag_key_conflicts(layers(spark, sf_dir).deduplicated, S_.primary_key)
 
 
 # ------------------------------------------------------------- profile ----
@@ -89,7 +96,7 @@ def q4(spark, d):
 
 
 def q5(spark, d):
-    return P.class_balance(layers(spark, d).clean, S_.target)
+    return P.class_balance(layers(spark, d).raw, S_.target)
 
 
 def q6(spark, d):
@@ -105,11 +112,11 @@ def c1(spark, d):
 
 
 def c2(spark, d):
-    return CL.duplicate_summary(CL.replace_sentinel(layers(spark, d).raw), S_.primary_key)
+    return CL.duplicate_summary(layers(spark, d).raw, S_.primary_key, layers(spark, d).deduplicated)
 
 
 def a22(spark, d):
-    return CL.entity_frequency(deduped(spark, d), S_.entity_key)
+    return CL.entity_frequency(layers(spark, d).deduplicated, S_.entity_key)
 
 
 def c3(spark, d):
@@ -174,14 +181,24 @@ def g5(spark, d):
 
 def v1(spark, d):
     return V.pre_export_audit(layers(spark, d).clean, S_.primary_key, S_.target, S_.valid_target,
-                              EXPECTED_FEATURES, S_.sentinel)
+                              EXPECTED_FEATURES, S_.sentinel, len(CLEAN_COLS))
+
+
+def excluded_in_source(rows: DataFrame) -> DataFrame:
+    """Rows that the exclusion rules hit, judged on the source's own values."""
+    code = F.col("discharge_disposition_id").cast("string").try_cast("double")
+    gender = F.lower(F.btrim("gender"))
+    hit = (F.coalesce(code.isin([float(x) for x in S_.expired_dispositions]), F.lit(False))
+           | F.coalesce(~gender.isin([g.lower() for g in S_.valid_gender]), F.lit(False)))
+    return rows.agg(F.count_if(hit).alias("excluded"))
 
 
 def v2(spark, d):
-    src = deduped(spark, d).agg(F.count(F.lit(1)).alias("source_rows"))
+    source = layers(spark, d).deduplicated
+    src = source.agg(F.count(F.lit(1)).alias("source_rows"))
     return V.post_load_validation(layers(spark, d).clean, src, S_.primary_key, S_.target,
                                   S_.valid_target, ("expired_or_hospice_flag", "gender_invalid_flag"),
-                                  FEATURE_RANGES)
+                                  FEATURE_RANGES, excluded_in_source(source))
 
 
 def v4(spark, d):
@@ -189,7 +206,8 @@ def v4(spark, d):
 
 
 def v5(spark, d):
-    return V.views_non_empty(kpi_view_row_counts(layers(spark, d).base))
+    from .cube import kpi_view_row_counts
+    return V.views_non_empty(kpi_view_row_counts(layers(spark, d).base, layers(spark, d).cube))
 
 
 def v6(spark, d):
@@ -218,7 +236,7 @@ def s7(spark, d):
 
     def audit(staged):
         return V.pre_export_audit(staged, S_.primary_key, S_.target, S_.valid_target,
-                                  EXPECTED_FEATURES, S_.sentinel)
+                                  EXPECTED_FEATURES, S_.sentinel, len(CLEAN_COLS))
     S.staged_publish(clean, target, audit)
     return audit(spark.read.parquet(target))
 
@@ -228,9 +246,21 @@ def s9(spark, d):
 
 
 def s11(spark, d):
+    """The written layout, checked: every entity lies in one file, every file is sorted by
+    (entity, key), nothing is lost."""
     path = _scratch(spark, "base-layout")
     S.write_layout(layers(spark, d).base, path, S_.entity_key, [S_.primary_key])
-    return base_totals(spark.read.parquet(path))
+    rows = spark.read.parquet(path)
+    placed = rows.select(S_.entity_key, F.col("_metadata.file_name").alias("_file"))
+    per_entity = placed.groupBy(S_.entity_key).agg(F.count_distinct("_file").alias("files"), F.count(F.lit(1)).alias("n"))
+    place = F.struct(S_.entity_key, S_.primary_key)
+    at = Window.partitionBy("_file").orderBy("_row")
+    ordered = (rows.select(place.alias("_place"), F.col("_metadata.row_index").alias("_row"), F.col("_metadata.file_name").alias("_file"))
+               .withColumn("_before", F.lag("_place").over(at)))
+    unsorted = ordered.agg(F.count_if(F.col("_before") > F.col("_place"))).scalar()
+    return per_entity.agg(F.sum("n").cast("long").alias("rows"), F.count(F.lit(1)).alias("entities"),
+                          F.count_if(F.col("files") > 1).alias("entities_in_several_files")) \
+        .withColumn("rows_out_of_order", unsorted)
 
 
 def s4(spark, d):
@@ -243,6 +273,44 @@ def s4(spark, d):
         "COUNT(DISTINCT patient_nbr) AS unique_patients FROM vw_encounter_base")
 
 
+def s10(spark, d):
+    """The base and KPI views dropped and registered again in order, then read as SQL text."""
+    base = layers(spark, d).base
+    for name in reversed(["vw_encounter_base", *KPI_VIEW_ORDER]):
+        S.drop_view(spark, name)
+    register_kpi_views(base)
+    parts = [f"SELECT '{n}' AS view_name, COUNT(*) AS rows FROM {n}" for n in ("vw_encounter_base", *KPI_VIEW_ORDER)]
+    return spark.sql(" UNION ALL ".join(parts))
+
+
+def s3(spark, d):
+    """S3: a narrow scan of the stored clean table (the columns of the test battery)."""
+    from ..sources.readers import project
+    return project(layers(spark, d).clean, BATTERY_COLUMNS).agg(
+        F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(f"n_{i}") for i, c in enumerate(BATTERY_COLUMNS)])
+
+
+def s5(spark, d):
+    """The raw table as CSV with a header, imported again with its schema; all rows compared."""
+    from ..sources.readers import read_raw
+    raw = layers(spark, d).raw
+    path = _scratch(spark, "raw-csv")
+    raw.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False) \
+        .option("emptyValue", "\u0001").csv(path)
+    back = read_raw(spark, path, raw.schema, "csv", emptyValue="\u0001")
+    h = F.sum(F.xxhash64(*raw.columns).cast("decimal(38,0)"))
+    return back.agg(F.count(F.lit(1)).alias("rows"), h.alias("h")).select(
+        "rows", (F.col("h") == raw.agg(h).scalar()).alias("same"))
+
+
+def s8(spark, d):
+    """A report written as one CSV file with a header and read again."""
+    path = _scratch(spark, "report-csv")
+    S.write_report_csv(q3(spark, d), path)
+    return spark.read.option("header", True).option("ignoreLeadingWhiteSpace", False) \
+        .option("ignoreTrailingWhiteSpace", False).schema("column string, value string, count long, pct double").csv(path)
+
+
 def p13(spark, d):
     """Population slice (outlier toggle) on the already-sequenced view."""
     return kpi_overall(layers(spark, d).base.filter(F.col("any_outlier_flag") == 0))
@@ -281,10 +349,11 @@ def a20(spark, d):
 
 def a24(spark, d):
     """Majority and minority class with their shares and ratio."""
-    bal = P.class_balance(layers(spark, d).clean, S_.target)
-    return bal.agg(F.max_by(S_.target, "count").alias("majority_class"),
+    bal = P.class_balance(layers(spark, d).raw, S_.target)
+    by = F.struct("count", S_.target)   # ties on the count go by name
+    return bal.agg(F.max_by(S_.target, by).alias("majority_class"),
                    F.max("percentage").alias("majority_pct"),
-                   F.min_by(S_.target, "count").alias("minority_class"),
+                   F.min_by(S_.target, by).alias("minority_class"),
                    F.min("percentage").alias("minority_pct"),
                    F.first("imbalance_ratio").alias("imbalance_ratio"))
 
@@ -296,3 +365,55 @@ def f78(spark, d):
     return flagged.agg(F.sum("a1c_tested").cast("long").alias("a1c_tested"),
                        F.sum("readmit_30_binary").cast("long").alias("readmit_30_binary"),
                        F.count(F.lit(1)).alias("rows"))
+
+
+# ------------------------------------------- skewed keys, many values ----
+
+def _lineitem(spark, d):
+    from ..sources.readers import read_table
+    return read_table(spark, d, "lineitem")
+
+
+def w1(spark, d):
+    """W1-W3 on a key with three values: line items in order within their return flag, with
+    the hot path forced (a key may have 5,000 rows before it is sliced)."""
+    from ..operators.sequence import sequence
+    df = _lineitem(spark, d).select("l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice", "l_shipdate")
+    return sequence(df, "l_returnflag", ["l_orderkey", "l_linenumber", "l_extendedprice", "l_shipdate"], seq="seq", count="in_group",
+                    prev={"prev_price": "l_extendedprice"}, nxt={"next_price": "l_extendedprice"}, hot_rows=5_000)
+
+
+def _returned_prices(spark, d):
+    from ..operators.stats import rank_frequencies
+    return rank_frequencies(_lineitem(spark, d), "l_extendedprice", F.col("l_returnflag") == "R")
+
+
+def w6(spark, d):
+    """W6/H2 on a continuous column: ranks over sliced prefix sums."""
+    from ..operators.stats import mann_whitney_from_freq
+    out = mann_whitney_from_freq(_returned_prices(spark, d), rows_per_slice=2_000)
+    return out.select("n1", "n0", "u1", "u2", F.col("tie_term").cast("double").alias("tie_term"),
+                      F.round("median1", 6).alias("median1"), F.round("median0", 6).alias("median0"), F.round("z", 6).alias("z"))
+
+
+def a7(spark, d):
+    """Exact quantiles of a continuous column per group, from sliced prefix sums."""
+    from ..operators.slicing import exact_quantiles
+    freq = _lineitem(spark, d).groupBy("l_returnflag", F.col("l_extendedprice").cast("double").alias("v")).agg(
+        F.count(F.lit(1)).alias("n"))
+    q = exact_quantiles(freq, ["l_returnflag"], "v", "n", [0.1, 0.5, 0.99], rows_per_slice=2_000)
+    return q.select("l_returnflag", *[F.round(F.col("_q")[i], 6).alias(n) for i, n in enumerate(("p10", "p50", "p99"))], "n")
+
+
+def a20_many(spark, d):
+    """H1/A20 with one group per supplier: more degrees of freedom than any fixed table has."""
+    from ..operators.stats import chi_square_test
+    out = chi_square_test(_lineitem(spark, d), "l_suppkey", "l_returnflag", correction=False)
+    return out.select("n", "dof", F.round("chi2", 6).alias("chi2"), F.round("p_value", 6).alias("p_value"), "significant")
+
+
+def battery(spark, d):
+    """H3-H8 with p-values, effect sizes and adjusted values to six places, as reported."""
+    from .battery import battery as run
+    out = run(layers(spark, d).base)
+    return out.withColumns({c: F.round(c, 6) for c in ("p_value", "effect_size", "p_bonferroni", "p_bh")})

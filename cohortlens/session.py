@@ -64,6 +64,17 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     return None
 
 
+def drop_stored(df: DataFrame) -> None:
+    """Delete the folders that ``materialize`` wrote for ``df`` (nothing else)."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = checkpoint_dir(spark)
+    for folder_of_files in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if folder and "/cohortlens/" in folder_of_files:
+            path = jvm.org.apache.hadoop.fs.Path(folder_of_files)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str = "layer", reliable: bool = True,
                 cache: bool = False) -> DataFrame:
     """Compute ``df`` once and reuse it.

@@ -28,6 +28,9 @@ from .. import config as C
 from ..operators.sequence import sequence
 from .readers import read_table
 
+#: The driver tables that the encounter table is derived from.
+TABLES = ("orders", "lineitem", "customer")
+
 # Patients of their own for one third of the orders: an id range no customer
 # key reaches.
 SINGLETON_PATIENT_BASE = 10_000_000_000_000

@@ -6,7 +6,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -14,24 +14,29 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
                 partition_by: Sequence[str] | None = None) -> DataFrame:
     """Write, then confirm the load by re-reading the row count (V3).
 
-    Returns one row (rows_written, rows_read_back, confirmed).  The written
-    count comes from the same job's output via an accumulator-free re-read,
-    so it reflects what is actually on storage.
+    Returns one row (rows_written, rows_read_back, confirmed).  The written count
+    is observed by the write itself (``Observation``), so the source is not run a
+    second time; the other one is read from storage.
     """
-    writer = df.write.mode(mode).format(fmt)
+    written = observed_write(df, path, fmt, mode, partition_by)
+    return load_confirmation(written, df.sparkSession.read.format(fmt).load(path))
+
+
+def observed_write(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
+                   partition_by: Sequence[str] | None = None) -> int:
+    """Write ``df`` and return how many rows the write saw."""
+    seen = Observation()
+    writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(mode).format(fmt)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)
-    spark = df.sparkSession
-    back = spark.read.format(fmt).load(path)
-    return load_confirmation(df, back)
+    return seen.get["rows"]
 
 
-def load_confirmation(source: DataFrame, loaded: DataFrame) -> DataFrame:
-    """V3: (rows_written, rows_read_back, confirmed)."""
-    back = loaded.agg(F.count(F.lit(1))).scalar()
-    return (source.agg(F.count(F.lit(1)).alias("rows_written"))
-            .withColumn("rows_read_back", back)
+def load_confirmation(written: int, loaded: DataFrame) -> DataFrame:
+    """V3: (rows_written, rows_read_back, confirmed); ``written`` is what the write observed."""
+    return (loaded.agg(F.count(F.lit(1)).alias("rows_read_back"))
+            .select(F.lit(written).cast("long").alias("rows_written"), "rows_read_back")
             .withColumn("confirmed", F.col("rows_written") == F.col("rows_read_back")))
 
 
@@ -56,31 +61,53 @@ def staged_publish(df: DataFrame, target: str, audit: Callable[[DataFrame], Data
     """Write to a staging folder, audit the staged copy, then publish.
 
     Readers of ``target`` never see a half-written table: the data lands in
-    ``<target>.staging-<id>`` first; only if the audit passes is the old
-    target moved aside and the staging folder renamed into place (a
-    metadata rename on HDFS-like stores).  Returns the audit report.
+    ``<target>.staging-<id>`` first; only if the audit passes is the old target
+    moved aside and the staging folder renamed into place.  Both renames are
+    checked: if the second one fails the old target is put back and the call
+    raises.  Between the two renames (metadata operations on HDFS-like stores) the
+    path is missing for a moment; readers that must not see that should read
+    through a view that is replaced after publishing.  The replaced table is
+    deleted at the end, a rejected staging folder before raising.  Returns the
+    audit report.
     """
     spark = df.sparkSession
     staging = f"{target.rstrip('/')}.staging-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").format(fmt).save(staging)
+    written = observed_write(df, staging, fmt)
     staged = spark.read.format(fmt).load(staging)
-    report = audit(staged) if audit is not None else load_confirmation(df, staged)
+    report = audit(staged) if audit is not None else load_confirmation(written, staged)
     from ..operators.audit import enforce
-    enforce(report, "passed" if "passed" in report.columns else "confirmed")
+    fs, tgt, jvm = _fs(spark, target)
+    new = jvm.org.apache.hadoop.fs.Path(staging)
+    try:
+        enforce(report, "passed" if "passed" in report.columns else "confirmed")
+    except ValueError:
+        fs.delete(new, True)
+        raise
     # The report is a handful of check rows; keep it as data because the
     # staging folder it was computed from is about to be renamed.
     report = spark.createDataFrame(report.collect(), report.schema)
-    fs, tgt, jvm = _fs(spark, target)
+    old = None
     if fs.exists(tgt):
         old = jvm.org.apache.hadoop.fs.Path(f"{target.rstrip('/')}.previous-{uuid.uuid4().hex}")
-        fs.rename(tgt, old)
-    fs.rename(jvm.org.apache.hadoop.fs.Path(staging), tgt)
+        if not _rename(fs, tgt, old):
+            raise OSError(f"{target} could not be moved aside; it is unchanged")
+    if not _rename(fs, new, tgt):
+        if old is not None and not _rename(fs, old, tgt):
+            raise OSError(f"publishing failed and the old table is left at {old.toString()}")
+        raise OSError(f"{staging} could not be published; {target} is as before")
+    if old is not None:
+        fs.delete(old, True)
     return report
 
 
+def _rename(fs, source, target) -> bool:
+    return bool(fs.rename(source, target))
+
+
 def write_report_csv(report: DataFrame, path: str) -> None:
-    """A report-size frame as one CSV file with a header."""
-    report.coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
+    """A report-size frame as one CSV file with a header; white space in values is kept."""
+    (report.coalesce(1).write.mode("overwrite").option("header", "true")
+     .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path))
 
 
 def data_dictionary(df: DataFrame, descriptions: Mapping[str, str]) -> DataFrame:

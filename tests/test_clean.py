@@ -78,3 +78,19 @@ def test_iqr_fences_match_pandas(spark):
         assert flagged.agg(F.sum(f"{c}_outlier_flag")).first()[0] == int(mask.sum())
     assert flagged.agg(F.sum("any_outlier_flag")).first()[0] == int(any_mask.sum())
     assert flagged.count() == len(pdf)
+
+
+def test_rows_that_share_a_null_key_are_in_conflict(spark):
+    from cohortlens.operators.clean import flag_key_conflicts
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (None, "e")], "k int, v string")
+    got = {r.v: r.duplicate_flag for r in flag_key_conflicts(df, "k").collect()}
+    assert got == {"a": 1, "b": 1, "c": 0, "d": 1, "e": 1}
+
+
+def test_strip_takes_all_unicode_white_space(spark):
+    from pyspark.sql import functions as F
+
+    from cohortlens.functions import expr as X
+    texts = ["\u2003a b\u3000", "\u00a0x\u2028", " plain\t", "", "\u1680"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.s for r in df.select(X.strip(F.col("t")).alias("s")).collect()] == [t.strip() for t in texts]

@@ -77,7 +77,7 @@ def test_mann_whitney_matches_brute_force(spark):
 
 def test_prefix_sum_over_slices(spark):
     df = spark.createDataFrame([(float(v), v % 4 + 1) for v in range(200)], "v double, n int")
-    got = S.prefix_sum(df, "v", "n", "below", slices=7).orderBy("v").collect()
+    got = S.prefix_sum(df, "v", "n", "below", rows_per_slice=29).orderBy("v").collect()
     running = 0
     for r in got:
         assert r.below == running
@@ -97,3 +97,60 @@ def test_chi2_tail_function():
     assert S.chi2_sf(3.841458820694124, 1) == pytest.approx(0.05, abs=1e-12)
     assert S.chi2_sf(5.991464547107979, 2) == pytest.approx(0.05, abs=1e-12)
     assert S.CHI2_CRITICAL[3] == pytest.approx(7.814727903251178, abs=1e-9)
+
+
+def test_rank_test_over_many_values_is_exact_and_repeatable(spark):
+    """200,000 distinct values in slices of 5,000: U equals the count by numpy, twice."""
+    import numpy as np
+    df = spark.range(200_000).select(F.substring(F.concat(F.lit("a"), "id"), 1, 1).alias("g"), (F.col("id") * 1.5).alias("v"),
+                                     (F.pmod(F.xxhash64("id"), F.lit(3)) + 1).alias("n1"),
+                                     F.pmod(F.xxhash64("id", F.lit(9)), F.lit(4)).alias("n0"), F.sha2(F.col("id").cast("string"), 256).alias("x"))
+    rows = df.select("v", "n1", "n0").toPandas().sort_values("v")
+    n1, n0 = rows.n1.to_numpy(), rows.n0.to_numpy()
+    below = np.cumsum(n0) - n0
+    u1 = float((n1 * below).sum() + (n1 * n0).sum() / 2)
+    for freq in (df, df.drop("g"), df):
+        got = S.mann_whitney_from_freq(freq, rows_per_slice=5_000).first()
+        assert got.u1 == u1
+        assert got.median1 == np.median(np.repeat(rows.v.to_numpy(), n1))
+        assert got.median0 == np.median(np.repeat(rows.v.to_numpy(), n0))
+
+
+def test_rank_test_with_very_large_ties(spark):
+    df = spark.createDataFrame([("a", float(v), 1_700_000, 1_700_000) for v in range(6)], "g string, v double, n1 long, n0 long")
+    got = S.mann_whitney_from_freq(df).first()
+    assert int(got.tie_term) == 6 * (3_400_000 ** 3 - 3_400_000)
+    assert got.u1 == got.u2
+
+
+def test_chi_square_with_39_degrees_of_freedom_and_empty_cells(spark):
+    import numpy as np
+    rows = [(r, c, 40 + (r * 7 + c * 3) % 11) for r in range(40) for c in range(2) if (r, c) != (3, 1)]
+    df = spark.createDataFrame(rows, "r int, c int, n int").select("r", "c", F.explode(F.sequence(F.lit(1), "n")))
+    got = S.chi_square_test(df, "r", "c").first()
+    grid = np.zeros((40, 2))
+    for r, c, n in rows:
+        grid[r, c] = n
+    ex = grid.sum(1, keepdims=True) * grid.sum(0) / grid.sum()
+    assert got.dof == 39 and got.chi2 == pytest.approx(((grid - ex) ** 2 / ex).sum())
+    assert got.significant is not None
+    limit = spark.range(1).select(S.critical_value(F.lit(39)).alias("x")).first().x
+    assert limit == pytest.approx(54.572227758941736)
+
+
+def test_two_by_two_with_empty_cells(spark):
+    for cells in ({(0, 0): 30, (0, 1): 9, (1, 0): 21}, {(0, 0): 30, (1, 1): 12}):
+        df = spark.createDataFrame([(*k, n) for k, n in cells.items()], "r int, c int, n int").select(
+            "r", "c", F.explode(F.sequence(F.lit(1), "n")))
+        n = sum(cells.values())
+        R_ = [sum(v for (r, _), v in cells.items() if r == i) for i in (0, 1)]
+        C_ = [sum(v for (_, c), v in cells.items() if c == i) for i in (0, 1)]
+        want = sum(max(abs(cells.get((r, c), 0) - R_[r] * C_[c] / n) - 0.5, 0) ** 2 / (R_[r] * C_[c] / n) for r in (0, 1) for c in (0, 1))
+        assert S.chi_square_test(df, "r", "c").first().chi2 == pytest.approx(want)
+
+
+def test_segment_risk_at_billions_of_rows(spark):
+    from cohortlens.plans.eda import risk_from_counts
+    one = spark.createDataFrame([(3_000_000_000, 5_000_000_000, 600_000_000, 500_000_000)], "n1 long, n0 long, e1 long, e0 long")
+    got = risk_from_counts(one).first()
+    assert (got.relative_risk, got.pct_higher, got.excess_events) == (2.0, 100.0, 300_000_000.0)

@@ -86,3 +86,46 @@ def test_csv_import_with_explicit_schema_keeps_codes_as_text(spark):
     # codes such as '6.0' survive as text; sentinels stay '?'
     assert back.filter(F.col("admission_type_id").endswith(".0")).count() > 0
     assert back.exceptAll(raw).count() == 0
+
+
+def test_failed_rename_restores_the_old_table(spark, monkeypatch):
+    import pytest
+
+    from cohortlens.sources import sinks as S
+    work = tempfile.mkdtemp(prefix="cohortlens-sink-")
+    target = os.path.join(work, "table")
+    S.staged_publish(spark.range(20).toDF("k"), target)
+    real, calls = S._rename, []
+
+    def second_fails(fs, source, to):
+        calls.append(to)
+        return False if len(calls) == 2 else real(fs, source, to)
+    monkeypatch.setattr(S, "_rename", second_fails)
+    with pytest.raises(OSError):
+        S.staged_publish(spark.range(5).toDF("k"), target)
+    assert spark.read.parquet(target).count() == 20
+    assert not [x for x in os.listdir(work) if ".previous-" in x]
+
+
+def test_written_count_comes_from_the_write(spark):
+    from cohortlens.sources import sinks as S
+    work = tempfile.mkdtemp(prefix="cohortlens-sink-")
+    row = S.write_table(spark.range(33).toDF("k"), os.path.join(work, "t")).first()
+    assert (row.rows_written, row.rows_read_back, row.confirmed) == (33, 33, True)
+
+
+def test_changed_input_folder_gives_new_layers(spark):
+    import shutil
+
+    from conftest import SMOKE
+    from cohortlens.plans.pipeline import build_layers, drop_layers
+    work = tempfile.mkdtemp(prefix="cohortlens-input-")
+    for name in ("orders", "lineitem", "customer"):
+        shutil.copy(f"{SMOKE}/{name}.parquet", work)
+    before = build_layers(spark, work).raw.count()
+    assert build_layers(spark, work) is build_layers(spark, work)
+    half = spark.read.parquet(f"{SMOKE}/orders.parquet").limit(100)
+    half.toPandas().to_parquet(f"{work}/orders.parquet")
+    after = build_layers(spark, work).raw.count()
+    assert 0 < after < before
+    drop_layers(spark, work)
