@@ -46,7 +46,7 @@ END_ID = 2
 SLICE_ROWS = 2_000
 #: Letters, digits and marks up to U+024F; other texts take the tokenizer's own path.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa0-ɏ]*")
-PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9²³¹¼-¾]|(?:[^\w\s]|_)+")
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼-¾]+|[0-9²³¹¼-¾]|(?:[^\w\s]|_)+")
 
 
 def _byte_names() -> dict[int, str]:
