@@ -87,11 +87,11 @@ def _bits(h: Column) -> list[Column]:
 
 
 def build_filter(listed: DataFrame, url_col: str, n_blocks: int) -> DataFrame:
-    """Blocks of the filter: (block, b0..b7), one row per non-empty block."""
+    """Blocks of the filter: (__slot, __lane0..7), one row per non-empty block."""
     h = F.xxhash64(F.col(url_col))
     rows = listed.filter(F.col(url_col).isNotNull()).select(
-        F.pmod(h, F.lit(n_blocks)).alias("block"), *[b.alias(f"b{i}") for i, b in enumerate(_bits(h))])
-    return rows.groupBy("block").agg(*[F.bit_or(f"b{i}").alias(f"b{i}") for i in range(LANES)])
+        F.pmod(h, F.lit(n_blocks)).alias("__slot"), *[b.alias(f"__lane{i}") for i, b in enumerate(_bits(h))])
+    return rows.groupBy("__slot").agg(*[F.bit_or(f"__lane{i}").alias(f"__lane{i}") for i in range(LANES)])
 
 
 def filter_urls(pages: DataFrame, listed: DataFrame, url_col: str = "url", listed_col: str = "canonical",
@@ -115,14 +115,14 @@ def filter_urls(pages: DataFrame, listed: DataFrame, url_col: str = "url", liste
     h = F.xxhash64(F.col("canonical"))
     probe = F.when(F.col("canonical").isNotNull() & F.col("rule").isNull(), F.pmod(h, F.lit(n_blocks)))
     df = df.withColumn("__block", probe)
-    blocks = blocks.withColumnRenamed("block", "__b")
+    blocks = blocks.withColumnRenamed("__slot", "__b")
     hit = None
     for i, b in enumerate(_bits(h)):
-        one = F.col(f"b{i}").bitwiseAND(b) != 0
+        one = F.col(f"__lane{i}").bitwiseAND(b) != 0
         hit = one if hit is None else hit & one
     df = (df.join(blocks, F.col("__block") == F.col("__b"), "left")
           .withColumn("possible_hit", F.coalesce(hit, F.lit(False)))
-          .drop("__block", "__b", *[f"b{i}" for i in range(LANES)]))
+          .drop("__block", "__b", *[f"__lane{i}" for i in range(LANES)]))
     # Exact check of the possible hits only: rows that fail the filter carry a null key,
     # which no list entry equals.
     df = df.withColumn("__key", F.when(F.col("possible_hit"), F.col("canonical")))
