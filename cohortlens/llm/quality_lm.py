@@ -21,9 +21,10 @@ language makes a large group.  What the join moves grows with the corpus.
 
 Perplexity: a document's mean log-probability is shrunk towards its language's mean
 with the weight of ``shrink_words`` words (a handful of words is no evidence).  The
-threshold of a language is the ``keep_quantile`` quantile of its trusted documents;
-languages with fewer than ``min_trusted`` of them use the one of all.  Documents above
-it are not kept.
+threshold of a language is the ``keep_quantile`` quantile of its trusted documents that
+the model has not seen (a fifth, by a hash of the id, is held back from training);
+languages with fewer than ``min_trusted`` of them use the threshold of all languages, and
+if these are too few as well, that of all trusted documents.  Documents above it are not kept.
 
 Defined cases: null and empty texts have 0 words and a null perplexity and are not
 kept.  A null language is the language ``""``.  Without trusted documents every
@@ -40,16 +41,21 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bounded, mix, stored
+from .common import Bounded, key_list, mix, stored
 
 VOCABULARY = 32_000
 TRAIN_ROWS = 20_000
 CHUNK_WORDS = 2_000_000
 
 
+def held_back(doc_id: Column) -> Column:
+    """The fifth of the trusted documents that sets the thresholds."""
+    return F.pmod(F.xxhash64(doc_id, F.lit(13)), F.lit(5)) == 0
+
+
 def plain(word: str) -> str:
     return word.strip(".,;:!?") or word
 
@@ -271,7 +277,10 @@ def score_quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     shards = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"),
                        F.col(text_col).cast("string").alias("text"))
-    fitted = fit(docs, trusted, id_col, text_col, shards, vocabulary, train_rows)
+    learned = trusted.filter(~held_back(F.col(id_col)))
+    if not learned.limit(1).count():
+        learned = trusted
+    fitted = fit(docs, learned, id_col, text_col, shards, vocabulary, train_rows)
     if fitted is None:
         n = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")).cast("long")
         none = F.lit(None).cast("double")
@@ -279,13 +288,15 @@ def score_quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
                            none.alias("threshold"), (n > 0).alias("kept"))
     tables, model = fitted
     scored = stored(add_up(join_shards(chunks(rows, tables, shards, chunk_words), model, tables)), "perplexity")
-    means = scored.groupBy("lang").agg((F.sum("logp") / F.sum("n_words")).alias("mean"))
+    means = key_list(scored.groupBy("lang").agg(F.try_divide(F.sum("logp"), F.sum("n_words")).alias("mean")), "language-means")
     scored = scored.join(means, "lang").withColumn("perplexity", F.when(
         F.col("n_words") > 0, F.exp(-(F.col("logp") + shrink_words * F.col("mean")) / (F.col("n_words") + shrink_words))))
     seen = scored.join(trusted.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi").filter("n_words > 0")
+    new = seen.filter(held_back(F.col("id")))
     bound = F.percentile_approx("perplexity", keep_quantile, 10_000)
-    by_lang = seen.groupBy("lang").agg(bound.alias("bound"), F.count("*").alias("m"))
-    overall = seen.agg(bound.alias("b")).scalar()
+    by_lang = key_list(new.groupBy("lang").agg(bound.alias("bound"), F.count("*").alias("m")), "language-thresholds")
+    whole = new.agg(bound.alias("b"), F.count("*").alias("m")).first()
+    overall = F.lit(whole["b"] if whole["m"] >= min_trusted else seen.agg(bound.alias("b")).first()["b"]).cast("double")
     out = scored.join(by_lang, "lang", "left").withColumn(
         "threshold", F.when(F.col("m") >= min_trusted, F.col("bound")).otherwise(overall))
     return out.select(F.col("id").alias(id_col), "lang", "n_words", "perplexity", "threshold",
