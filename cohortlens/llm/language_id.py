@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, stored
+from .common import key_list, row_key, stored
 
 BITS = 15
 TRAIN_ROWS = 8_000
@@ -59,6 +59,7 @@ class WordRows(dict):
         super().__init__()
         self.grams, self.limit, self.n, self.spare = grams, limit, 0, 0
         self.table = np.zeros((limit + self.SCRATCH, grams.shape[1]), grams.dtype)
+        self.new: list[tuple[int, str]] = []
 
     def __missing__(self, word: str) -> int:
         if self.n < self.limit:
@@ -67,15 +68,26 @@ class WordRows(dict):
         else:
             at = self.limit + self.spare
             self.spare += 1
-        self.table[at] = self.grams[word_grams(word)].sum(0)
+        self.new.append((at, word))
         return at
 
+    def fill(self) -> None:
+        """Compute the rows of the words that have just been met."""
+        grams = [word_grams(w) for _, w in self.new]
+        first = np.cumsum([0, *[len(g) for g in grams[:-1]]])
+        flat = self.grams[np.array([x for g in grams for x in g], np.int64)]
+        self.table[[at for at, _ in self.new]] = np.add.reduceat(flat, first, axis=0)
+        self.new = []
+
     def sum(self, words: list[str]) -> np.ndarray:
         out = np.zeros(self.table.shape[1], np.float64)
         for i in range(0, len(words), self.SCRATCH):
             self.spare = 0
             part = words[i:i + self.SCRATCH]
-            out += self.table[np.fromiter(map(self.__getitem__, part), np.int64, len(part))].sum(0, dtype=np.float64)
+            rows = np.fromiter(map(self.__getitem__, part), np.int64, len(part))
+            if self.new:
+                self.fill()
+            out += self.table[rows].sum(0, dtype=np.float64)
         return out
 
 
@@ -134,7 +146,7 @@ def text_scores(rows: DataFrame, table: np.ndarray, max_grams: int) -> DataFrame
     shared = rows.sparkSession.sparkContext.broadcast(table)   # 2 ** BITS x languages floats
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_of = WordRows(np.concatenate([shared.value, np.ones((1 << BITS, 1), np.float32)], 1), 300_000)
+        words_of = WordRows(np.concatenate([shared.value, np.ones((1 << BITS, 1), np.float32)], 1), 250_000)
         for batch in batches:
             scores, known = [], []
             for text in batch.column("text"):
@@ -236,7 +248,6 @@ def page_evidence(pages: DataFrame) -> DataFrame:
 
 
 def accepted_documents(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rejected rows.  The rejected rows' keys are written first, so
-    that the planner knows their size: few of them are broadcast, many are joined by a shuffle."""
-    gone = stored(decisions.filter(~F.col("kept")).select("__key").distinct(), "language-rejected")
+    """``docs`` without the rejected rows."""
+    gone = key_list(decisions.filter(~F.col("kept")).select("__key").distinct(), "language-rejected")
     return docs.join(gone, row_key(id_col, F.col(text_col).cast("string")) == F.col("__key"), "left_anti")

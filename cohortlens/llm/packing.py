@@ -67,7 +67,7 @@ class WordTokens:
     encoded whole by the tokenizer.
     """
 
-    def __init__(self, vocabulary: str, limit: int = 400_000):
+    def __init__(self, vocabulary: str, limit: int = 200_000):
         import os
 
         import public_tokenizers
@@ -78,7 +78,7 @@ class WordTokens:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit in 16 bits")
         self.model, self.names = self.tokenizer.model, _byte_names()
-        self.part = Bounded(self._part, limit)
+        self.part = Bounded(self._part, limit // 2)
         self.word = Bounded(self._word, limit)
 
     def _part(self, part: str) -> bytes:
