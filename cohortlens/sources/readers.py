@@ -54,8 +54,3 @@ def read_jdbc(spark: SparkSession, url: str, table: str, partition_column: str,
 def project(df: DataFrame, columns: list[str]) -> DataFrame:
     """Projected scan (S3): only these columns reach the file reader."""
     return df.select(*columns)
-
-
-def sql(spark: SparkSession, text: str) -> DataFrame:
-    """SQL text over registered views."""
-    return spark.sql(text)
