@@ -37,6 +37,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Key lists (a few numbers a row) up to this many rows go to all tasks; longer ones are shuffled.
+BROADCAST_ROWS = 500_000
+
+
+def key_list(df: DataFrame, name: str) -> DataFrame:
+    """``df``, a list of keys, stored; with a broadcast hint only if its counted rows are few."""
+    out = stored(df, name)
+    return F.broadcast(out) if out.count() <= BROADCAST_ROWS else out
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have (inputs may carry clashing names)."""
     name = f"__{base}"

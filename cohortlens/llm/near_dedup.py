@@ -17,14 +17,15 @@ Documents whose sets of word shingles have a Jaccard similarity of at least
    with a small error exactly where it is high.
 4. A task takes a block of at most ``BLOCK`` classes of a family, compares sketches by
    XOR and population count, and checks pairs in the order of their estimates on the
-   full sets, skipping pairs that are already connected; it returns only a spanning
-   forest of confirmed links.  Pairs whose estimate is more than ``MARGIN`` standard
+   full sets, skipping pairs that are already connected; it returns only each class's
+   link to the smallest class of its part.  Pairs whose estimate is more than ``MARGIN`` standard
    errors below the threshold are not checked.
 5. Families larger than a block are first done block by block; then, for families
    that are still in several parts, the classes outside the largest part meet all
    others, again in pairs of blocks.  No pair list is written and no task holds more
    than two blocks, however large a family is.
-6. Components of the confirmed links; the smallest id speaks for each.
+6. A family that fits one block is done; the large ones' links go through a
+   components search.  The smallest id speaks for each component.
 
 Defined cases: null text, empty text or text of white space only: empty set, no
 links.  Fewer words than a shingle: the whole sequence is the one shingle.  Rows with
@@ -44,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, gram_hash, hash_words, mix, row_key, space_words, stored
+from .common import fresh, gram_hash, hash_words, key_list, mix, row_key, space_words, stored
 from .components import connected_components
 
 ROWS = 4            # MinHash values in a band
@@ -144,10 +145,11 @@ def sketches(classes: DataFrame, k: int) -> DataFrame:
 
 
 def forest(pdf: pd.DataFrame, num: int, den: int, across: bool) -> pd.DataFrame:
-    """Confirmed links that connect the rows' parts; ``across``: only between sides 0 and 1."""
+    """Links of parts that confirmed pairs connect: (a, b), from each part to the smallest one it
+    reaches; ``across``: only pairs between sides 0 and 1 are compared."""
     t = num / den
     low = t - MARGIN * math.sqrt(t * (1 - t) / SAMPLES)
-    pdf = pdf.sort_values("v", kind="stable")
+    pdf = pdf.drop_duplicates("v").sort_values("v", kind="stable")
     v, part = pdf["v"].to_numpy(), pdf["part"].to_numpy()
     bits = np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(len(v), -1)
     sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
@@ -165,7 +167,7 @@ def forest(pdf: pd.DataFrame, num: int, den: int, across: bool) -> pd.DataFrame:
             est = estimate(np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64))
             keep = est >= low
             found.append((np.full(keep.sum(), i), j[keep], est[keep]))
-    out: list[tuple[int, int]] = []
+    root: dict[int, int] = {}
     if found:
         a, b, est = (np.concatenate(x) for x in zip(*found, strict=True))
         root = {p: p for p in part}
@@ -182,15 +184,14 @@ def forest(pdf: pd.DataFrame, num: int, den: int, across: bool) -> pd.DataFrame:
             if pi != pj:
                 both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 if den * both >= num * (size[i] + size[j] - both):
-                    root[pi] = pj
-                    out.append((v[i], v[j]))
+                    root[max(pi, pj)] = min(pi, pj)
+    out = [(p, top(p)) for p in root if root[p] != p]
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
-def confirmed_links(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) between classes that connect exactly what all links connect;
-    ``members``: v, family, shingles, sketch (stored)."""
-    sizes = members.groupBy("family").agg(F.count("*").alias("m"))
+def class_parts(members: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
+    """(v, part) for the classes of all families: classes that confirmed links connect share a part;
+    ``members``: v, family, shingles, sketch (stored); ``sizes``: family, m."""
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     rows = members.join(sizes, "family").withColumn("blocks", blocks)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("v", F.lit(3)), F.col("blocks")).cast("int"))
@@ -201,22 +202,22 @@ def confirmed_links(members: DataFrame, num: int, den: int) -> DataFrame:
 
     first = stored(rows.select("family", "block", *columns, F.col("v").alias("part"), F.lit(0).alias("side"))
                    .groupBy("family", "block").applyInPandas(task(False), "a long, b long"), "near-links")
-    large = rows.filter("blocks > 1")
+    parts = members.select("v", "family").distinct().join(first, F.col("v") == F.col("a"), "left").select(
+        "v", "family", F.coalesce("b", "v").alias("part"))
+    large = sizes.filter(F.col("m") > BLOCK).select("family")
     if large.limit(1).count() == 0:
-        return first
-    # Families of several blocks: parts so far, and the largest part of each family.
-    parts = connected_components(first, "a", "b", "near-parts")
-    large = large.join(parts, F.col("v") == F.col("vertex"), "left").withColumn("part", F.coalesce("component", "v")).drop("vertex", "component")
-    large = stored(large, "near-large")
+        return parts.select("v", "part")
+    # Families of several blocks: their parts so far, and the largest part of each family.
+    large = stored(large.join(parts, "family").select("v", "family", "part"), "near-large-parts")
     by_part = large.groupBy("family", "part").agg(F.count("*").alias("n"))
     main = by_part.groupBy("family").agg(F.max(F.struct("n", "part")).alias("x"), F.sum("n").alias("m"), F.count("*").alias("parts"))
-    main = main.filter("parts > 1").select("family", F.col("x.part").alias("main"), F.col("x.n").alias("in_main"), (F.col("m") - F.col("x.n")).alias("outside"))
-    ng = F.ceil(F.col("in_main") / BLOCK).cast("int")
-    nr = F.ceil(F.col("outside") / BLOCK).cast("int")
-    rows = (large.drop("block", "blocks", "m").join(main, "family").withColumn("side", (F.col("part") == F.col("main")).cast("int"))
-            .withColumn("g", ng).withColumn("r", nr))
+    main = main.filter("parts > 1").select(F.col("family").alias("f"), F.col("x.part").alias("main"),
+                                           F.ceil(F.col("x.n") / BLOCK).cast("int").alias("g"),
+                                           F.ceil((F.col("m") - F.col("x.n")) / BLOCK).cast("int").alias("r"))
+    rows = (large.join(main, F.col("family") == F.col("f")).withColumn("side", (F.col("part") == F.col("main")).cast("int"))
+            .select(F.col("v").alias("w"), "part", "side", "g", "r"))
     own = F.pmod(F.xxhash64("v", F.lit(4)), F.when(F.col("side") == 1, F.col("g")).otherwise(F.col("r"))).cast("int")
-    rows = rows.withColumn("own", own)
+    rows = stored(members.dropDuplicates(["v"]).join(rows, F.col("v") == F.col("w")).withColumn("own", own).drop("w"), "near-large")
     last = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
     # Pairs of blocks: (outside, main) and (outside, outside).
     with_main = (rows.filter("side = 1").withColumn("a", F.explode(last("r"))).withColumn("b", F.col("own"))
@@ -225,7 +226,9 @@ def confirmed_links(members: DataFrame, num: int, den: int) -> DataFrame:
     outside = outside.withColumn("a", F.least("own", "x")).withColumn("b", F.greatest("own", "x")).drop("x")
     more = (with_main.groupBy("family", "a", "b").applyInPandas(task(True), "a long, b long")
             .unionAll(outside.withColumn("side", F.lit(0)).groupBy("family", "a", "b").applyInPandas(task(False), "a long, b long")))
-    return first.unionAll(stored(more, "near-links"))
+    # Parts are vertices now.
+    joined = connected_components(more, "a", "b", "near-parts")
+    return parts.join(joined, F.col("part") == F.col("vertex"), "left").select("v", F.coalesce("component", "part").alias("part"))
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
@@ -244,14 +247,15 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = band.groupBy("band").agg(F.min("v").alias("hub"), F.max("v").alias("other")).filter("hub <> other").drop("other")
     edges = band.join(shared, "band").select("v", "hub")
     families = connected_components(edges, "v", "hub", "near-families")
-    wanted = stored(classes.join(families, F.col("v") == F.col("vertex")).select("v", "key", F.col("component").alias("family")), "near-wanted")
-    # Repeated rows share a key; one text of each class is enough.
-    texts = rows.select("key", "text").join(wanted, "key").dropDuplicates(["v"])
+    families = stored(families.withColumnsRenamed({"vertex": "v", "component": "family"}), "near-families")
+    sizes = families.groupBy("family").agg(F.count("*").alias("m"))
+    wanted = key_list(classes.select("v", "key").join(families, "v"), "near-wanted")
+    # Repeated rows share a key; their classes are the same and dropped in the tasks.
+    texts = rows.select("key", "text").join(wanted, "key")
     members = stored(sketches(texts, shingle), "near-sketches")
-    links = confirmed_links(members, num, den)
-    parts = connected_components(links, "a", "b", "near-components")
+    parts = class_parts(members, sizes, num, den).withColumnsRenamed({"v": "w"})
 
-    classes = classes.select("v", "rep").join(parts, F.col("v") == F.col("vertex"), "left").withColumn("part", F.coalesce("component", "v"))
+    classes = classes.select("v", "rep").join(parts, F.col("v") == F.col("w"), "left").withColumn("part", F.coalesce("part", "v"))
     ids = classes.groupBy("part").agg(F.min("rep").alias("component_id"))
     label = classes.join(ids, "part").select("v", "part", "component_id")
     out = sig.select("id", "key", "n", "v").join(label, "v", "left")
@@ -269,9 +273,8 @@ def one_per_group(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", tex
     best = found.groupBy("__group").agg(F.min(F.struct(~F.col("kept"), F.col("__key"))).getField("__key").alias("best"))
     best = best.select(F.col("__group").alias("g"), "best")
     rows = found.groupBy("__group", "__key").agg(F.count("*").alias("m")).join(best, F.col("__group") == F.col("g"))
-    # Written first, so that the planner knows the sizes: few keys are broadcast, many are joined by a shuffle.
-    gone = stored(rows.filter((F.col("__key") != F.col("best")) | (F.col("m") > 1)).select("__key").distinct(), "near-gone")
-    again = stored(rows.filter((F.col("__key") == F.col("best")) & (F.col("m") > 1)).select("__key").distinct(), "near-repeated")
+    gone = key_list(rows.filter((F.col("__key") != F.col("best")) | (F.col("m") > 1)).select("__key").distinct(), "near-gone")
+    again = key_list(rows.filter((F.col("__key") == F.col("best")) & (F.col("m") > 1)).select("__key").distinct(), "near-repeated")
     key = fresh(docs, "row")
     keyed = docs.withColumn(key, row_key(id_col, F.col(text_col).cast("string")))
     once = keyed.join(gone, F.col(key) == F.col("__key"), "left_anti")
