@@ -37,11 +37,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, gram_hash, hash_words, row_key, space_words, stored
+from .common import fresh, gram_hash, hash_words, key_list, row_key, space_words, stored
 
 GRAM = 8
 HOT_ROWS = 4096
-SHARD_ROWS = 2000
+SHARD_ROWS = 1000
 
 
 def anchor_runs(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -255,8 +255,9 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, window: int, hot
     found = (each.select("key", "anchor", "lo", "hi").join(shared, "anchor")
              .select("key", F.struct("lo", "hi", F.pmod("anchor", F.lit(shards)).alias("shard"), (F.col("m") > hot_rows).alias("hot")).alias("r")))
     # A group is one document's runs.
-    runs = found.groupBy("key").agg(F.collect_list("r").alias("runs"))
-    held = rows.join(runs, "key")
+    runs = stored(found.groupBy("key").agg(F.collect_list("r").alias("runs")), "runs")
+    # Documents without a shared anchor (most) need not be moved.
+    held = rows.join(key_list(runs.select("key"), "run-keys"), "key", "left_semi").join(runs, "key")
     cold = held.withColumn("runs", F.filter("runs", lambda r: ~r["hot"]))
     spans_ = stream_shards(cut_runs(cold, window, hot=False), window)
     if shared.filter(F.col("m") > hot_rows).limit(1).count():
@@ -265,7 +266,7 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, window: int, hot
         first = hot.groupBy("hash").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last")
         more = hot.join(first, "hash").filter("first < id").select("key", "lo", (F.col("lo") + window).alias("hi"))
         spans_ = spans_.unionAll(more)
-    return spans_.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
+    return key_list(spans_.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans")), "spans")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50,
@@ -273,6 +274,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``docs`` with n_words, n_removed, removed_spans ([lo, hi) in words) and kept_text (kept
     words joined by a space); the text column itself is unchanged."""
     names = ["n_words", "n_removed", "removed_spans", "kept_text"]
+    # Few documents' spans go to all tasks, and no text is moved; many are joined by a shuffle.
     found = repeated_spans(docs, id_col, text_col, window, hot_rows)
     docs = docs.drop(*[c for c in docs.columns if c.lower() in names])
     key, text = fresh(docs, "key"), fresh(docs, "text")
