@@ -46,6 +46,23 @@ PHRASES = {
     "mit license": "mit",
 }
 
+#: The two conditions that both BSD licenses have, and their disclaimer.
+BSD_CONDITIONS = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+    "following conditions are met: <<var;name=bullet;max=1>> Redistributions of source code must retain the "
+    "<<beginOptional>>above <<endOptional>>copyright notice, this list of conditions and the following disclaimer. "
+    "<<var;name=bullet;max=1>> Redistributions in binary form must reproduce the above copyright notice, this list of "
+    "conditions and the following disclaimer in the documentation and/or other materials provided with the "
+    "distribution. ")
+BSD_WARRANTY = (
+    "This software is provided by <<var;name=holders;max=12>> \"as is\" and any express or implied warranties, including, "
+    "but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed. "
+    "In no event shall <<var;name=holders;max=12>> be liable for any direct, indirect, incidental, special, exemplary, or "
+    "consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use, "
+    "data, or profits; or business interruption) however caused and on any theory of liability, whether in contract, "
+    "strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, "
+    "even if advised of the possibility of such damage")
+
 #: License notices with markup; wording of the licenses, fixed values.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0<<beginOptional>> (the \"License\"); you may not use "
@@ -59,9 +76,21 @@ TEMPLATES = {
     "mit-notice": "<<beginOptional>>Licensed <<endOptional>><<beginOptional>>Released <<endOptional>>under the MIT License",
     "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of <<var;name=work;max=6>> "
                 "and associated documentation files (the \"<<var;name=short;max=3>>\"), to deal in "
-                "<<var;name=short;max=4>> without restriction",
-    "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted "
-                    "provided that the following conditions are met",
+                "<<var;name=short;max=4>> without restriction, including without limitation the rights to use, copy, "
+                "modify, merge, publish, distribute, sublicense, and/or sell copies of <<var;name=short;max=4>>, and to "
+                "permit persons to whom <<var;name=short;max=4>> <<var;name=is;max=1>> furnished to do so, subject to the "
+                "following conditions: The above copyright notice and this permission notice<<beginOptional>> (including "
+                "the next paragraph)<<endOptional>> shall be included in all copies or substantial portions of "
+                "<<var;name=short;max=4>>. <<var;name=short;max=4>> <<var;name=is;max=1>> provided \"as is\", without "
+                "warranty of any kind, express or implied, including but not limited to the warranties of "
+                "merchantability, fitness for a particular purpose and noninfringement. In no event shall "
+                "<<var;name=holders;max=12>> be liable for any claim, damages or other liability, whether in an action of "
+                "contract, tort or otherwise, arising from, out of or in connection with <<var;name=short;max=4>> or the "
+                "use or other dealings in <<var;name=short;max=4>>",
+    "bsd-2-clause": BSD_CONDITIONS + BSD_WARRANTY,
+    "bsd-3-clause": BSD_CONDITIONS + "<<var;name=bullet;max=1>> Neither the name<<beginOptional>>s<<endOptional>> of "
+                    "<<var;name=holders;max=15>> nor the names of <<var;name=its;max=3>> contributors may be used to endorse "
+                    "or promote products derived from this software without specific prior written permission. " + BSD_WARRANTY,
     "cc-by-4.0": "Licensed under <<beginOptional>>a <<endOptional>><<beginOptional>>Creative Commons <<endOptional>>CC BY 4.0",
     "cc-by-sa-4.0": "Licensed under <<beginOptional>>a <<endOptional>>CC BY-SA 4.0",
     "cc-by-nc-4.0": "Licensed under <<beginOptional>>a <<endOptional>>CC BY-NC 4.0",

@@ -62,3 +62,42 @@ def test_empty_table_and_clashing_columns(spark):
     r = L.scan_licenses(df).first()
     assert r.n_words == 2 and r.labels == "mit" and r.lang == "en"
     assert L.scan_licenses(df.limit(0)).count() == 0
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify,
+merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished
+to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE
+FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION
+WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+BSD_HEAD = """Copyright (c) 2020, A. N. Other. Redistribution and use in source and binary forms, with or without modification, are
+permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in
+the documentation and/or other materials provided with the distribution.
+"""
+BSD_NAMES = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission.
+"""
+BSD_TAIL = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING,
+BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL
+THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
+(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION)
+HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE)
+ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+
+@pytest.mark.parametrize("text, label", [
+    (MIT, "mit-text"), (MIT.replace("COPYRIGHT HOLDERS", "OWNERS"), "mit-text"), (MIT.replace("substantial", "minor"), ""),
+    (MIT.replace("WITHOUT WARRANTY", "WITH WARRANTY"), ""), (MIT[:MIT.index("including")], ""),
+    (BSD_HEAD + BSD_TAIL, "bsd-2-clause"), (BSD_HEAD + BSD_NAMES + BSD_TAIL, "bsd-3-clause"),
+    (BSD_HEAD + "3. All advertising materials must display an acknowledgement. " + BSD_NAMES.replace("3.", "4.") + BSD_TAIL, ""),
+    (BSD_HEAD + BSD_TAIL.replace("NEGLIGENCE", "MISTAKES"), ""), (BSD_HEAD, "")])
+def test_whole_wording_of_mit_and_bsd(text, label):
+    got = L.Scanner(L.PHRASES, L.TEMPLATES).scan("Preamble. " + text + " int main")
+    assert got[5] == label and (got[6] == 1) == bool(label)
