@@ -1,10 +1,9 @@
 r"""Quality classifier: perplexity under a Kneser-Ney model of trusted text.
 
-Model: interpolated modified Kneser-Ney bigrams over a bounded vocabulary (the
-``vocabulary`` most frequent words of the trusted text, the rest one class that
-spreads its mass over the rare words seen).  It is trained on at most
-``train_rows`` trusted documents (smallest hash of the id), a documented bound; the
-tables by word are bounded by the vocabulary and go to every task, the bigram counts
+Model: interpolated modified Kneser-Ney bigrams over the words that the trusted text
+has more than once (the words met once are one class that spreads its mass over them).
+It is trained on all trusted documents outside the held-back fifth, and the vocabulary
+follows them.  The tables by word, 32 bytes a word, go to every task; the bigram counts
 stay sharded.
 
 Scoring covers every document as a sharded count join:
@@ -36,6 +35,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -46,8 +46,9 @@ from pyspark.sql import functions as F
 
 from .common import Bounded, key_list, mix, stored
 
-VOCABULARY = 32_000
-TRAIN_ROWS = 20_000
+#: None: every word that the trusted text has more than once, every trusted document.
+VOCABULARY: int | None = None
+TRAIN_ROWS: int | None = None
 CHUNK_WORDS = 2_000_000
 
 
@@ -66,8 +67,8 @@ def words_of(text: str | None) -> list[str]:
 
 @dataclass(frozen=True)
 class Tables:
-    """Bounded by the vocabulary; index 0 is the class of other words, 1 the start."""
-    ids: dict[str, int]
+    """By word of the vocabulary; index 0 is the class of other words, 1 the start."""
+    hashes: np.ndarray     # sorted hashes of the words; the first has index 2
     follow: np.ndarray     # p_cont by word: the lower order's probability
     weight: np.ndarray     # by context: mass for the lower order (1 for unseen contexts)
     total: np.ndarray      # by context: number of bigrams
@@ -84,57 +85,84 @@ def discounts(n1: float, n2: float, n3: float, n4: float) -> np.ndarray:
     return np.array([0.0, *[min(max(x, 0.05), i + 0.95) for i, x in enumerate(d)]])
 
 
-def encoder(ids: dict[str, int], limit: int = 400_000) -> Bounded:
-    return Bounded(lambda w: ids.get(plain(w), 0), limit)
+def word_hash(word: str) -> int:
+    return int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def encoder(hashes: np.ndarray, limit: int = 400_000) -> Bounded:
+    def index(word: str) -> int:
+        h = word_hash(plain(word))
+        at = int(np.searchsorted(hashes, h))
+        return at + 2 if at < len(hashes) and hashes[at] == h else 0
+
+    return Bounded(index, limit)
 
 
 def bigram_keys(encode: Bounded, text: str | None) -> np.ndarray:
     words = words_of(text)
     at = np.fromiter(map(encode.__getitem__, words), np.int64, len(words))
-    return np.concatenate([[1], at[:-1]]) << 16 | at if len(at) else at
+    return np.concatenate([[1], at[:-1]]) << 32 | at if len(at) else at
 
 
 def fit(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, shards: int,
-        vocabulary: int = VOCABULARY, train_rows: int = TRAIN_ROWS) -> tuple[Tables, DataFrame] | None:
+        vocabulary: int | None = VOCABULARY, train_rows: int | None = TRAIN_ROWS) -> tuple[Tables, DataFrame] | None:
     """Tables by word, and the bigram counts as (shard, keys, counts) rows; ``trusted`` holds ids."""
-    chosen = (trusted.select(F.col(id_col).alias("__id")).filter(F.col("__id").isNotNull()).distinct()
-              .orderBy(F.xxhash64("__id"), "__id").limit(train_rows))
-    # At most train_rows ids.
-    train = stored(docs.join(F.broadcast(chosen), docs[id_col] == F.col("__id")).select(F.col(text_col).cast("string").alias("text")),
-                   "trusted")
+    chosen = trusted.select(F.col(id_col).alias("__id")).filter(F.col("__id").isNotNull()).distinct()
+    if train_rows is not None:
+        chosen = chosen.orderBy(F.xxhash64("__id"), "__id").limit(train_rows)
+    train = docs.join(key_list(chosen, "trusted"), docs[id_col] == F.col("__id")).select(F.col(text_col).cast("string").alias("text"))
     word = F.explode(F.split(F.lower("text"), r"\s+"))
     words = train.select(word.alias("w")).select(F.regexp_replace("w", r"^[.,;:!?]+|[.,;:!?]+$", "").alias("w")).filter("w <> ''")
     counts = stored(words.groupBy("w").agg(F.count("*").alias("n")), "trusted-words")
-    top = counts.filter("n > 1").orderBy(F.desc("n"), "w").limit(min(vocabulary, 65_000)).collect()
-    rare = counts.count() - len(top)
-    if not top and not rare:
+    top = counts.filter("n > 1")
+    if vocabulary is not None:
+        top = top.orderBy(F.desc("n"), "w").limit(vocabulary)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([word_hash(w.as_py()) for w in batch.column("w")], pa.int64())], ["h"])
+
+    # A number per word; Arrow columns, no row objects on the driver.
+    hashes = np.unique(top.select("w").mapInArrow(hashed, "h long").toArrow().column("h").to_numpy())
+    rare = counts.count() - len(hashes)
+    if not len(hashes) and not rare:
         return None
-    ids = {r["w"]: i + 2 for i, r in enumerate(top)}
-    size = len(ids) + 2
+    size = len(hashes) + 2
+    shared = docs.sparkSession.sparkContext.broadcast(hashes)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, keys = encoder(ids), []
+        encode, keys = encoder(shared.value), []
+        words = 0
+
+        def flush() -> pa.RecordBatch:
+            k, n = np.unique(np.concatenate([np.empty(0, np.int64), *keys]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["k", "n"])
+
         for batch in batches:
-            keys += [bigram_keys(encode, t.as_py()) for t in batch.column("text")]
-        k, n = np.unique(np.concatenate([np.empty(0, np.int64), *keys]), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["k", "n"])
+            for text in batch.column("text"):
+                keys.append(bigram_keys(encode, text.as_py()))
+                words += len(keys[-1])
+                if words >= CHUNK_WORDS:
+                    yield flush()
+                    keys, words = [], 0
+        yield flush()
 
     bigrams = stored(train.mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")), "trusted-bigrams")
     of_counts = {r["n"]: r["m"] for r in bigrams.filter("n <= 4").groupBy("n").agg(F.count("*").alias("m")).collect()}
     d = discounts(*[of_counts.get(i, 0) for i in (1, 2, 3, 4)])
-    left = bigrams.groupBy(F.shiftright("k", 16).alias("v")).agg(
-        F.sum("n").alias("c"), *[F.sum((F.least("n", F.lit(3)) == i).cast("long")).alias(f"m{i}") for i in (1, 2, 3)])
-    weight, total = np.ones(size), np.zeros(size)
-    for r in left.collect():      # a row per word of the vocabulary at most
-        total[r["v"]] = r["c"]
-        weight[r["v"]] = (d[1] * r["m1"] + d[2] * r["m2"] + d[3] * r["m3"]) / r["c"]
+    left = bigrams.groupBy(F.shiftright("k", 32).alias("v")).agg(
+        F.sum("n").alias("c"), *[F.sum((F.least("n", F.lit(3)) == i).cast("long")).alias(f"m{i}") for i in (1, 2, 3)]).toArrow()
+    weight, total = np.ones(size), np.zeros(size)      # a row per word of the vocabulary at most
+    v, c, m1, m2, m3 = (left.column(x).to_numpy() for x in ("v", "c", "m1", "m2", "m3"))
+    total[v] = c
+    weight[v] = (d[1] * m1 + d[2] * m2 + d[3] * m3) / c
     follow = np.zeros(size)
-    for r in bigrams.groupBy(F.col("k").bitwiseAND(0xFFFF).alias("w")).agg(F.count("*").alias("m")).collect():
-        follow[r["w"]] = r["m"]
+    right = bigrams.groupBy(F.col("k").bitwiseAND(F.lit(0xFFFFFFFF)).alias("w")).agg(F.count("*").alias("m")).toArrow()
+    follow[right.column("w").to_numpy()] = right.column("m").to_numpy()
     # Lower order: continuation counts, discounted and interpolated with the uniform distribution.
     types = (follow > 0).sum()
     lower = (np.maximum(follow - 0.75, 0) + 0.75 * types / size) / max(1.0, follow.sum())
-    tables = Tables(ids, lower, weight, total, d, -float(np.log(max(1, rare))))
+    tables = Tables(hashes, lower, weight, total, d, -float(np.log(max(1, rare))))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,6 +176,15 @@ def fit(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, shards:
     return tables, bigrams.mapInArrow(pack, "shard long, keys binary, counts binary")
 
 
+def squeezed(x: np.ndarray) -> bytes:
+    """Compressed by byte planes: the high bytes are mostly 0."""
+    return zlib.compress(x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def unsqueezed(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(x), np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.int64)
+
+
 def shard_slices(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
     s = (mix(keys.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
     order = np.argsort(s, kind="stable")
@@ -166,7 +203,7 @@ def chunks(rows: DataFrame, tables: Tables, shards: int, chunk_words: int) -> Da
     shared = rows.sparkSession.sparkContext.broadcast(tables)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(shared.value.ids)
+        encode = encoder(shared.value.hashes)
         names = [x.split()[0] for x in schema.split(", ")]
         chunk = TaskContext.get().partitionId() << 32
         keys: list[np.ndarray] = []
@@ -180,9 +217,9 @@ def chunks(rows: DataFrame, tables: Tables, shards: int, chunk_words: int) -> Da
                 o = at[np.argsort(flat[at], kind="stable")]
                 k = flat[o]
                 first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-                delta = np.diff(k[first], prepend=0).astype("<u4")
-                holders = np.diff(first, append=len(k)).astype("<u4")
-                out.append((s, chunk, zlib.compress(delta.tobytes(), 1), zlib.compress(holders.tobytes(), 1),
+                delta = np.diff(k[first], prepend=0)
+                holders = np.diff(first, append=len(k))
+                out.append((s, chunk, squeezed(delta), squeezed(holders),
                             places[o].tobytes(), None, None, None))
             out.append((chunk % shards, chunk, None, None, None, ids, langs, [len(k) for k in keys]))
             types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(id_type),
@@ -221,30 +258,35 @@ def join_shards(sent: DataFrame, model: DataFrame, tables: Tables) -> DataFrame:
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t: Tables = shared.value
-        at, keys, counts = None, np.empty(0, np.int64), np.zeros(1, np.int64)
+        at, keys, counts, held = None, np.empty(0, np.int64), np.zeros(1, np.int64), []
         for batch in batches:
             sums = []
             for shard, chunk, k, h, m in zip(*[batch.column(c).to_pylist() for c in ("shard", "chunk", "keys", "holders", "members")],
                                              strict=True):
                 if shard != at:
                     at, keys, counts = shard, np.empty(0, np.int64), np.zeros(1, np.int64)
-                if chunk == -1:
-                    keys, counts = np.frombuffer(k, np.int64), np.append(np.frombuffer(h, np.int64), 0)
+                    held = []
+                if chunk == -1:      # a shard's counts come in several rows
+                    held.append((np.frombuffer(k, np.int64), np.frombuffer(h, np.int64)))
                     sums.append(None)
                 elif k is None:
                     sums.append(None)
                 else:
-                    key = np.cumsum(np.frombuffer(zlib.decompress(k), "<u4"), dtype=np.int64)
+                    if held:
+                        keys, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+                        order = np.argsort(keys)
+                        keys, counts, held = keys[order], np.append(counts[order], 0), []
+                    key = np.cumsum(unsqueezed(k))
                     spot = np.searchsorted(keys, key)
                     found = np.zeros(len(key), bool)
                     inside = spot < len(keys)
                     found[inside] = keys[spot[inside]] == key[inside]
                     c = np.where(found, counts[spot], 0)
-                    v, w = key >> 16, key & 0xFFFF
+                    v, w = key >> 32, key & 0xFFFFFFFF
                     high = np.maximum(c - t.discount[np.minimum(c, 3)], 0) / np.maximum(t.total[v], 1)
                     logs = np.log(np.maximum(high + t.weight[v] * t.follow[w], 1e-12)) + np.where(w == 0, t.other, 0.0)
                     places = np.frombuffer(m, "<u2")
-                    many = np.frombuffer(zlib.decompress(h), "<u4")
+                    many = unsqueezed(h)
                     sums.append(np.bincount(places, np.repeat(logs, many)).astype("<f8").tobytes())
             out = pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array(sums, pa.binary()),
                                               *[batch.column(c) for c in names[2:]]], names)
@@ -269,7 +311,7 @@ def add_up(joined: DataFrame) -> DataFrame:
 
 
 def score_quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                  vocabulary: int = VOCABULARY, train_rows: int = TRAIN_ROWS, chunk_words: int = CHUNK_WORDS,
+                  vocabulary: int | None = VOCABULARY, train_rows: int | None = TRAIN_ROWS, chunk_words: int = CHUNK_WORDS,
                   shrink_words: float = 20.0, keep_quantile: float = 0.99, min_trusted: int = 30) -> DataFrame:
     """id_col, lang, n_words, perplexity, threshold, kept.  ``trusted`` has the trusted ids.
     ``docs`` should be a table scan or otherwise keep its rows' order when recomputed."""

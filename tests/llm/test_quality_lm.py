@@ -86,3 +86,16 @@ def test_discounts_of_sparse_counts():
     d = K.discounts(100, 40, 20, 12)
     y = 100 / 180
     assert d[1] == pytest.approx(1 - 2 * y * 0.4) and d[2] == pytest.approx(2 - 3 * y * 0.5) and d[3] == pytest.approx(3 - 4 * y * 0.6)
+
+
+def test_counts_in_several_arrow_batches_are_used(spark):
+    """A vocabulary of thousands of words and a shard's counts in several Arrow batches, against brute force."""
+    rnd = random.Random(4)
+    many = [f"w{i}" for i in range(35_000)] * 2
+    rnd.shuffle(many)
+    rows = [(i, " ".join(many[700 * i:700 * i + 700]), "en", "s") for i in range(100)]
+    df, trusted = frame(spark, rows), spark.createDataFrame([(i,) for i in range(100)], "doc_id long")
+    learned = {r.doc_id for r in trusted.filter(~K.held_back(trusted.doc_id)).collect()}
+    want = brute([t for i, t, *_ in rows if i in learned], {i: t for i, t, *_ in rows}, {r[0]: r[2] for r in rows}, vocabulary=None)
+    got = {r.doc_id: r.perplexity for r in K.score_quality(df, trusted).collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(p, rel=1e-9) for i, p in want.items())
