@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import expr as X
-from .slicing import exact_quantiles
+from ..session import materialize
+from .quantiles import exact_quantiles
 
 
 def string_columns(df: DataFrame) -> list[str]:
@@ -226,9 +227,8 @@ def value_frequencies(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def iqr_fences(freq: DataFrame, multiplier: float = 1.5) -> DataFrame:
     """(column, q1, q3, lower_bound, upper_bound, rows) per column.
 
-    Quantiles are exact with linear interpolation (order statistics from prefix
-    sums of the frequency table, NULL values ignored), matching PERCENTILE_CONT
-    and pandas; ``rows`` counts every row, NULLs included.
+    Quantiles are exact with linear interpolation (radix selection on the
+    frequency table, NULL values ignored), matching PERCENTILE_CONT and pandas; ``rows`` counts every row, NULLs included.
     """
     rows = freq.groupBy("column").agg(F.sum("n").alias("rows"))
     q = rows.join(exact_quantiles(freq, ["column"], "value", "n", [0.25, 0.75]).drop("n"), "column", "left")
@@ -243,31 +243,24 @@ def flag_iqr_outliers(df: DataFrame, cols: Sequence[str], multiplier: float = 1.
     """Per-column ``<col>_outlier_flag`` (strictly outside the fences) plus a
     composite flag; returns (flagged frame, report).
 
-    The fences are one row per column; pivoted into one struct they become a
-    single scalar subquery, which Spark evaluates once and hands to every
-    task as a value (no join at all).  The report counts values outside the
-    fences from the value-frequency table, not from the rows.
+    The fences are computed once, from the stored value frequencies: a few passes
+    over distinct values, one row per column, which then enter the plan as literals.
+    So the row pass is a narrow projection over one scan, however many flags it
+    sets.  The report counts values outside the fences from the same frequencies.
     """
-    freq = value_frequencies(df, cols)
-    fences = iqr_fences(freq, multiplier)
-    bounds = (fences.groupBy().pivot("column", list(cols))
-              .agg(F.first("lower_bound").alias("lo"), F.first("upper_bound").alias("hi"))
-              .select(F.struct(*[F.col(f"{c}_{b}") for c in cols for b in ("lo", "hi")])).scalar())
-    flags = {}
-    for c in cols:
-        v = X.num(c)
-        flags[f"{c}_outlier_flag"] = X.flag((v < bounds[f"{c}_lo"]) | (v > bounds[f"{c}_hi"]))
-    any_out = X.flag(sum(expr for expr in flags.values()) > 0)
-    flagged = df.select(*df.columns, *[e.alias(n) for n, e in flags.items()], any_out.alias(any_flag))
-
-    def bound(side: str) -> Column:
-        out = None
-        for c in cols:
-            cond = F.col("column") == c
-            out = F.when(cond, bounds[f"{c}_{side}"]) if out is None else out.when(cond, bounds[f"{c}_{side}"])
-        return out
-
-    lo, hi = bound("lo"), bound("hi")
+    freq = materialize(value_frequencies(df, cols), "value-frequencies")
+    fences = {r["column"]: r for r in iqr_fences(freq, multiplier).collect()}   # one row per column
+
+    def bound(c: str, side: str) -> Column:
+        return F.lit(fences[c][side] if c in fences else None).cast("double")
+
+    flags = {f"{c}_outlier_flag": X.flag((X.num(c) < bound(c, "lower_bound")) | (X.num(c) > bound(c, "upper_bound")))
+             for c in cols}
+    flagged = df.select(*df.columns, *[e.alias(n) for n, e in flags.items()])
+    flagged = flagged.withColumn(any_flag, F.greatest(F.lit(0), *[F.col(n) for n in flags]))
+
+    lo, hi = (F.element_at(F.create_map(*[x for c in cols for x in (F.lit(c), bound(c, side))]), F.col("column"))
+              for side in ("lower_bound", "upper_bound"))
     outside = (F.col("value") < lo) | (F.col("value") > hi)
     report = (freq.groupBy("column")
               .agg(F.sum("n").alias("rows"), F.sum(F.when(outside, F.col("n")).otherwise(0)).alias("outlier_count"))

@@ -17,7 +17,7 @@ from ..functions import expr as X
 from .clean import sentinel_counts  # noqa: F401  (Q2 lives with the cleaning rules)
 from .clean import value_frequencies
 from .segments import present
-from .slicing import exact_quantiles
+from .quantiles import exact_quantiles
 
 
 def _rows(one: DataFrame, specs: list[tuple[str, dict]]) -> DataFrame:
@@ -96,7 +96,7 @@ def profile_numerics(df: DataFrame, cols: Sequence[str], digits: int = 6) -> Dat
     """Q4: count, min, max, mean, median, std, Q1, Q3, skew, IQR, range.
 
     One aggregate pass, reshaped into one row per column.  Quantiles are exact
-    (linear interpolation), from prefix sums of value frequencies; std is the sample standard deviation; skew is
+    (linear interpolation), by radix selection on value frequencies; std is the sample standard deviation; skew is
     bias-corrected (pandas ``skew``).  Mean/std/skew are rounded to
     ``digits`` decimals.
     """

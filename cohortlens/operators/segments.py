@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from .slicing import exact_quantiles, same_keys
+from .quantiles import exact_quantiles
+from .slicing import same_keys
 
 
 @dataclass(frozen=True)
@@ -104,7 +105,7 @@ class Mean(Metric):
 class Median(Metric):
     """PERCENTILE_CONT(q) (exact, linear interpolation) as DOUBLE.
 
-    The exact form ranks the group's value frequencies by prefix sums (see
+    The exact form selects in the group's value frequencies by radix (see
     ``exact_quantiles``), so no task holds a group's values.  ``approx=True`` uses
     the mergeable ``percentile_approx`` sketch in the same aggregate.
     """

@@ -99,36 +99,3 @@ def prefix_sum(df: DataFrame, order_col: str, value_col: str, out: str,
     on = same_keys([F.col(c) for c in g], [F.col(f"_g{i}") for i in range(len(g))]) & (F.col("_slice") == F.col("_s"))
     return (local.join(tot, on).withColumn(out, F.col("_offset") + F.col("_local"))
             .drop("_slice", "_offset", "_local", "_s", *[f"_g{i}" for i in range(len(g))]))
-
-
-def below_rank(below: Column, k: Column, value: Column) -> Column:
-    """Aggregate: the value at 0-based rank ``k`` of a frequency table with prefix sums ``below``."""
-    return F.max(F.when(below <= k, value))
-
-
-def exact_quantiles(freq: DataFrame, group_cols: Sequence[str], value: str, weight: str,
-                    probs: Sequence[float], out: str = "_q", rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
-    """(group..., out array, n): exact quantiles with linear interpolation, from a value-frequency table.
-
-    Order statistics are picked from prefix sums, so no task holds all values of a
-    group.  NULL values carry no rank; ``n`` counts the ranked rows.
-    """
-    g = list(group_cols)
-    f = freq.filter(F.col(value).isNotNull() & (F.col(weight) > 0))
-    total = f.groupBy(*g).agg(F.sum(weight).alias("_n"))
-    f = prefix_sum(f, value, weight, "_below", g, rows_per_slice)
-    if g:
-        total = total.select(*[F.col(c).alias(f"_t{i}") for i, c in enumerate(g)], "_n")
-        f = f.join(total, same_keys([F.col(c) for c in g], [F.col(f"_t{i}") for i in range(len(g))]))
-    else:
-        f = f.withColumn("_n", total.select("_n").scalar())
-    picks = []
-    for i, p in enumerate(probs):
-        at = F.lit(float(p)) * (F.col("_n") - 1)
-        lo = F.floor(at)
-        picks += [below_rank(F.col("_below"), lo, F.col(value)).alias(f"_lo{i}"),
-                  below_rank(F.col("_below"), F.ceil(at), F.col(value)).alias(f"_hi{i}"),
-                  F.first(at - lo).alias(f"_at{i}")]
-    agg = f.groupBy(*g).agg(F.first("_n").cast("long").alias("n"), *picks)
-    q = [F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_at{i}") for i in range(len(probs))]
-    return agg.select(*g, F.array(*[x.cast("double") for x in q]).alias(out), "n")

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import expr as X
-from .slicing import ROWS_PER_SLICE, exact_quantiles, prefix_sum
+from .quantiles import exact_quantiles
+from .slicing import ROWS_PER_SLICE, prefix_sum
 
 try:  # ship the small tail-probability helpers with the UDFs, by value,
     from pyspark import cloudpickle  # so Python workers need no package import
@@ -244,7 +245,7 @@ def mann_whitney_from_freq(freq: DataFrame, rows_per_slice: int = ROWS_PER_SLICE
         F.sum(tie).alias("tie_term"))
     for side in ("n1", "n0"):
         name = f"median{side[1]}"
-        q = exact_quantiles(freq, g, "v", side, [0.5], rows_per_slice=rows_per_slice)
+        q = exact_quantiles(freq, g, "v", side, [0.5])
         if g:
             q = q.select(F.col("g").alias("_qg"), F.col("_q")[0].alias(name))
             agg = agg.join(q, F.col("g").eqNullSafe(F.col("_qg")), "left").drop("_qg")

@@ -398,10 +398,10 @@ def w6(spark, d):
 
 def a7(spark, d):
     """Exact quantiles of a continuous column per group, from sliced prefix sums."""
-    from ..operators.slicing import exact_quantiles
+    from ..operators.quantiles import exact_quantiles
     freq = _lineitem(spark, d).groupBy("l_returnflag", F.col("l_extendedprice").cast("double").alias("v")).agg(
         F.count(F.lit(1)).alias("n"))
-    q = exact_quantiles(freq, ["l_returnflag"], "v", "n", [0.1, 0.5, 0.99], rows_per_slice=2_000)
+    q = exact_quantiles(freq, ["l_returnflag"], "v", "n", [0.1, 0.5, 0.99])
     return q.select("l_returnflag", *[F.round(F.col("_q")[i], 6).alias(n) for i, n in enumerate(("p10", "p50", "p99"))], "n")
 
 
