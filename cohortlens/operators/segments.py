@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -153,6 +154,26 @@ class Distinct(Metric):
         f = F.approx_count_distinct if self.approx else F.countDistinct
         return [f(self.column).alias(self.name)]
 
+    def from_totals(self):
+        if not self.approx:
+            return super().from_totals()
+        return F.coalesce(F.hll_sketch_estimate(f"d_{self.column}"), F.lit(0)).alias(self.name)
+
+
+@dataclass(frozen=True)
+class Entities(Metric):
+    """COUNT(DISTINCT entity), exact, as the number of first rows of an entity.
+
+    For sequenced rows (``seq`` is 1 on exactly one row of every entity) and groups that
+    hold all rows of an entity or none: no entity id is shuffled.  Like COUNT(DISTINCT),
+    a NULL entity is not counted.
+    """
+    column: str = ""
+    seq: str = "encounter_seq"
+
+    def aggs(self):
+        return [F.count_if((F.col(self.seq) == 1) & F.col(self.column).isNotNull()).alias(self.name)]
+
 
 def segment_rates(df: DataFrame, by: Sequence[str | tuple[str, Column]], metrics: Sequence[Metric],
                   min_rows: int | None = None) -> DataFrame:
@@ -189,38 +210,51 @@ class Family:
     """A segment family: a name and up to two (key name, key expression) pairs.
 
     Expressions are zero-argument callables so families can be declared
-    before a Spark session exists.
+    before a Spark session exists.  Families of one ``bundle`` are first aggregated
+    together over all their keys; bundle keys of few joint values.
     """
     name: str
     keys: tuple = ()
+    bundle: str | None = None
 
 
-def segment_cube(df: DataFrame, families, flags, measures) -> DataFrame:
-    """Totals of every family's segments in one scan and one shuffle.
+def segment_cube(df: DataFrame, families, flags, measures, sketches: Sequence[str] = ()) -> DataFrame:
+    """Totals of every family's segments, in two levels.
 
-    Each row is exploded into one (family, k1, k2) entry per family and a
-    single partially-aggregated ``groupBy`` produces, per segment, the row
-    count ``n``, ``s_<flag>`` sums and ``s_<col>_x<scale>`` / ``c_<col>``
-    sums and counts for the means.  ``measures`` is {column: scale}.  The
-    output has one row per segment of every family (small), and
+    A bundle of families is one aggregation of the rows over all its keys (partial on
+    the map side, no copies of rows); its few joint segments are then expanded into one
+    (family, k1, k2) entry per family and added up.  Per segment: the row count ``n``,
+    ``s_<flag>`` sums, ``s_<col>_x<scale>`` / ``c_<col>`` sums and counts for the means
+    (``measures`` is {column: scale}) and, for ``sketches``, a mergeable distinct
+    sketch ``d_<col>``.  The output has one row per segment of every family (small), and
     ``from_cube`` derives any count / sum / rate / mean metric from it.
     Keys are carried as text and cast back by ``from_cube``.
     """
-    entries = []
-    for fam in families:
-        ks = [expr().cast("string") for _, expr in fam.keys]
-        ks += [F.lit(None).cast("string")] * (2 - len(ks))
-        entries.append(F.struct(F.lit(fam.name).alias("family"), ks[0].alias("k1"), ks[1].alias("k2")))
-    values = [F.col(f).alias(f) for f in flags]
-    values += [(F.col(c) * scale if scale != 1 else F.col(c)).cast("long").alias(f"_v_{c}") for c, scale in
-               measures.items()]
-    values += [F.col(c).alias(f"_c_{c}") for c in measures]
-    long = df.select(F.explode(F.array(*entries)).alias("_f"), *values)
     aggs = [F.count(F.lit(1)).alias("n")]
     aggs += [F.sum(f).cast("long").alias(f"s_{f}") for f in flags]
-    aggs += [F.sum(f"_v_{c}").alias(f"s_{c}_x{scale}") for c, scale in measures.items()]
-    aggs += [F.count(f"_c_{c}").alias(f"c_{c}") for c in measures]
-    return long.select("_f.*", *[c for c in long.columns if c != "_f"]).groupBy("family", "k1", "k2").agg(*aggs)
+    aggs += [F.sum((F.col(c) * scale if scale != 1 else F.col(c)).cast("long")).alias(f"s_{c}_x{scale}")
+             for c, scale in measures.items()]
+    aggs += [F.count(c).alias(f"c_{c}") for c in measures]
+    aggs += [F.hll_sketch_agg(F.when(F.col(c).isNotNull(), F.col(c))).alias(f"d_{c}") for c in sketches]
+    totals = ["n", *[f"s_{f}" for f in flags], *[f"s_{c}_x{scale}" for c, scale in measures.items()],
+              *[f"c_{c}" for c in measures]]
+    merge = [F.sum(t).alias(t) for t in totals] + [F.hll_union_agg(f"d_{c}").alias(f"d_{c}") for c in sketches]
+
+    bundles: dict[str, list] = {}
+    for fam in families:
+        bundles.setdefault(fam.bundle or fam.name, []).append(fam)
+    parts = []
+    for members in bundles.values():
+        named = {name: expr for fam in members for name, expr in fam.keys}
+        cols = {name: f"_k{i}" for i, name in enumerate(named)}
+        joint = df.groupBy(*[expr().cast("string").alias(cols[name]) for name, expr in named.items()]).agg(*aggs)
+        entries = []
+        for fam in members:
+            ks = [F.col(cols[name]) for name, _ in fam.keys] + [F.lit(None).cast("string")] * (2 - len(fam.keys))
+            entries.append(F.struct(F.lit(fam.name).alias("family"), ks[0].alias("k1"), ks[1].alias("k2")))
+        joint = joint.filter(F.col("n") > 0)   # an empty table has no segments
+        parts.append(joint.select(F.inline(F.array(*entries)), *totals, *[f"d_{c}" for c in sketches]))
+    return reduce(DataFrame.unionByName, parts).groupBy("family", "k1", "k2").agg(*merge)
 
 
 def from_cube(cube: DataFrame, family: Family, key_types, metrics, min_rows: int | None = None,
@@ -250,11 +284,12 @@ def share_of_total(df: DataFrame, count_col: str, name: str = "pct_of_total",
 def present(df: DataFrame, *order) -> DataFrame:
     """Sort a small report frame (one row per segment) for presentation.
 
-    The rows are gathered into one partition and sorted there, which avoids
-    the range-partition sampling job a global ``orderBy`` would start.  Only
-    for frames bounded by the number of segments.
+    The finished rows are moved into one partition and sorted there, which avoids
+    the range-partition sampling job a global ``orderBy`` would start; the
+    aggregation before it keeps its own partitions (a ``coalesce`` would run it in
+    one task).  Only for frames bounded by the number of segments.
     """
-    return df.coalesce(1).sortWithinPartitions(*order)
+    return df.repartition(1).sortWithinPartitions(*order)
 
 
 def hundredths(c: str | Column) -> Column:

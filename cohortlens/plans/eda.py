@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import expr as X
-from ..operators.segments import (Count, Distinct, Mean, Rate, Sum, adjacent_step, hundredths,
+from ..operators.segments import (Count, Entities, Mean, Rate, Sum, adjacent_step, hundredths,
                                   present, segment_rates, share_of_total, versus_baseline)
 from .kpi import EVENT, kpi_overall, prior_inpatient_band, readmission_status
 
@@ -184,7 +184,7 @@ def rows_per_entity(base: DataFrame) -> DataFrame:
     """Encounters per patient, by patient type."""
     from .kpi import patient_type
     return segment_rates(base, [("patient_type", patient_type())],
-                         [Count("encounters"), Distinct("patients", "patient_nbr")]) \
+                         [Count("encounters"), Entities("patients", "patient_nbr")]) \
         .withColumn("encounters_per_patient", X.round_ratio("encounters", "patients", 2))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import expr as X
-from ..operators.segments import (Count, Distinct, Max, Mean, Median, Min, Rate, Sum,
+from ..operators.segments import (Count, Distinct, Entities, Max, Mean, Median, Min, Rate, Sum,
                                   segment_rates, present)
 
 EVENT = "led_to_30day_readmission"
@@ -28,7 +28,7 @@ def kpi_overall(base: DataFrame) -> DataFrame:
         Sum("readmitted_any", "led_to_any_readmission"),
         Rate("rate_30day_pct", EVENT),
         Rate("rate_any_pct", "led_to_any_readmission"),
-        Distinct("unique_patients", "patient_nbr"),
+        Entities("unique_patients", "patient_nbr"),
         Mean("avg_los_days", "time_in_hospital"),
         Mean("avg_medications", "num_medications"),
     ])
@@ -123,7 +123,7 @@ def patient_type() -> F.Column:
 def kpi_repeat_patients(base: DataFrame) -> DataFrame:
     """K8: repeat versus first-time patients."""
     return segment_rates(base, [("patient_type", patient_type())], [
-        Count("total_encounters"), Distinct("unique_patients", "patient_nbr"),
+        Count("total_encounters"), Entities("unique_patients", "patient_nbr"),
         Sum("readmitted_30day", EVENT), Rate("readmission_rate_pct", EVENT),
         Mean("avg_los_days", "time_in_hospital"), Mean("avg_prior_visits", "total_prior_visits"),
         Mean("avg_medications", "num_medications"),

@@ -120,7 +120,7 @@ def test_changed_input_folder_gives_new_layers(spark):
     from conftest import SMOKE
     from cohortlens.plans.pipeline import build_layers, drop_layers
     work = tempfile.mkdtemp(prefix="cohortlens-input-")
-    for name in ("orders", "lineitem", "customer"):
+    for name in ("orders", "lineitem", "customer", "nation", "region", "supplier", "part"):
         shutil.copy(f"{SMOKE}/{name}.parquet", work)
     before = build_layers(spark, work).raw.count()
     assert build_layers(spark, work) is build_layers(spark, work)
