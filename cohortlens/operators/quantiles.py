@@ -1,11 +1,11 @@
 """Exact quantiles by radix selection on a value-frequency table.
 
 A double is read as a 64-bit number of the same order.  All wanted ranks of all groups
-are narrowed together, ``DIGIT_BITS`` at a time: count the rows of the current prefix by
+are narrowed together, some bits (``DIGITS``) at a time: count the rows of the current prefix by
 their next digit, step over the digits below the rank, and go on inside the digit that
 holds it.  The state is one row per (group, rank) and the counts are at most
-``2 ** DIGIT_BITS`` per row of the state, so nothing is sorted and no task holds the
-values of a group.  Equal values, however many, are one row of the frequency table.
+four million per row of the state, so nothing is sorted and no task holds the
+values of a group.  The first pass already tells whole numbers up to 511 apart.  Equal values, however many, are one row of the frequency table.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .slicing import same_keys
 
-DIGIT_BITS = 16
-LEVELS = 64 // DIGIT_BITS
+#: Bits of each pass: sign, exponent and 8 bits of the fraction, then the rest.
+DIGITS = (20, 22, 22)
 
 _SMALLEST_NORMAL = 2.0 ** -1022
 _FRACTION = 1 << 52
@@ -65,9 +65,9 @@ def exact_quantiles(freq: DataFrame, group_cols: Sequence[str], value: str, weig
 
     ``freq`` is read once: its rows are stored with their ordered bits, and each pass
     reads that table and stores its state.  Ranks whose cell holds a single value are
-    done; the passes end when all are, after ``LEVELS`` passes at the latest.  NULL
+    done; the passes end when all are, after three passes at the latest.  NULL
     values carry no rank; ``n`` counts the ranked rows.  A NULL group is a group; groups
-    without a ranked row are left out.
+    without a ranked row are left out (without group columns: one row of NULLs).
     """
     g = [f"_g{i}" for i in range(len(group_cols))]
     v = F.col(value).cast("double")
@@ -77,7 +77,7 @@ def exact_quantiles(freq: DataFrame, group_cols: Sequence[str], value: str, weig
     rows = materialize(rows, "quantiles")
 
     found, state = [], None
-    for level in range(LEVELS):
+    for level in range(len(DIGITS)):
         state, pending = _narrowed(rows, g, state, level, probs)
         found.append(state.filter(_resolved()))
         if not pending:
@@ -97,12 +97,15 @@ def exact_quantiles(freq: DataFrame, group_cols: Sequence[str], value: str, weig
 
 def _narrowed(rows: DataFrame, g: list[str], state: DataFrame | None, level: int,
               probs: Sequence[float]) -> tuple[DataFrame, int]:
-    """One pass: the stored state with prefixes of ``level + 1`` digits, and how many ranks are still open.
+    """One pass: the stored state with prefixes of ``level + 1`` digits, and how many ranks are open.
 
     State: (g..., _id, _prefix, _rank inside the prefix, _total rows of the group, and
     the prefix's least and greatest value).  The first pass makes it from the ranks.
     """
-    cell = F.shiftright("_bits", 64 - DIGIT_BITS * (level + 1)).alias("_prefix")   # signed: keeps the order
+    def prefix(levels: int) -> Column:
+        return F.shiftright("_bits", 64 - sum(DIGITS[:levels]))     # signed: keeps the order
+
+    cell = prefix(level + 1).alias("_prefix")
     counts = [F.sum("_w").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high")]
     if state is None:
         w = Window.partitionBy(*g)
@@ -112,7 +115,7 @@ def _narrowed(rows: DataFrame, g: list[str], state: DataFrame | None, level: int
     else:
         s = state.select(*[F.col(n).alias(f"_s{n}") for n in g], "_id", F.col("_prefix").alias("_at"), "_rank", "_total")
         inside = rows.join(s, same_keys([F.col(n) for n in g], [F.col(f"_s{n}") for n in g])
-                           & (F.shiftright("_bits", 64 - DIGIT_BITS * level) == F.col("_at")))
+                           & (prefix(level) == F.col("_at")))
         cells = (inside.groupBy(*g, "_id", cell)
                  .agg(*counts, F.first("_rank").alias("_rank"), F.first("_total").alias("_total"))
                  .withColumn("_below", _running(Window.partitionBy(*g, "_id"))))

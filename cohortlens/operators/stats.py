@@ -243,14 +243,16 @@ def mann_whitney_from_freq(freq: DataFrame, rows_per_slice: int = ROWS_PER_SLICE
         F.sum("n1").alias("n1"), F.sum("n0").alias("n0"),
         F.sum(F.col("n1") * F.col("midrank")).alias("r1"),
         F.sum(tie).alias("tie_term"))
-    for side in ("n1", "n0"):
-        name = f"median{side[1]}"
-        q = exact_quantiles(freq, g, "v", side, [0.5])
-        if g:
-            q = q.select(F.col("g").alias("_qg"), F.col("_q")[0].alias(name))
-            agg = agg.join(q, F.col("g").eqNullSafe(F.col("_qg")), "left").drop("_qg")
-        else:
-            agg = agg.withColumn(name, q.select(F.col("_q")[0]).scalar())
+    # Both samples' medians by one selection: the side is one more group.
+    sides = freq.unpivot([*g, "v"], ["n1", "n0"], "_side", "_n")
+    medians = exact_quantiles(sides, [*g, "_side"], "v", "_n", [0.5])
+    medians = medians.groupBy(*g).agg(*[F.max(F.when(F.col("_side") == side, F.col("_q")[0])).alias(f"median{side[1]}")
+                                        for side in ("n1", "n0")])
+    if g:
+        agg = agg.join(medians.withColumnRenamed("g", "_qg"), F.col("g").eqNullSafe(F.col("_qg")), "left").drop("_qg")
+    else:
+        both = medians.select(F.struct("median1", "median0")).scalar()
+        agg = agg.withColumns({"median1": both["median1"], "median0": both["median0"]})
     n1, n0 = F.col("n1").cast("double"), F.col("n0").cast("double")
     nn = n1 + n0
     u1 = F.col("r1") - n1 * (n1 + 1) / 2

@@ -269,6 +269,8 @@ def kpi_view_row_counts(base: DataFrame, cube: DataFrame) -> DataFrame:
     from . import kpi
     served = {"vw_kpi_readmission_by_diagnosis": kpi_by_diagnosis(cube),
               "vw_kpi_readmission_by_disposition": kpi_by_disposition(cube),
+              # K4 has one row per outcome; its medians need not be computed to count them.
+              "vw_kpi_los_by_readmission": _fam(cube, "readmission_status", [Count("encounters")]),
               "vw_kpi_readmission_by_age": kpi_by_age(cube),
               "vw_kpi_readmission_by_specialty": kpi_by_specialty(cube)}
     parts = [(served[name] if name in served else fn(base)).agg(F.count(F.lit(1)).alias("rows"))
