@@ -37,14 +37,42 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Key lists (a few numbers a row) up to this many rows go to all tasks; longer ones are shuffled.
+#: Key lists (a few numbers each) up to this many entries go to all tasks; longer ones are shuffled.
 BROADCAST_ROWS = 500_000
 
 
-def key_list(df: DataFrame, name: str) -> DataFrame:
-    """``df``, a list of keys, stored; with a broadcast hint only if its counted rows are few."""
+def key_list(df: DataFrame, name: str, entries: Column | None = None) -> DataFrame:
+    """``df``, a list of keys, stored; with a broadcast hint only if its counted entries are
+    few.  ``entries``: the entries of a row, where a row holds an array (default 1)."""
     out = stored(df, name)
-    return F.broadcast(out) if out.count() <= BROADCAST_ROWS else out
+    size = out.agg(F.sum(F.lit(1) if entries is None else entries)).first()[0] or 0
+    return F.broadcast(out) if size <= BROADCAST_ROWS else out
+
+
+def lean(fn):
+    """``fn`` for ``mapInArrow``, giving freed memory back to the system when a task ends.
+
+    Python workers are used again by later tasks and stages; memory that the allocators
+    keep would add up over a pipeline of stages."""
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            release_memory()
+    return run
+
+
+def release_memory() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):      # another C library
+        pass
 
 
 def fresh(df: DataFrame, base: str) -> str:

@@ -9,17 +9,20 @@ windows are judged on the input.
    document gives about one *run* of windows per twenty words.
 2. Only anchors seen in two documents or more can hold a repeated window.  They are found
    by a grouped minimum and maximum of the ids, and joined back to the runs.
-3. Reference shards.  Anchors are hashed to shards of bounded expected size; a run's words
-   go to its anchor's shard, the only place where its windows can meet equal ones.  A
+3. Reference shards.  Anchors are hashed to shards of about ``SHARD_ROWS`` runs, those of
+   more runs have a shard of their own, of at most ``hot_rows`` runs; a run's words go to its anchor's shard, the only place where its windows can meet equal ones.  A
    shard's task streams the runs in the order of ids past a suffix automaton of what came
    before: matching statistics (the longest suffix that occurs in the reference) mark every
    window that occurs in an earlier document; the maximal spans are written out, and the
    run's new windows are added to the automaton.  The references grow with the corpus, so
    shards are dealt out instead of being sent to every task.
 4. Very frequent anchors (over ``hot_rows`` runs: a passage in a third of all documents)
-   are not streamed through one task: their windows are compared by 64-bit hash in a
-   grouped minimum with map-side combining.  Both ways give the same spans.
-5. Spans are joined back to the documents by row key and cut out of whole texts.
+   are not streamed through one task: their windows are named by two independent 64-bit
+   hashes of all their words and compared in a grouped minimum with map-side combining.
+   Both ways give the same spans (a false match of 128 bits has a chance below 1e-18 among
+   ten billion windows).
+5. Overlapping spans are merged, joined back to the documents by row key (to all tasks if
+   the counted spans are few) and cut out of whole texts.
 
 Defined cases: null text has no words.  Rows with a null id neither serve as reference
 nor lose words.  Repeated rows (and different texts under one id) never remove each
@@ -30,6 +33,7 @@ input columns of the same name.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,9 +41,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, gram_hash, hash_words, key_list, row_key, space_words, stored
+from .common import fresh, gram_hash, hash_words, key_list, lean, mix, row_key, space_words, stored
 
+SPANS = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 GRAM = 8
+#: Sets the second hash of a window apart from the first.
+SECOND = np.uint64(0x5851F42D4C957F2D)
 HOT_ROWS = 4096
 SHARD_ROWS = 1000
 
@@ -82,64 +89,87 @@ def find_anchors(rows: DataFrame, window: int) -> DataFrame:
                      pa.array([runs[i][1] for i in some], pa.list_(pa.int32())),
                      pa.array([runs[i][2] for i in some], pa.list_(pa.int32()))], ["id", "key", "anchor", "lo", "hi"])
 
-    return rows.mapInArrow(find, f"id {kind}, key long, anchor array<long>, lo array<int>, hi array<int>")
+    return rows.mapInArrow(lean(find), f"id {kind}, key long, anchor array<long>, lo array<int>, hi array<int>")
 
 
 class SuffixAutomaton:
-    """Generalised suffix automaton over words; strings are added one after another."""
+    """Generalised suffix automaton over words; strings are added one after another.
+
+    Kept in flat arrays: most states have one transition, which lies in two of them; the
+    further transitions of the others are entries of one dictionary.
+    """
 
     def __init__(self):
-        self.next: list[dict] = [{}]
-        self.link, self.size = [-1], [0]
+        self.ids: dict[str, int] = {}
+        self.word, self.to = array("i", [-1]), array("i", [-1])
+        self.link, self.size = array("i", [-1]), array("i", [0])
+        self.more: dict[int, int] = {}
+        self.others: dict[int, list[int]] = {}
+
+    def _get(self, state: int, w: int) -> int | None:
+        return self.to[state] if self.word[state] == w else self.more.get(state << 32 | w)
+
+    def _put(self, state: int, w: int, target: int) -> None:
+        first = self.word[state]
+        if first == w or first < 0:
+            self.word[state], self.to[state] = w, target
+            return
+        key = state << 32 | w
+        if key not in self.more:
+            self.others.setdefault(state, []).append(w)
+        self.more[key] = target
+
+    def _state(self, size: int, link: int) -> int:
+        self.word.append(-1)
+        self.to.append(-1)
+        self.size.append(size)
+        self.link.append(link)
+        return len(self.size) - 1
+
+    def _split(self, p: int, w: int, q: int) -> int:
+        """The part of state ``q`` that ``p`` reaches by ``w``, as a state of its own."""
+        clone = self._state(self.size[p] + 1, self.link[q])
+        self.word[clone], self.to[clone] = self.word[q], self.to[q]
+        for x in self.others.get(q, ()):
+            self._put(clone, x, self.more[q << 32 | x])
+        self.link[q] = clone
+        while p >= 0 and self._get(p, w) == q:
+            self._put(p, w, clone)
+            p = self.link[p]
+        return clone
 
     def add(self, words: list) -> None:
-        nxt, link, size = self.next, self.link, self.size
+        get, put, link, size, ids = self._get, self._put, self.link, self.size, self.ids
         last = 0
-        for w in words:
-            p, q = last, nxt[last].get(w)
-            if q is not None and size[q] == size[p] + 1:
-                last = q
+        for word in words:
+            w = ids.setdefault(word, len(ids))
+            q = get(last, w)
+            if q is not None:        # known so far: no new state but for a part of ``q``
+                last = q if size[q] == size[last] + 1 else self._split(last, w, q)
                 continue
-            if q is None:
-                cur = len(nxt)
-                nxt.append({})
-                size.append(size[last] + 1)
-                link.append(0)
-                while p != -1 and w not in nxt[p]:
-                    nxt[p][w] = cur
-                    p = link[p]
-                last = cur
-                if p == -1:
-                    continue
-                q = nxt[p][w]
-                if size[q] == size[p] + 1:
-                    link[cur] = q
-                    continue
-            else:
-                cur = None
-            clone = len(nxt)
-            nxt.append(dict(nxt[q]))
-            size.append(size[p] + 1)
-            link.append(link[q])
-            link[q] = clone
-            if cur is None:
-                last = clone
-            else:
-                link[cur] = clone
-            while p != -1 and nxt[p].get(w) == q:
-                nxt[p][w] = clone
+            new, p = self._state(size[last] + 1, 0), last
+            while p >= 0 and get(p, w) is None:
+                put(p, w, new)
                 p = link[p]
+            if p >= 0:
+                q = get(p, w)
+                link[new] = q if size[q] == size[p] + 1 else self._split(p, w, q)
+            last = new
 
     def ends(self, words: list, least: int) -> list[int]:
         """Positions at which a match of ``least`` words or more ends (matching statistics)."""
-        nxt, link, size = self.next, self.link, self.size
+        get, link, size = self._get, self.link, self.size
         state, n, out = 0, 0, []
-        for i, w in enumerate(words):
-            to = nxt[state].get(w)
+        for i, word in enumerate(words):
+            w = self.ids.get(word)
+            if w is None:
+                state, n = 0, 0
+                continue
+            to = get(state, w)
             while to is None and state:
                 state = link[state]
                 n = size[state]
-                to = nxt[state].get(w)
+                to = get(state, w)
             if to is None:
                 n = 0
             else:
@@ -187,7 +217,7 @@ class Shard:
 
 
 def cut_runs(docs: DataFrame, window: int, hot: bool) -> DataFrame:
-    """Runs with their words (shard, id, key, lo, text), or with window hashes (id, key, lo, hash) of hot anchors."""
+    """Runs with their words (shard, id, key, lo, text), or with the two window hashes (id, key, lo, hash, hash2) of hot anchors."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,10 +232,10 @@ def cut_runs(docs: DataFrame, window: int, hot: bool) -> DataFrame:
                     for r in runs:
                         lo, hi = r["lo"], r["hi"]
                         if hot:
-                            part = gram_hash(h[lo:hi + window], window)
-                            row += [i] * len(part)
+                            part = h[lo:hi + window]
+                            row += [i] * (hi + 1 - lo)
                             los += range(lo, hi + 1)
-                            out += part.view(np.int64).tolist()
+                            out.append(np.stack([gram_hash(part, window), gram_hash(mix(part + SECOND), window)], axis=1))
                         elif (lo, hi) not in done:
                             done.add((lo, hi))
                             row.append(i)
@@ -215,12 +245,14 @@ def cut_runs(docs: DataFrame, window: int, hot: bool) -> DataFrame:
                 take = batch.take(pa.array(row, pa.int32()))
                 columns = [take.column("id"), take.column("key"), pa.array(los, pa.int32())]
                 if hot:
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.int64())], ["id", "key", "lo", "hash"])
+                    names = np.concatenate([np.empty((0, 2), np.uint64), *out]).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(names[:, 0]), pa.array(names[:, 1])],
+                                                     ["id", "key", "lo", "hash", "hash2"])
                 else:
                     yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), *columns, pa.array(out, pa.string())],
                                                      ["shard", "id", "key", "lo", "text"])
 
-    return docs.mapInArrow(cut, f"id {kind}, key long, lo int, hash long" if hot
+    return docs.mapInArrow(lean(cut), f"id {kind}, key long, lo int, hash long, hash2 long" if hot
                            else f"shard long, id {kind}, key long, lo int, text string")
 
 
@@ -238,7 +270,7 @@ def stream_shards(runs: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["key", "lo", "hi"])
 
     return (runs.repartition("shard").sortWithinPartitions("shard", "id", "key", "lo")
-            .mapInArrow(stream, "key long, lo int, hi int"))
+            .mapInArrow(lean(stream), "key long, lo int, hi int"))
 
 
 def repeated_spans(docs: DataFrame, id_col: str, text_col: str, window: int, hot_rows: int) -> DataFrame:
@@ -251,9 +283,11 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, window: int, hot
     shared = (each.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("m"))
               .filter("a < b").select("anchor", "m"))
     shared = stored(shared, "shared-anchors")
-    shards = max(1, (shared.agg(F.sum("m")).first()[0] or 0) // SHARD_ROWS)
+    light = F.col("m") <= SHARD_ROWS
+    shards = max(1, (shared.agg(F.sum(F.when(light, F.col("m")))).first()[0] or 0) // SHARD_ROWS)
+    shard = F.when(light, F.pmod("anchor", F.lit(shards))).otherwise(F.col("anchor"))
     found = (each.select("key", "anchor", "lo", "hi").join(shared, "anchor")
-             .select("key", F.struct("lo", "hi", F.pmod("anchor", F.lit(shards)).alias("shard"), (F.col("m") > hot_rows).alias("hot")).alias("r")))
+             .select("key", F.struct("lo", "hi", shard.alias("shard"), (F.col("m") > hot_rows).alias("hot")).alias("r")))
     # A group is one document's runs.
     runs = stored(found.groupBy("key").agg(F.collect_list("r").alias("runs")), "runs")
     # Documents without a shared anchor (most) need not be moved.
@@ -263,10 +297,30 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, window: int, hot
     if shared.filter(F.col("m") > hot_rows).limit(1).count():
         hot = cut_runs(held.withColumn("runs", F.filter("runs", lambda r: r["hot"])).filter(F.size("runs") > 0), window, hot=True)
         hot = stored(hot, "hot-windows")
-        first = hot.groupBy("hash").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last")
-        more = hot.join(first, "hash").filter("first < id").select("key", "lo", (F.col("lo") + window).alias("hi"))
+        first = (hot.groupBy("hash", "hash2").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+                 .filter("first < last").drop("last"))
+        more = hot.join(first, ["hash", "hash2"]).filter("first < id").select("key", "lo", (F.col("lo") + window).alias("hi"))
         spans_ = spans_.unionAll(more)
-    return key_list(spans_.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans")), "spans")
+    grouped = spans_.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
+    return key_list(merged_spans(grouped), "spans", F.size("spans"))
+
+
+def merged_spans(grouped: DataFrame) -> DataFrame:
+    """key, spans: overlapping and touching spans of the sorted arrays joined."""
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for runs in batch.column("spans").to_pylist():
+                spans: list[dict] = []
+                for r in runs:
+                    if spans and r["lo"] <= spans[-1]["hi"]:
+                        spans[-1]["hi"] = max(spans[-1]["hi"], r["hi"])
+                    else:
+                        spans.append(r)
+                out.append(spans)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, SPANS)], ["key", "spans"])
+
+    return grouped.mapInArrow(lean(merge), "key long, spans array<struct<lo:int,hi:int>>")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50,
@@ -279,38 +333,34 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.drop(*[c for c in docs.columns if c.lower() in names])
     key, text = fresh(docs, "key"), fresh(docs, "text")
     df = docs.withColumn(text, F.col(text_col).cast("string")).withColumn(key, row_key(id_col, text))
-    df = df.join(found.withColumnRenamed("key", "__span_key"), F.col(key) == F.col("__span_key"), "left").drop("__span_key", key)
+    spans_key, spans_col = fresh(df, "span_key"), fresh(df, "spans")
+    df = df.join(found.withColumnsRenamed({"key": spans_key, "spans": spans_col}), F.col(key) == F.col(spans_key), "left")
+    df = df.drop(spans_key, key)
     carried = docs.schema.fields
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in carried)
     schema += "n_words long, n_removed long, removed_spans array<struct<lo:int,hi:int>>, kept_text string"
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
         for batch in batches:
             total, gone, cuts, texts = [], [], [], []
-            for t, runs in zip(batch.column(text), batch.column("spans"), strict=True):
+            for t, runs in zip(batch.column(text), batch.column(spans_col), strict=True):
                 words = space_words(t.as_py())
-                merged: list[list[int]] = []
-                for r in runs.as_py() or ():
-                    if merged and r["lo"] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], r["hi"])
-                    else:
-                        merged.append([r["lo"], r["hi"]])
+                cut = runs.as_py() or []
                 at, kept = 0, []
-                for lo, hi in merged:
-                    kept += words[at:lo]
-                    at = hi
+                for r in cut:
+                    kept += words[at:r["lo"]]
+                    at = r["hi"]
                 kept += words[at:]
                 total.append(len(words))
                 gone.append(len(words) - len(kept))
-                cuts.append([{"lo": a, "hi": b} for a, b in merged])
+                cuts.append(cut)
                 texts.append(b" ".join(kept).decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(f.name) for f in carried]
-                + [pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(cuts, kind), pa.array(texts, pa.string())],
+                + [pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(cuts, SPANS), pa.array(texts, pa.string())],
                 [f.name for f in carried] + names)
 
-    return df.mapInArrow(remove, schema)
+    return df.mapInArrow(lean(remove), schema)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
