@@ -19,7 +19,8 @@ Documents whose sets of word shingles have a Jaccard similarity of at least
    XOR and population count, and checks pairs in the order of their estimates on the
    full sets, skipping pairs that are already connected; it returns only each class's
    link to the smallest class of its part.  Pairs whose estimate is more than ``MARGIN`` standard
-   errors below the threshold are not checked.
+   errors below the threshold are not checked (a pair at the threshold: about one in 1e9, against
+   the bands' one in 1e6).
 5. Families larger than a block are first done block by block; then, for families
    that are still in several parts, the classes outside the largest part meet all
    others, again in pairs of blocks.  No pair list is written and no task holds more
@@ -45,13 +46,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, gram_hash, hash_words, key_list, mix, row_key, space_words, stored
+from .common import fresh, gram_hash, hash_words, key_list, lean, mix, row_key, space_words, stored
 from .components import connected_components
 
 ROWS = 4            # MinHash values in a band
 SAMPLES = 1024      # MinHash values folded into a sketch
 SKETCH_BITS = 8192
-MARGIN = 4.0
+MARGIN = 6.0
 BLOCK = 1024
 
 
@@ -116,7 +117,7 @@ def signatures(rows: DataFrame, k: int, bands: int) -> DataFrame:
                     [batch.column("id"), batch.column("key"), pa.array([len(s) for s in sets], pa.int64()),
                      pa.array(v, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "key", "n", "v", "bands"])
 
-    return rows.mapInArrow(sign, f"id {kind}, key long, n long, v long, bands array<long>")
+    return rows.mapInArrow(lean(sign), f"id {kind}, key long, n long, v long, bands array<long>")
 
 
 def gram_hash_rows(m: np.ndarray) -> np.ndarray:
@@ -141,7 +142,7 @@ def sketches(classes: DataFrame, k: int) -> DataFrame:
                      pa.array([odd_sketch(s, mult).tobytes() for s in sets], pa.binary())],
                     ["v", "family", "shingles", "sketch"])
 
-    return classes.select("v", "family", "text").mapInArrow(make, "v long, family long, shingles binary, sketch binary")
+    return classes.select("v", "family", "text").mapInArrow(lean(make), "v long, family long, shingles binary, sketch binary")
 
 
 def forest(pdf: pd.DataFrame, num: int, den: int, across: bool) -> pd.DataFrame:
@@ -275,8 +276,8 @@ def one_per_group(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", tex
     rows = found.groupBy("__group", "__key").agg(F.count("*").alias("m")).join(best, F.col("__group") == F.col("g"))
     gone = key_list(rows.filter((F.col("__key") != F.col("best")) | (F.col("m") > 1)).select("__key").distinct(), "near-gone")
     again = key_list(rows.filter((F.col("__key") == F.col("best")) & (F.col("m") > 1)).select("__key").distinct(), "near-repeated")
-    key = fresh(docs, "row")
+    key, of = fresh(docs, "row"), fresh(docs, "key")
     keyed = docs.withColumn(key, row_key(id_col, F.col(text_col).cast("string")))
-    once = keyed.join(gone, F.col(key) == F.col("__key"), "left_anti")
-    repeated = keyed.join(again, F.col(key) == F.col("__key"), "left_semi").dropDuplicates([key])
+    once = keyed.join(gone.withColumnRenamed("__key", of), F.col(key) == F.col(of), "left_anti")
+    repeated = keyed.join(again.withColumnRenamed("__key", of), F.col(key) == F.col(of), "left_semi").dropDuplicates([key])
     return once.unionByName(repeated).drop(key)
