@@ -37,11 +37,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_list, row_key, stored
+from .common import fresh, key_list, lean, row_key, stored
 
 BITS = 15
 TRAIN_ROWS = 8_000
-MAX_LANGUAGES = 64
 
 
 def word_grams(word: str) -> list[int]:
@@ -127,15 +126,15 @@ def fit_text_model(rows: DataFrame, train_rows: int) -> tuple[list[str], np.ndar
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(counts[at])],
                                              ["lang", "g", "n"])
 
-    counts = stored(sample.select("text", "declared").mapInArrow(count, "lang string, g long, n long")
+    counts = stored(sample.select("text", "declared").mapInArrow(lean(count), "lang string, g long, n long")
                     .groupBy("lang", "g").agg(F.sum("n").alias("n")), "language-grams")
-    langs = [r["lang"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n"))
-             .orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()]
-    langs.sort()
+    # Every language that the sample declares; the sample's size bounds them.
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
     table = np.ones((1 << BITS, len(langs)))
-    # At most 2 ** BITS rows for each of at most MAX_LANGUAGES languages.
-    for lang, g, n in counts.filter(F.col("lang").isin(langs)).collect() if langs else []:
-        table[g, langs.index(lang)] += n
+    place = {lang: i for i, lang in enumerate(langs)}
+    # At most 2 ** BITS rows for each language.
+    for lang, g, n in counts.collect():
+        table[g, place[lang]] += n
     return langs, np.log(table / table.sum(0)).astype(np.float32)
 
 
@@ -159,7 +158,7 @@ def text_scores(rows: DataFrame, table: np.ndarray, max_grams: int) -> DataFrame
                 + [pa.array(scores, pa.list_(pa.float64())), pa.array(known)],
                 ["id", "key", "declared", "host", "scores", "known"])
 
-    return slim.mapInArrow(score, f"id {kind}, key long, declared string, host string, scores array<double>, known boolean")
+    return slim.mapInArrow(lean(score), f"id {kind}, key long, declared string, host string, scores array<double>, known boolean")
 
 
 def _smoothed(own: list[Column], above: list[Column], weight: float) -> list[Column]:
@@ -235,19 +234,24 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
 
 def page_evidence(pages: DataFrame) -> DataFrame:
     """(id, declared, host) from crawled pages: the document number at the end of the
-    url's path, ``<html lang>`` and the host.  The page with the smallest id speaks."""
+    url's path, the language of the first ``<html ...>`` tag, wherever it stands, and the
+    host.  The smallest page that declares a language speaks, without one the smallest."""
     path = F.regexp_extract("url", r"://[^/?#]*([^?#]*)", 1)
     number = F.regexp_extract(path, r"/(\d{1,18})(?:\.html|/)?$", 1)
-    return (pages.select(
-        F.when(number != "", number.cast("long")).alias("id"),
-        F.regexp_extract("html", r"(?is)^.{0,200}?<html[^>]{0,200}?\slang=[\"']?([A-Za-z-]+)", 1).alias("declared"),
-        F.lower(F.regexp_extract("url", r"://([^/?#]*)", 1)).alias("host"), "page_id")
-        .filter(F.col("id").isNotNull())
-        .groupBy("id").agg(F.min(F.struct("page_id", "declared", "host")).alias("p"))
-        .select("id", "p.declared", "p.host"))
+    tag = F.regexp_extract(F.coalesce(F.col("html"), F.lit("")), r"(?i)<html(?:\s[^>]*)?>", 0)
+    found = pages.select(
+        F.when(number != "", number.cast("long")).alias("id"), "page_id",
+        F.regexp_extract(tag, r"(?i)\slang\s*=\s*[\"']?([A-Za-z-]+)", 1).alias("declared"),
+        F.lower(F.regexp_extract("url", r"://([^/?#]*)", 1)).alias("host"))
+    silent = (F.col("declared") == "").alias("silent")
+    return (found.filter(F.col("id").isNotNull())
+            .groupBy("id").agg(F.min(F.struct(silent, "page_id", "declared", "host")).alias("p"))
+            .select("id", "p.declared", "p.host"))
 
 
 def accepted_documents(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rejected rows."""
-    gone = key_list(decisions.filter(~F.col("kept")).select("__key").distinct(), "language-rejected")
-    return docs.join(gone, row_key(id_col, F.col(text_col).cast("string")) == F.col("__key"), "left_anti")
+    key, row = fresh(docs, "key"), fresh(docs, "row")
+    gone = key_list(decisions.filter(~F.col("kept")).select(F.col("__key").alias(key)).distinct(), "language-rejected")
+    keyed = docs.withColumn(row, row_key(id_col, F.col(text_col).cast("string")))
+    return keyed.join(gone, F.col(row) == F.col(key), "left_anti").drop(row)

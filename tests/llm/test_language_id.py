@@ -79,3 +79,21 @@ def test_edge_cases(spark):
     assert kept.columns == df.columns and kept.count() == sum(r.kept for r in got)
     assert L.identify(df.limit(0)).count() == 0
     assert {r.kept for r in L.identify(frame(spark, [(1, "text", None, None)])).collect()} == {False}
+
+
+def test_more_than_64_languages(spark):
+    rows = [(i, " ".join(f"x{i % 70}y{k}" for k in range(20)), chr(97 + i % 70 // 26) + chr(97 + i % 70 % 26), "h") for i in range(280)]
+    got = L.identify(frame(spark, rows)).collect()
+    want = {r[0]: r[2] for r in rows}
+    assert len({r.language for r in got}) == len(set(want.values())) > 64
+    assert sum(r.language == want[r.doc_id] for r in got) > 0.95 * len(rows)
+
+
+def test_markup_language_wherever_the_tag_stands(spark):
+    late = "<!-- " + "x" * 10_000 + " -->\n<html class='" + "y" * 500 + "' lang=\"fr-CA\"><body>"
+    pages = spark.createDataFrame([
+        (1, "http://a.example.com/p/7.html", "<html><body>"), (2, "http://b.example.com/p/7", late),
+        (3, "http://c.example.com/p/8", "<htmlx lang=en><HTML\nLANG = de>"), (4, "http://d.example.com/p/9", None),
+        (5, "http://e.example.com/p/10", "<html><p lang=es>")], "page_id long, url string, html string")
+    got = {r.id: (r.declared, r.host) for r in L.page_evidence(pages).collect()}
+    assert got == {7: ("fr-CA", "b.example.com"), 8: ("de", "c.example.com"), 9: ("", "d.example.com"), 10: ("", "e.example.com")}
