@@ -9,10 +9,6 @@ from . import (alignment, decontaminate, hard_negatives, hash_forest, language_i
                quality_rules, substring_dedup, toxicity, url_filter)
 from .common import read_table
 
-#: Host labels of advertising and gambling sites; the urls seen there make the block list.
-SPAM_LABELS = ("ads-track", "free-bets", "cheap-pills", "spam-farm", "casino-win", "adult-x")
-
-
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document and benchmark item that it leaks."""
     docs, items = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
@@ -20,11 +16,15 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's url against the rules and against the canonical URLs seen on spam hosts."""
+    """Every page's url against the rules and a list: the canonical URLs of pages whose
+    document (the number that ends the path) is labelled toxic."""
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
     host, path = url_filter.url_host(F.col("url")), url_filter.url_path(F.col("url"))
-    spam = host.rlike(r"(^|\.)(" + "|".join(SPAM_LABELS) + r")\.")
-    listed = pages.filter(spam).select(url_filter.canonical_url(host, path).alias("canonical")).distinct()
+    number = F.regexp_extract(path, r"/(\d{1,18})(?:\.html|/)?$", 1)
+    toxic = read_table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id").distinct()
+    listed = (pages.select(F.when(number != "", number.cast("long")).alias("number"),
+                           url_filter.canonical_url(host, path).alias("canonical"))
+              .join(toxic, F.col("number") == F.col("doc_id"), "left_semi").select("canonical").distinct())
     return url_filter.filter_urls(pages, listed).select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -106,10 +106,13 @@ c AS (
          WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule FROM p)
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-       WHEN canonical IN (SELECT canonical FROM c WHERE canonical IS NOT NULL AND regexp_matches(host, '(^|\.)(%SPAM%)\.')) THEN 'block'
+       WHEN canonical IN (
+         SELECT canonical FROM c WHERE canonical IS NOT NULL
+           AND try_cast(regexp_extract(path, '/(\d{1,18})(?:\.html|/)?$', 1) AS BIGINT)
+             IN (SELECT doc_id FROM labels WHERE toxic = 1)) THEN 'block'
        ELSE 'allow' END AS verdict
 FROM c
-""".replace("%SPAM%", "|".join(SPAM_LABELS))
+"""
 
 OP7_SQL = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),

@@ -8,16 +8,16 @@ urls that no rule fits, a list of blocked canonical URLs of any length.
 The list check never sends every url through a join.  The list is hashed into a
 *blocked Bloom filter*: each entry owns one 512-bit block (eight longs) and sets
 one bit in each long, so a probe touches one row of the filter.  The filter is a
-DataFrame with one row per non-empty block.  Urls whose eight bits are all set
-are possible hits; only these go into an exact hash join with the list, on the
-64-bit hash and the URL text, which removes the false positives.
+DataFrame with one row per non-empty block; up to ``broadcast_blocks`` blocks (72
+bytes each) go to all tasks, a larger filter meets the undecided urls by block
+number.  The distinct canonical forms of the urls whose eight bits are all set, the
+possible hits, go into an exact hash join with the list, which removes the false
+positives.  The answer, one row per possible hit, is stored and joined back to the
+undecided pages only: to all tasks if its counted rows are few, else by canonical form.
+Pages that a rule or a missing host decides take part in no join.
 
 Everything is DataFrame expressions (no Python on the executors).  The number of
-blocks follows the counted size of the list (``bits_per_item``).  A filter of up
-to ``broadcast_blocks`` blocks (72 bytes each) is broadcast; a larger one is
-joined on the block number by a shuffle of (hash, row key) pairs.  Block numbers
-are hashes of whole URLs; copies of one url share a block, so urls are reduced to
-their distinct canonical forms before the exact join.
+blocks follows the counted size of the list (``bits_per_item``).
 
 Defined cases: a null url or one without ``://`` has empty host and path, no
 canonical form and the verdict allow.  An empty list blocks nothing.  Repeated
@@ -32,7 +32,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, fresh, key_list
 
 #: (verdict, host, path); fixed values.
 BASE_RULES = (
@@ -112,23 +112,25 @@ def filter_urls(pages: DataFrame, listed: DataFrame, url_col: str = "url", liste
     df = pages.withColumn("host", host).withColumn("path", path)
     df = df.withColumn("canonical", canonical_url(F.col("host"), F.col("path")))
     df = df.withColumn("rule", match_rule(F.col("host"), F.col("path"), rules, "rule"))
-    h = F.xxhash64(F.col("canonical"))
-    probe = F.when(F.col("canonical").isNotNull() & F.col("rule").isNull(), F.pmod(h, F.lit(n_blocks)))
-    df = df.withColumn("__block", probe)
-    blocks = blocks.withColumnRenamed("__slot", "__b")
-    hit = None
-    for i, b in enumerate(_bits(h)):
-        one = F.col(f"__lane{i}").bitwiseAND(b) != 0
-        hit = one if hit is None else hit & one
-    df = (df.join(blocks, F.col("__block") == F.col("__b"), "left")
-          .withColumn("possible_hit", F.coalesce(hit, F.lit(False)))
-          .drop("__block", "__b", *[f"__lane{i}" for i in range(LANES)]))
-    # Exact check of the possible hits only: rows that fail the filter carry a null key,
-    # which no list entry equals.
-    df = df.withColumn("__key", F.when(F.col("possible_hit"), F.col("canonical")))
-    names = listed.groupBy("__listed").agg(F.lit(True).alias("__in"))
-    df = df.join(names, F.col("__key") == F.col("__listed"), "left")
-    df = df.withColumn("listed", F.coalesce(F.col("__in"), F.lit(False))).drop("__key", "__listed", "__in")
+    is_open = F.col("rule").isNull() & F.col("canonical").isNotNull()
+
+    # The filter passes possible hits; only their distinct forms meet the list.
+    hit = F.lit(True)
+    for i, b in enumerate(_bits(F.xxhash64("canonical"))):
+        hit = hit & (F.col(f"__lane{i}").bitwiseAND(b) != 0)
+    possible = (df.filter(is_open).select("canonical", F.pmod(F.xxhash64("canonical"), F.lit(n_blocks)).alias("__block"))
+                .join(blocks, F.col("__block") == F.col("__slot")).filter(hit).select("canonical").distinct())
+    names = listed.distinct().withColumn("__in", F.lit(True))
+    checked = key_list(possible.join(names, F.col("canonical") == F.col("__listed"), "left").select(
+        F.col("canonical").alias("__hit"), F.coalesce("__in", F.lit(False)).alias("__listed")), "url-hits")
+
+    # Pages that a rule or a missing host decides are not joined, so no null key is dealt out.
+    key, flag = fresh(df, "hit"), fresh(df, "listed")
+    checked = checked.withColumnsRenamed({"__hit": key, "__listed": flag})
+    asked = df.filter(is_open).join(checked, F.col("canonical") == F.col(key), "left").withColumns({
+        "possible_hit": F.col(key).isNotNull(), "listed": F.coalesce(F.col(flag), F.lit(False))}).drop(key, flag)
+    decided = df.filter(~is_open).withColumns({"possible_hit": F.lit(False), "listed": F.lit(False)})
     by_rule = match_rule(F.col("host"), F.col("path"), rules, "verdict")
-    return df.withColumn("verdict", F.when(F.col("rule").isNotNull(), by_rule)
-                         .when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow")))
+    return asked.unionByName(decided).withColumn(
+        "verdict", F.when(F.col("rule").isNotNull(), by_rule)
+        .when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow")))
