@@ -36,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 #: Base phrases and their labels; fixed values.
@@ -234,14 +236,15 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", phrases: Mapping[str,
     """``docs`` (less the text column) with the columns of ``RESULT``."""
     names = [f.split()[0] for f in RESULT.split(", ")]
     carried = [f for f in docs.schema.fields if f.name != text_col and f.name.lower() not in names]
-    rows = docs.select(*[F.col(f"`{f.name}`") for f in carried], F.col(text_col).cast("string").alias("__text"))
+    whole = fresh(docs, "text")
+    rows = docs.select(*[F.col(f"`{f.name}`") for f in carried], F.col(text_col).cast("string").alias(whole))
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in carried) + RESULT
     types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(phrases, templates)
         for batch in batches:
-            got = [scanner.scan(t.as_py()) for t in batch.column("__text")]
+            got = [scanner.scan(t.as_py()) for t in batch.column(whole)]
             columns = list(zip(*got, strict=True)) if got else [()] * len(names)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(f.name) for f in carried] + [pa.array(c, t) for c, t in zip(columns, types, strict=True)],

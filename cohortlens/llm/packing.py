@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Bounded, stored
+from .common import Bounded, lean, stored
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
@@ -134,7 +134,7 @@ def tokenize(docs: DataFrame, id_col: str, text_col: str, source_col: str, vocab
                  pa.array(total, pa.int64()), pa.array(ids, pa.binary())],
                 ["row_id", "chunk", "doc_id", "source", "start", "n", "doc_tokens", "ids"])
 
-    return rows.mapInArrow(chunks, schema)
+    return rows.mapInArrow(lean(chunks), schema)
 
 
 def running_start(df: DataFrame, key: str, length: str, out: str, per_block: int = 4096) -> DataFrame:
@@ -231,4 +231,4 @@ def with_crc32(pieces: DataFrame) -> DataFrame:
                 [batch.column(f.name) for f in fields] + [pa.array(sums, pa.int64())],
                 [f.name for f in fields] + ["ids_crc32"])
 
-    return pieces.mapInArrow(crc, schema)
+    return pieces.mapInArrow(lean(crc), schema)

@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bounded, key_list, mix, stored
+from .common import Bounded, key_list, lean, mix, stored
 
 #: None: every word that the trusted text has more than once, every trusted document.
 VOCABULARY: int | None = None
@@ -110,7 +110,8 @@ def fit(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, shards:
     chosen = trusted.select(F.col(id_col).alias("__id")).filter(F.col("__id").isNotNull()).distinct()
     if train_rows is not None:
         chosen = chosen.orderBy(F.xxhash64("__id"), "__id").limit(train_rows)
-    train = docs.join(key_list(chosen, "trusted"), docs[id_col] == F.col("__id")).select(F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("text"))
+    train = texts.join(key_list(chosen, "trusted"), F.col("__doc") == F.col("__id")).select("text")
     word = F.explode(F.split(F.lower("text"), r"\s+"))
     words = train.select(word.alias("w")).select(F.regexp_replace("w", r"^[.,;:!?]+|[.,;:!?]+$", "").alias("w")).filter("w <> ''")
     counts = stored(words.groupBy("w").agg(F.count("*").alias("n")), "trusted-words")
@@ -123,7 +124,7 @@ def fit(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, shards:
             yield pa.RecordBatch.from_arrays([pa.array([word_hash(w.as_py()) for w in batch.column("w")], pa.int64())], ["h"])
 
     # A number per word; Arrow columns, no row objects on the driver.
-    hashes = np.unique(top.select("w").mapInArrow(hashed, "h long").toArrow().column("h").to_numpy())
+    hashes = np.unique(top.select("w").mapInArrow(lean(hashed), "h long").toArrow().column("h").to_numpy())
     rare = counts.count() - len(hashes)
     if not len(hashes) and not rare:
         return None
@@ -147,7 +148,7 @@ def fit(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, shards:
                     keys, words = [], 0
         yield flush()
 
-    bigrams = stored(train.mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")), "trusted-bigrams")
+    bigrams = stored(train.mapInArrow(lean(count), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")), "trusted-bigrams")
     of_counts = {r["n"]: r["m"] for r in bigrams.filter("n <= 4").groupBy("n").agg(F.count("*").alias("m")).collect()}
     d = discounts(*[of_counts.get(i, 0) for i in (1, 2, 3, 4)])
     left = bigrams.groupBy(F.shiftright("k", 32).alias("v")).agg(
@@ -173,7 +174,7 @@ def fit(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, shards:
                     [pa.array([s], pa.int64()), pa.array([k[o].tobytes()], pa.binary()), pa.array([n[o].tobytes()], pa.binary())],
                     ["shard", "keys", "counts"])
 
-    return tables, bigrams.mapInArrow(pack, "shard long, keys binary, counts binary")
+    return tables, bigrams.mapInArrow(lean(pack), "shard long, keys binary, counts binary")
 
 
 def squeezed(x: np.ndarray) -> bytes:
@@ -242,7 +243,7 @@ def chunks(rows: DataFrame, tables: Tables, shards: int, chunk_words: int) -> Da
         if keys:
             yield flush()
 
-    return rows.mapInArrow(make, schema)
+    return rows.mapInArrow(lean(make), schema)
 
 
 def join_shards(sent: DataFrame, model: DataFrame, tables: Tables) -> DataFrame:
@@ -292,7 +293,7 @@ def join_shards(sent: DataFrame, model: DataFrame, tables: Tables) -> DataFrame:
                                               *[batch.column(c) for c in names[2:]]], names)
             yield out.filter(pa.array([c != -1 for c in batch.column("chunk").to_pylist()]))
 
-    return both.mapInArrow(join, schema)
+    return both.mapInArrow(lean(join), schema)
 
 
 def add_up(joined: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bounded
+from .common import Bounded, fresh, lean
 
 BITS = 18
 GRAMS = (3, 4, 5)
@@ -76,12 +76,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, train_rows: int) -> DataFrame:
-    """At most ``train_rows`` labelled documents (text, y)."""
+    """At most ``train_rows`` labelled documents (text, y); of an id's several texts the smallest."""
     chosen = (labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
               .select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("y"))
               .orderBy(F.xxhash64("__id"), "__id", "y").limit(train_rows))
     # The chosen rows are at most train_rows pairs of numbers.
-    return docs.join(F.broadcast(chosen), docs[id_col] == F.col("__id")).select("text", "y")
+    texts = docs.select(F.col(id_col).alias("__doc"), F.col("text").cast("string").alias("__text"))
+    found = texts.join(F.broadcast(chosen), F.col("__doc") == F.col("__id"))
+    return found.groupBy("__id", "y").agg(F.min("__text").alias("text")).select("text", "y")
 
 
 def ratios(train: DataFrame) -> tuple[np.ndarray, np.ndarray, float, float]:
@@ -166,7 +168,8 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     """``docs`` (less the text) with held_out, score and predicted."""
     names = ["score", "predicted"]
     carried = [f for f in docs.schema.fields if f.name != text_col and f.name.lower() not in (*names, "held_out")]
-    rows = docs.select(*[F.col(f"`{f.name}`") for f in carried], F.col(text_col).cast("string").alias("__text"))
+    whole = fresh(docs, "text")
+    rows = docs.select(*[F.col(f"`{f.name}`") for f in carried], F.col(text_col).cast("string").alias(whole))
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in carried) + "score double, predicted int"
     shared = docs.sparkSession.sparkContext.broadcast(model)   # 2 ** BITS floats
 
@@ -175,7 +178,7 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
         sums = Bounded(fitted.word, 500_000)
         for batch in batches:
             z, size = np.zeros(len(batch)), np.zeros(len(batch))
-            for i, text in enumerate(batch.column("__text")):
+            for i, text in enumerate(batch.column(whole)):
                 words = distinct_words(text.as_py())
                 z[i], size[i] = math.fsum(map(sums.__getitem__, words)), len(words)
             z = fitted.bias + fitted.length * np.log1p(size) + z * shrink(size)
@@ -184,5 +187,5 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
                 [batch.column(f.name) for f in carried] + [pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))],
                 [f.name for f in carried] + names)
 
-    out = rows.mapInArrow(score, schema)
+    out = rows.mapInArrow(lean(score), schema)
     return out.withColumn("held_out", F.coalesce(held_out(F.col(id_col)), F.lit(False)))
