@@ -331,8 +331,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Few documents' spans go to all tasks, and no text is moved; many are joined by a shuffle.
     found = repeated_spans(docs, id_col, text_col, window, hot_rows)
     docs = docs.drop(*[c for c in docs.columns if c.lower() in names])
-    key, text = fresh(docs, "key"), fresh(docs, "text")
-    df = docs.withColumn(text, F.col(text_col).cast("string")).withColumn(key, row_key(id_col, text))
+    key, df, text = fresh(docs, "key"), docs, text_col
+    if docs.schema[text_col].dataType.simpleString() != "string":
+        text = fresh(docs, "text")
+        df = docs.withColumn(text, F.col(text_col).cast("string"))
+    df = df.withColumn(key, row_key(id_col, text))
     spans_key, spans_col = fresh(df, "span_key"), fresh(df, "spans")
     df = df.join(found.withColumnsRenamed({"key": spans_key, "spans": spans_col}), F.col(key) == F.col(spans_key), "left")
     df = df.drop(spans_key, key)
@@ -341,24 +344,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     schema += "n_words long, n_removed long, removed_spans array<struct<lo:int,hi:int>>, kept_text string"
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            total, gone, cuts, texts = [], [], [], []
-            for t, runs in zip(batch.column(text), batch.column(spans_col), strict=True):
-                words = space_words(t.as_py())
-                cut = runs.as_py() or []
-                at, kept = 0, []
-                for r in cut:
-                    kept += words[at:r["lo"]]
-                    at = r["hi"]
-                kept += words[at:]
-                total.append(len(words))
-                gone.append(len(words) - len(kept))
-                cuts.append(cut)
-                texts.append(b" ".join(kept).decode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(f.name) for f in carried]
-                + [pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(cuts, SPANS), pa.array(texts, pa.string())],
-                [f.name for f in carried] + names)
+        for big in batches:
+            for start in range(0, len(big), 500):
+                batch = big.slice(start, 500)
+                total, gone, cuts, texts = [], [], [], []
+                for t, runs in zip(batch.column(text), batch.column(spans_col), strict=True):
+                    words = space_words(t.as_py())
+                    cut = runs.as_py() or []
+                    at, kept = 0, []
+                    for r in cut:
+                        kept += words[at:r["lo"]]
+                        at = r["hi"]
+                    kept += words[at:]
+                    total.append(len(words))
+                    gone.append(len(words) - len(kept))
+                    cuts.append(cut)
+                    texts.append(b" ".join(kept).decode("utf-8", "surrogatepass"))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(f.name) for f in carried]
+                    + [pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(cuts, SPANS), pa.array(texts, pa.string())],
+                    [f.name for f in carried] + names)
 
     return df.mapInArrow(lean(remove), schema)
 
