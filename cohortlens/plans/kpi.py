@@ -20,15 +20,19 @@ from ..operators.segments import (Count, Distinct, Entities, Max, Mean, Median,
 EVENT = "led_to_30day_readmission"
 
 
-def kpi_overall(base: DataFrame) -> DataFrame:
-    """K1: one row of headline metrics."""
+def kpi_overall(base: DataFrame, sliced: bool = False) -> DataFrame:
+    """K1: one row of headline metrics.
+
+    Patients are counted by their first row; ``sliced``: the base has lost rows since it
+    was sequenced (maybe first ones), so distinct patients are counted instead."""
+    patients = Distinct if sliced else Entities
     return segment_rates(base, [], [
         Count("total_encounters"),
         Sum("readmitted_30day", EVENT),
         Sum("readmitted_any", "led_to_any_readmission"),
         Rate("rate_30day_pct", EVENT),
         Rate("rate_any_pct", "led_to_any_readmission"),
-        Entities("unique_patients", "patient_nbr"),
+        patients("unique_patients", "patient_nbr"),
         Mean("avg_los_days", "time_in_hospital"),
         Mean("avg_medications", "num_medications"),
     ])

@@ -313,7 +313,7 @@ def s8(spark, d):
 
 def p13(spark, d):
     """Population slice (outlier toggle) on the already-sequenced view."""
-    return kpi_overall(layers(spark, d).base.filter(F.col("any_outlier_flag") == 0))
+    return kpi_overall(layers(spark, d).base.filter(F.col("any_outlier_flag") == 0), sliced=True)
 
 
 def j3(spark, d):
