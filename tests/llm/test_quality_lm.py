@@ -88,6 +88,24 @@ def test_discounts_of_sparse_counts():
     assert d[1] == pytest.approx(1 - 2 * y * 0.4) and d[2] == pytest.approx(2 - 3 * y * 0.5) and d[3] == pytest.approx(3 - 4 * y * 0.6)
 
 
+def test_members_round_trip():
+    import numpy as np
+    runs = [[5], [0, 0, 3, 64_999], [64_999], [1, 2, 2], [0]]
+    places, holders = np.array(sum(runs, []), "<u2"), np.array([len(r) for r in runs])
+    packed = K.squeezed_members(places, np.cumsum(holders) - holders)
+    assert K.unsqueezed_members(packed, holders).tolist() == places.tolist()
+
+
+def test_merged_shards_and_sparse_sums_equal_one_shard(spark, monkeypatch):
+    rnd = random.Random(12)
+    rows = [(i, words(rnd, rnd.randint(1, 30), 300), "en", "s") for i in range(200)]
+    df, trusted = frame(spark, rows), spark.createDataFrame([(i,) for i in range(150)], "doc_id long")
+    got = {r.doc_id: r.perplexity for r in K.score_quality(df, trusted).collect()}
+    monkeypatch.setattr(K, "MIN_SHARDS", 1)
+    one = {r.doc_id: r.perplexity for r in K.score_quality(df, trusted).collect()}
+    assert one.keys() == got.keys() and all(got[i] == pytest.approx(p, rel=1e-9) for i, p in one.items())
+
+
 def test_counts_in_several_arrow_batches_are_used(spark):
     """A vocabulary of thousands of words and a shard's counts in several Arrow batches, against brute force."""
     rnd = random.Random(4)
