@@ -241,6 +241,20 @@ def s7(spark, d):
     return audit(spark.read.parquet(target))
 
 
+def s7_versions(spark, d):
+    """The raw table, then the clean one, published under one path; a row per version that
+    readers can still open, and whether it is the one that they get."""
+    target = _scratch(spark, "clean-versions")
+    S.publish_version(layers(spark, d).raw, target)
+    before = S.read_published(spark, target)          # a reader from before the second publish
+    S.publish_version(layers(spark, d).clean, target, lambda staged: V.pre_export_audit(
+        staged, S_.primary_key, S_.target, S_.valid_target, EXPECTED_FEATURES, S_.sentinel, len(CLEAN_COLS)))
+    rows = F.count(F.lit(1)).alias("rows")
+    keys = F.count_distinct(S_.primary_key).alias("keys")
+    return (before.agg(rows, keys).withColumn("newest", F.lit(False))
+            .unionByName(S.read_published(spark, target).agg(rows, keys).withColumn("newest", F.lit(True))))
+
+
 def s9(spark, d):
     return S.data_dictionary(layers(spark, d).raw, DESCRIPTIONS)
 

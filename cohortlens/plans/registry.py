@@ -583,6 +583,9 @@ register("s4_sql_over_views", O.with_layers(
 register("s6_write_and_confirm", O.with_layers(
     "SELECT COUNT(*) AS rows_written, COUNT(*) AS rows_read_back, TRUE AS confirmed FROM clean", "clean"))(Q.s6)
 register("s7_staged_publish", _v1_sql())(Q.s7)
+register("s7_versioned_publish", O.with_layers(
+    "SELECT COUNT(*) AS \"rows\", COUNT(DISTINCT encounter_id) AS keys, FALSE AS newest FROM raw_ UNION ALL "
+    "SELECT COUNT(*), COUNT(DISTINCT encounter_id), TRUE FROM clean", "clean"))(Q.s7_versions)
 register("s9_data_dictionary", O.with_layers(O.union_all([
     f"SELECT '{c}' AS \"column\", '{t}' AS spark_type, '{Q.DESCRIPTIONS.get(c)}' AS description, "
     f"COUNT({_q(c)}) AS non_null FROM raw_" for c, t in _RT.items()]), "raw"))(Q.s9)

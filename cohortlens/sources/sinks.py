@@ -100,6 +100,65 @@ def staged_publish(df: DataFrame, target: str, audit: Callable[[DataFrame], Data
     return report
 
 
+def publish_version(df: DataFrame, target: str, audit: Callable[[DataFrame], DataFrame] | None = None,
+                    fmt: str = "parquet", keep: int = 2) -> DataFrame:
+    """S7 without a gap: a new version beside the old ones, published by a pointer.
+
+    The rows go to ``<target>/versions/<id>``; if the audit of that copy passes, an empty
+    file ``<target>/pointers/<number>.<id>`` publishes it.  Creating a file is one atomic
+    step on any Hadoop file system, so ``read_published`` finds the old version whole or the
+    new one whole, and no folder is ever renamed.  Of two publishers with the same number
+    the larger id counts as the newer.  The ``keep`` newest versions stay for readers that
+    began earlier; older ones lose their pointer first and are then deleted.  A rejected
+    version is deleted before raising.  Returns the audit report.
+    """
+    from ..operators.audit import enforce
+    if keep < 1:
+        raise ValueError("keep must be at least 1")
+    spark, root = df.sparkSession, target.rstrip("/")
+    version = uuid.uuid4().hex
+    fs, pointers, jvm = _fs(spark, f"{root}/pointers")
+    data = f"{root}/versions/{version}"
+    written = observed_write(df, data, fmt)
+    staged = spark.read.format(fmt).load(data)
+    report = audit(staged) if audit is not None else load_confirmation(written, staged)
+    try:
+        enforce(report, "passed" if "passed" in report.columns else "confirmed")
+    except ValueError:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(data), True)
+        raise
+    fs.mkdirs(pointers)
+    names = _pointers(spark, root)
+    number = int(names[-1].split(".")[0]) + 1 if names else 0
+    name = f"{number:012d}.{version}"
+    if not fs.createNewFile(jvm.org.apache.hadoop.fs.Path(f"{root}/pointers/{name}")):
+        raise OSError(f"{target} could not be pointed at {version}; it is as before")
+    for old in sorted([*names, name])[:-keep]:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{root}/pointers/{old}"), False)
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{root}/versions/{old.split('.')[1]}"), True)
+    return report
+
+
+def _pointers(spark: SparkSession, root: str) -> list[str]:
+    """Names of the pointers, oldest first (``keep`` of them and those being replaced)."""
+    fs, folder, _ = _fs(spark, f"{root}/pointers")
+    return sorted(f.getPath().getName() for f in fs.listStatus(folder)) if fs.exists(folder) else []
+
+
+def published_versions(spark: SparkSession, target: str) -> list[str]:
+    """Folders of the published versions, oldest first."""
+    root = target.rstrip("/")
+    return [f"{root}/versions/{name.split('.')[1]}" for name in _pointers(spark, root)]
+
+
+def read_published(spark: SparkSession, target: str, fmt: str = "parquet") -> DataFrame:
+    """The newest version of a table written by ``publish_version``."""
+    versions = published_versions(spark, target)
+    if not versions:
+        raise FileNotFoundError(f"no published version of {target}")
+    return spark.read.format(fmt).load(versions[-1])
+
+
 def _rename(fs, source, target) -> bool:
     return bool(fs.rename(source, target))
 

@@ -129,3 +129,32 @@ def test_changed_input_folder_gives_new_layers(spark):
     after = build_layers(spark, work).raw.count()
     assert 0 < after < before
     drop_layers(spark, work)
+
+
+def test_versions_are_published_without_a_gap(spark, monkeypatch):
+    import pytest
+
+    from cohortlens.sources import sinks as S
+    target = os.path.join(tempfile.mkdtemp(prefix="cohortlens-versions-"), "table")
+    with pytest.raises(FileNotFoundError):
+        S.read_published(spark, target)
+    S.publish_version(spark.range(20).toDF("k"), target)
+    early, seen = S.read_published(spark, target), []
+    real = S.observed_write
+
+    def watched(df, *args):        # while the next version is being written the old one is read
+        seen.append(S.read_published(spark, target).count())
+        n = real(df, *args)
+        seen.append(S.read_published(spark, target).count())
+        return n
+    monkeypatch.setattr(S, "observed_write", watched)
+    S.publish_version(spark.range(7).toDF("k"), target)
+    assert seen == [20, 20] and S.read_published(spark, target).count() == 7 and early.count() == 20
+    with pytest.raises(ValueError):      # a rejected version is neither seen nor left behind
+        S.publish_version(spark.range(3).toDF("k"), target, lambda t: t.agg(F.lit(False).alias("passed"), F.lit("x").alias("check")))
+    assert S.read_published(spark, target).count() == 7
+    S.publish_version(spark.range(5).toDF("k"), target)
+    assert [spark.read.parquet(v).count() for v in S.published_versions(spark, target)] == [7, 5]
+    assert len(os.listdir(os.path.join(target, "versions"))) == 2
+    with pytest.raises(ValueError):
+        S.publish_version(spark.range(1).toDF("k"), target, keep=0)
