@@ -3,8 +3,8 @@
 Every operator is ``DataFrame -> DataFrame`` (plus, where the analysed
 pipeline prints a report, a second small report DataFrame).  Row-level steps
 are narrow projections and fuse into one code-generated stage; only
-de-duplication (C2) and the IQR fences (C9) need a shuffle, and both
-pre-aggregate on the map side.
+de-duplication (C2) and the IQR fences (C9) need a shuffle: of row digests and
+keys, and of value frequencies; both pre-aggregate on the map side.
 """
 
 from __future__ import annotations
@@ -57,30 +57,78 @@ def sentinel_counts(df: DataFrame, sentinel: str = "?",
 
 # ---------------------------------------------------------------- C2 ------
 
-def remove_duplicates(df: DataFrame, pk: str, flag_col: str = "duplicate_flag") -> DataFrame:
-    """Drop exact duplicate rows, then flag every copy of a conflicting key.
+#: Lists of repeated keys up to this many rows (two numbers each) go to all tasks.
+LIST_ROWS = 500_000
+
+
+def repeated(df: DataFrame, *keys: Column) -> tuple[DataFrame, int]:
+    """(list of the key values that more than one row has, its length); the list is stored.
+
+    Keys are counted with map-side combining, so a hot key costs one row per map task."""
+    names = [f"_k{i}" for i in range(len(keys))]
+    found = (df.select(*[k.alias(n) for k, n in zip(keys, names, strict=True)]).groupBy(*names)
+             .agg(F.count(F.lit(1)).alias("_copies")).filter(F.col("_copies") > 1).select(*names))
+    found = materialize(found, "repeated")
+    return found, found.count()
+
+
+def row_digest(df: DataFrame) -> list[Column]:
+    """128 bits of a row: equal rows (NULL equals NULL, NaN equals NaN) have equal digests."""
+    cols = [F.col(_quoted(c)) for c in df.columns]
+    # Hashes pass over NULLs, so the places of the NULLs are hashed as well.
+    nulls = F.array(*[c.isNull() for c in cols])
+    return [F.xxhash64(*cols, nulls), F.xxhash64(F.lit(1), nulls, *cols)]
+
 
-    ``dropDuplicates`` aggregates partially on the map side, so many copies of
-    one row collapse before the shuffle.
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def drop_exact_duplicates(df: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
+    """``dropDuplicates`` in two phases: only rows that may have a twin are moved.
+
+    First the digests are counted (16 bytes a row are shuffled, not the row).  Rows whose
+    digest is unique have no twin and stay where they are; the others are compared in full
+    by ``dropDuplicates``, so digests that agree by chance do no harm.  The list of repeated
+    digests is counted; beyond ``list_rows`` entries many rows have to be moved anyway and
+    the one-phase way is taken.  ``df`` is read three times: store it first if it is costly.
     """
-    return flag_key_conflicts(df.dropDuplicates(), pk, flag_col)
+    digest = row_digest(df)
+    twins, n = repeated(df, *digest)
+    if n == 0:
+        return df
+    if n > list_rows:
+        return df.dropDuplicates()
+    keyed = df.select("*", *[d.alias(f"_row_digest{i}") for i, d in enumerate(digest)])
+    same = (F.col("_row_digest0") == F.col("_k0")) & (F.col("_row_digest1") == F.col("_k1"))
+    columns = [F.col(_quoted(c)) for c in df.columns]
+    unique = keyed.join(F.broadcast(twins), same, "left_anti").select(*columns)
+    copies = keyed.join(F.broadcast(twins), same, "left_semi").select(*columns)
+    return unique.unionAll(copies.dropDuplicates())
+
+
+def remove_duplicates(df: DataFrame, pk: str, flag_col: str = "duplicate_flag") -> DataFrame:
+    """Drop exact duplicate rows, then flag every copy of a conflicting key."""
+    return flag_key_conflicts(drop_exact_duplicates(df), pk, flag_col)
 
 
-def flag_key_conflicts(deduped: DataFrame, pk: str, flag_col: str = "duplicate_flag") -> DataFrame:
+def flag_key_conflicts(deduped: DataFrame, pk: str, flag_col: str = "duplicate_flag",
+                       list_rows: int = LIST_ROWS) -> DataFrame:
     """Flag (1) every row whose key appears more than once.
 
-    Conflicts are found with a per-key count (partially aggregated, so a hot
-    key costs one row per map task) and joined back; the planner broadcasts
-    the conflict list when it is small and otherwise uses a sort-merge join
-    whose hot partitions AQE splits.  ``deduped`` is read twice, so callers
-    that computed it expensively should persist it first.
+    The keys are counted first (only keys are shuffled).  A list of conflicting keys of up
+    to ``list_rows`` entries goes to the rows, which stay where they are; a longer one is
+    joined by a shuffle, whose hot partitions AQE splits.  ``deduped`` is read twice, so
+    callers that computed it expensively should store it first.
     """
-    conflicts = (deduped.groupBy(F.col(pk).alias("_pk")).agg(F.count(F.lit(1)).alias("_copies"))
-                 .filter(F.col("_copies") > 1).select("_pk", F.lit(1).alias(flag_col)))
+    found, n = repeated(deduped, F.col(pk))
+    if n == 0:
+        return deduped.withColumn(flag_col, F.lit(0))
+    conflicts = found.select(F.col("_k0").alias("_pk"), F.lit(1).alias("_in_conflict"))
     # Null-safe: rows that share a NULL key are in conflict as well.
-    return (deduped.join(conflicts, F.col(pk).eqNullSafe(F.col("_pk")), "left")
-            .withColumn(flag_col, F.coalesce(F.col(flag_col), F.lit(0)).cast("int"))
-            .select(*deduped.columns, flag_col))
+    return (deduped.join(F.broadcast(conflicts) if n <= list_rows else conflicts, F.col(pk).eqNullSafe(F.col("_pk")), "left")
+            .withColumn(flag_col, F.coalesce(F.col("_in_conflict"), F.lit(0)).cast("int"))
+            .select(*[F.col(_quoted(c)) for c in deduped.columns if c != flag_col], flag_col))
 
 
 def entity_frequency(df: DataFrame, entity: str) -> DataFrame:

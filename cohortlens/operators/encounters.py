@@ -26,6 +26,14 @@ BASE_CARRIED = (
 EXCLUSION_FLAGS = ("expired_or_hospice_flag", "gender_invalid_flag")
 
 
+def valid_encounters(clean: DataFrame, carried: Sequence[str] = BASE_CARRIED,
+                     exclusions: Sequence[str] = EXCLUSION_FLAGS) -> DataFrame:
+    """Rows without an exclusion flag, with the view's columns."""
+    for f in exclusions:
+        clean = clean.filter(F.col(f) == 0)
+    return clean.select(*carried)
+
+
 def encounter_base(clean: DataFrame, *, pk: str = "encounter_id", entity: str = "patient_nbr",
                    target: str = "readmitted", carried: Sequence[str] = BASE_CARRIED,
                    exclusions: Sequence[str] = EXCLUSION_FLAGS,
@@ -36,10 +44,7 @@ def encounter_base(clean: DataFrame, *, pk: str = "encounter_id", entity: str =
     no sequence number and makes no patient a repeat patient.  The filter is
     on stored flags and reaches the parquet scan as a pushed filter.
     """
-    valid = clean
-    for f in exclusions:
-        valid = valid.filter(F.col(f) == 0)
-    valid = valid.select(*carried)
+    valid = valid_encounters(clean, carried, exclusions)
     seq = sequence(valid, key=entity, order=[pk], seq="encounter_seq",
                    count="patient_total_encounters", prev={"prior_encounter_id": pk},
                    hot_rows=hot_rows)

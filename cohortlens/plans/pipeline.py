@@ -15,10 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .. import config as C
 from ..operators import clean as CL
-from ..operators.encounters import encounter_base
+from ..operators.encounters import encounter_base, valid_encounters
 from ..operators.features import engineer_features
 from ..session import drop_stored, materialize
 from ..sources.adapter import raw_encounters
+from ..sources.sinks import save_bucketed
 
 MISSING_POLICY = dict(
     presence_flags={"weight": "weight_available"},
@@ -36,10 +37,12 @@ def clean_encounters(raw: DataFrame, schema: C.EncounterSchema = C.ENCOUNTERS,
     list they are written once to the checkpoint folder and the stored frame is
     appended, so the de-duplication shuffle runs once.
     """
-    df = CL.replace_sentinel(raw, schema.sentinel).dropDuplicates()
+    df = CL.replace_sentinel(raw, schema.sentinel)
     if cached is not None:
-        df = materialize(df, "deduplicated")
+        df = materialize(CL.drop_exact_duplicates(df), "deduplicated")
         cached.append(df)
+    else:
+        df = df.dropDuplicates()
     df = CL.flag_key_conflicts(df, schema.primary_key)
     df = CL.treat_missing(df, **MISSING_POLICY)
     df = CL.correct_dtypes(df, schema.id_cols, schema.numeric_cols)
@@ -94,6 +97,20 @@ def layers_from_raw(raw: DataFrame, materialized: bool = True) -> Layers:
     return Layers(raw, clean, outliers, base, kept)
 
 
+def bucketed_base(clean: DataFrame, table: str, path: str, buckets: int | None = None,
+                  schema: C.EncounterSchema = C.ENCOUNTERS) -> DataFrame:
+    """B0 over a table bucketed by entity (S11): the sequencing windows (W1-W3) read whole
+    entities from their buckets, so the view needs no shuffle, however often it is computed.
+
+    The valid rows are shuffled once, when ``table`` is written to ``path``.  Entities that
+    are hot by ``sequence``'s measure are still cut into slices.
+    """
+    spark = clean.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    save_bucketed(valid_encounters(clean), table, schema.entity_key, [schema.primary_key], buckets, path=path)
+    return encounter_base(spark.table(table), exclusions=())
+
+
 def build_layers(spark: SparkSession, sf_dir: str, materialized: bool = True) -> Layers:
     """Layers of the driver dataset in ``sf_dir`` (through the encounter
     adapter), built once per session, directory and state of its files.

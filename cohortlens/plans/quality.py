@@ -17,7 +17,7 @@ from ..session import checkpoint_dir
 from ..sources import sinks as S
 from .kpi import KPI_VIEW_ORDER, kpi_overall, register_kpi_views
 from .oracle import CLEAN_COLS
-from .pipeline import MISSING_POLICY, build_layers
+from .pipeline import MISSING_POLICY, bucketed_base, build_layers
 
 S_ = C.ENCOUNTERS
 FEATURES = ("num_active_medications", "any_medication_change", "age_midpoint",
@@ -277,6 +277,12 @@ def s11(spark, d):
         .withColumn("rows_out_of_order", unsorted)
 
 
+def s11_bucketed(spark, d):
+    """The base view over a table bucketed by patient: no shuffle for the windows."""
+    path = _scratch(spark, "base-buckets")
+    return bucketed_base(layers(spark, d).clean, "encounters_" + path.rsplit("-", 1)[-1], path)
+
+
 def s4(spark, d):
     """SQL text over registered views."""
     base = layers(spark, d).base

@@ -592,6 +592,7 @@ register("s9_data_dictionary", O.with_layers(O.union_all([
 register("s11_clustered_layout", O.with_layers(
     "SELECT COUNT(*) AS \"rows\", (SELECT COUNT(*) FROM (SELECT DISTINCT patient_nbr FROM base) p) AS entities, "
     "0 AS entities_in_several_files, 0 AS rows_out_of_order FROM base"))(Q.s11)
+register("s11_bucketed_base", O.with_layers("SELECT * FROM base"))(Q.s11_bucketed)
 register("s10_kpi_views_as_sql", O.with_layers(" UNION ALL ".join(
     ["SELECT 'vw_encounter_base' AS view_name, COUNT(*) AS \"rows\" FROM base"]
     + [f"SELECT '{view}' AS view_name, COUNT(*) AS \"rows\" FROM ({K_SQL[key]}) v_{i}"

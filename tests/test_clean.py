@@ -22,6 +22,41 @@ def test_remove_duplicates_flags_key_conflicts(spark):
     assert (s.rows_before, s.rows_after, s.duplicates_removed, s.pk_conflict_rows) == (6, 4, 2, 2)
 
 
+def _rows(df):
+    return sorted(map(repr, df.collect()))
+
+
+def test_two_phase_duplicates_equal_one_phase(spark):
+    nan, none = float("nan"), None
+    rows = [(1, "a", 1.0, [1]), (1, "a", 1.0, [1]), (1, "a", nan, none), (1, "a", nan, none), (2, none, 0.0, [2]), (2, none, -0.0, [2]),
+            (none, "b", none, [none]), (none, "b", none, [none]), (none, none, none, none), (3, "", 1.0, []), (3, none, 1.0, [])]
+    df = spark.createDataFrame([(*r, i % 2 == 9) for i, r in enumerate(rows)], "`k.x` int, `a-b` string, d double, l array<int>, same boolean")
+    want = _rows(df.dropDuplicates())
+    assert _rows(CL.drop_exact_duplicates(df)) == want and len(want) == 7
+    assert _rows(CL.drop_exact_duplicates(df, list_rows=1)) == want
+    alone = spark.range(50).withColumn("v", F.col("id") % 3)
+    assert CL.drop_exact_duplicates(alone).count() == 50
+    assert CL.drop_exact_duplicates(alone.limit(0)).columns == ["id", "v"]
+
+
+def test_digests_that_agree_by_chance_keep_both_rows(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (3, "c")], "k long, v string")
+    monkeypatch.setattr(CL, "row_digest", lambda _: [F.lit(5), F.lit(6)])
+    assert _rows(CL.drop_exact_duplicates(df)) == _rows(df.dropDuplicates())
+
+
+def test_rows_without_a_twin_are_not_shuffled(spark):
+    df = spark.range(1000).withColumn("v", F.concat(F.lit("text "), F.col("id").cast("string")))
+    df = df.unionAll(df.filter("id < 5"))
+    plan = CL.drop_exact_duplicates(df)._jdf.queryExecution().executedPlan().toString()
+    moved = plan[plan.index("Exchange hashpartitioning"):]
+    assert plan.count("Exchange hashpartitioning") == 1 and "LeftSemi" in moved and "LeftAnti" not in moved
+    plan = CL.flag_key_conflicts(df, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
+    flags = CL.flag_key_conflicts(df, "id"), CL.flag_key_conflicts(df, "id", list_rows=1)
+    assert _rows(flags[0]) == _rows(flags[1]) and flags[0].filter("duplicate_flag = 1").count() == 10
+
+
 def test_missing_policy(spark):
     df = spark.createDataFrame([(None, None, None), ("75", "x", "250")], "weight string, payer string, diag string")
     out = CL.treat_missing(df, presence_flags={"weight": "w_av"}, fills={"payer": "Unknown"},

@@ -41,6 +41,18 @@ def test_base_view_plan_is_one_exchange_with_pushed_filters(spark):
     assert "EqualTo(expired_or_hospice_flag,0)" in formatted and "EqualTo(gender_invalid_flag,0)" in formatted
 
 
+def test_base_view_over_buckets_has_no_exchange(spark, tmp_path):
+    from cohortlens.plans.pipeline import bucketed_base, build_layers
+    layers = build_layers(spark, SMOKE)
+    got = bucketed_base(layers.clean, "base_in_buckets", str(tmp_path / "t"), buckets=3)
+    assert "Exchange" not in _plan(got)
+    want = layers.base.select(got.columns)
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
+    files = spark.table("base_in_buckets").select("_metadata.file_name").distinct().count()
+    assert files <= 3 * 4
+    spark.sql("DROP TABLE base_in_buckets")
+
+
 def test_no_local_checkpoint_in_library():
     import pathlib
     root = pathlib.Path(__file__).resolve().parents[1] / "cohortlens"
