@@ -8,15 +8,15 @@ so ``sequence`` splits the work:
 * keys with more than ``hot_rows`` rows are cut into ordered slices by split
   points taken from the data (``slicing.ordered_slices``): the slice is an
   expression of the row, so every reader of the sliced frame agrees on it.
-  Window functions run per slice and a small per-slice summary (row count,
-  first and last row) supplies the offsets and the neighbours across slice
-  edges.
+  Window functions run per slice and their rows are stored; a small per-slice
+  summary (row count, first and last row), read from the rows at the slice edges,
+  supplies the offsets and the neighbours across slice edges.
 
 Both ways give the same columns; ``hot_rows`` only decides who does the work.
 Whether any key is hot is decided by one small count (each key's rows are counted
 with map-side combining), so a table without hot keys gets the plain one-shuffle
-plan.  No side is broadcast by hint: the hot-key list and the slice summary are
-joined as the planner sees fit for their size.
+plan.  The hot-key list and the slice summary are stored and counted; short ones go to
+all tasks, so no join gathers the rows of a hot key in one task.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .slicing import ordered_slices
+from ..session import materialize
+from .slicing import ordered_slices, short_list
 
 DEFAULT_HOT_ROWS = 2_000_000
 
@@ -55,9 +56,9 @@ def sequence(df: DataFrame, key: str, order: Sequence[str], *,
 
     hot = (df.groupBy(F.col(key).alias("_hot_key")).agg(F.count(F.lit(1)).alias("_rows"))
            .filter(F.col("_rows") > hot_rows).select("_hot_key", F.lit(1).alias("_hot")))
-    # One small job decides the plan; only the first hot key, if any, reaches
-    # the driver.
-    has_hot = len(hot.take(1)) > 0
+    # One small job decides the plan; only the number of hot keys reaches the driver.
+    hot = materialize(hot, "hot-keys")
+    n_hot = hot.count()
 
     # ---- ordinary keys: one window over the key partition ---------------
     w = Window.partitionBy(key).orderBy(*_order_cols(order))
@@ -71,10 +72,10 @@ def sequence(df: DataFrame, key: str, order: Sequence[str], *,
         add[out] = F.lag(src).over(w)
     for out, src in nxt.items():
         add[out] = F.lead(src).over(w)
-    if not has_hot:
+    if not n_hot:
         out = df.withColumns(add)
         return _finish(out, seq, count)
-    tagged = df.join(hot, F.col(key).eqNullSafe(F.col("_hot_key")), "left").drop("_hot_key")
+    tagged = df.join(short_list(hot, n_hot), F.col(key).eqNullSafe(F.col("_hot_key")), "left").drop("_hot_key")
     cold = tagged.filter(F.col("_hot").isNull())
     cold = cold.withColumns(add).select(*cols, *add.keys())
 
@@ -84,17 +85,18 @@ def sequence(df: DataFrame, key: str, order: Sequence[str], *,
     ws = Window.partitionBy(key, "_slice").orderBy(*_order_cols(order))
     ws_all = Window.partitionBy(key, "_slice")
     carried = sorted(set(prev.values()) | set(nxt.values()))
-    ordkey = F.struct(*[F.col(c) for c in order])
-    local = hot_part.withColumns({
+    local = materialize(hot_part.withColumns({
         "_rn": F.row_number().over(ws),
         "_n": F.count(F.lit(1)).over(ws_all),
         **{f"_lag_{s}": F.lag(s).over(ws) for s in carried},
         **{f"_lead_{s}": F.lead(s).over(ws) for s in carried},
-    })
-    summary = hot_part.groupBy(key, "_slice").agg(
-        F.count(F.lit(1)).alias("_slice_rows"),
-        *([F.min_by(F.struct(*[F.col(s) for s in carried]), ordkey).alias("_first"),
-           F.max_by(F.struct(*[F.col(s) for s in carried]), ordkey).alias("_last")]
+    }), "slices")
+    edges = local.filter((F.col("_rn") == 1) | (F.col("_rn") == F.col("_n")))
+    row = F.struct(*[F.col(s) for s in carried])
+    summary = edges.groupBy(key, "_slice").agg(
+        F.max("_n").alias("_slice_rows"),
+        *([F.first(F.when(F.col("_rn") == 1, row), ignorenulls=True).alias("_first"),
+           F.first(F.when(F.col("_rn") == F.col("_n"), row), ignorenulls=True).alias("_last")]
           if carried else []),
     )
     wk = Window.partitionBy(key).orderBy("_slice")
@@ -105,8 +107,8 @@ def sequence(df: DataFrame, key: str, order: Sequence[str], *,
         **({"_prev_last": F.lag("_last").over(wk), "_next_first": F.lead("_first").over(wk)}
            if carried else {}),
     })
-    summary = summary.withColumnRenamed(key, "_skey").withColumnRenamed("_slice", "_sslice")
-    joined = local.join(summary, F.col(key).eqNullSafe(F.col("_skey")) & (F.col("_slice") == F.col("_sslice")))
+    summary = materialize(summary.withColumnRenamed(key, "_skey").withColumnRenamed("_slice", "_sslice"), "slice-summary")
+    joined = local.join(short_list(summary, summary.count()), F.col(key).eqNullSafe(F.col("_skey")) & (F.col("_slice") == F.col("_sslice")))
     hot_add = {}
     if seq:
         hot_add[seq] = (F.col("_rn") + F.col("_offset")).cast("int")

@@ -72,3 +72,24 @@ def test_hot_keys_with_many_rows_and_extra_columns_equal_a_plain_window(spark):
         digest = F.struct(F.count("*"), F.sum(F.xxhash64(*cols).cast("decimal(38,0)")))
         for _ in range(2):   # every evaluation agrees
             assert got.select(*cols).select(digest).first() == want.select(digest).first()
+
+
+def test_slices_are_found_through_a_tree_of_split_points(spark):
+    """More split points than one node or two levels hold; a row does not meet all of its key's."""
+    from cohortlens.operators.slicing import FANOUT, ordered_slices, split_points
+    df = spark.range(24_000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id") % 3).alias("k"),
+        F.when(F.col("id") % 50 == 0, F.lit(None)).otherwise(F.xxhash64("id") % 5_000).alias("t"), (F.col("id") % 7).alias("o"))
+    for keys in (["k"], []):
+        points = {}
+        for r in split_points(df, keys, ["t", "o"], 20).collect():
+            points.setdefault(r["_k0"] if keys else None, []).append(((r["_o"]["t"] is not None, r["_o"]["t"]), r["_o"]["o"], r["_slice"]))
+        assert all([p[2] for p in sorted(own)] == list(range(1, len(own) + 1)) for own in points.values())
+        assert max(map(len, points.values())) > FANOUT ** 2
+        got = ordered_slices(df, keys, ["t", "o"], 20)
+        assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()
+        rows = got.collect()
+        assert len(rows) == 24_000
+        for r in rows[::37]:
+            at = ((r["t"] is not None, r["t"]), r["o"])
+            assert r["_slice"] == sum(p[:2] <= at for p in points[r["k"] if keys else None])
