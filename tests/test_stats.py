@@ -154,3 +154,19 @@ def test_segment_risk_at_billions_of_rows(spark):
     one = spark.createDataFrame([(3_000_000_000, 5_000_000_000, 600_000_000, 500_000_000)], "n1 long, n0 long, e1 long, e0 long")
     got = risk_from_counts(one).first()
     assert (got.relative_risk, got.pct_higher, got.excess_events) == (2.0, 100.0, 300_000_000.0)
+
+
+def test_rank_test_reads_its_values_once(spark, monkeypatch):
+    """The value frequencies are stored, and ranks over more slices than one tree node has are exact."""
+    stored = []
+    real = S.materialize
+    monkeypatch.setattr(S, "materialize", lambda df, name, **kw: stored.append(name) or real(df, name, **kw))
+    df = spark.range(6_000).select(((F.col("id") * 7919) % 4_001 / 8).alias("x"), (F.col("id") % 3 == 0).alias("first"))
+    got = S.mann_whitney_from_freq(S.rank_frequencies(df, "x", F.col("first")), rows_per_slice=40).first()
+    assert stored == ["rank-frequencies"]
+    rows = [(r["x"], r["first"]) for r in df.collect()]
+    one, other = [[x for x, f in rows if f is side] for side in (True, False)]
+    import bisect
+    other.sort()
+    u1 = sum((bisect.bisect_left(other, x) + bisect.bisect_right(other, x)) / 2 for x in one)
+    assert (got["n1"], got["n0"], got["u1"], got["u2"]) == (2_000, 4_000, u1, 8_000_000 - u1)
