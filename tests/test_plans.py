@@ -58,3 +58,15 @@ def test_no_local_checkpoint_in_library():
     root = pathlib.Path(__file__).resolve().parents[1] / "cohortlens"
     offenders = [str(p) for p in root.rglob("*.py") if "localCheckpoint" in p.read_text()]
     assert not offenders
+
+
+def test_line_items_are_dealt_by_order_once(spark):
+    """The distinct supplier count needs no shuffle of its own."""
+    from cohortlens.sources.adapter import _line_aggregates
+    lines = spark.createDataFrame([(1, 10, 2.0, "R", 5), (1, 11, 3.0, "A", 5), (1, 12, 1.0, "R", 6), (2, 8, 4.0, "N", 7), (None, 4, None, None, None)],
+                                  "l_orderkey long, l_partkey long, l_quantity double, l_returnflag string, l_suppkey long")
+    out = _line_aggregates(lines)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1, plan
+    got = {r["l_orderkey"]: tuple(r)[1:] for r in out.collect()}
+    assert got == {1: (3, 6.0, 2, 1, 0, 2, 33, 1), 2: (1, 4.0, 0, 0, 1, 1, 8, 1), None: (1, None, 0, 0, 0, 0, 4, 1)}
