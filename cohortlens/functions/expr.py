@@ -123,22 +123,42 @@ def _sql_unicode(text: str) -> str:
     return "'" + "".join(f"\\u{ord(ch):04x}" for ch in text) + "'"
 
 
+def _title_sql(x: str) -> str:
+    """``title_case`` of the stripped SQL expression ``x``."""
+    marked = f"regexp_replace({x}, '([^\\\\p{{L}}])', concat('$1', {_sql_unicode(_TITLE_MARK + ' ')}))"
+    general = f"replace(initcap({marked}), {_sql_unicode(_TITLE_MARK + ' ')}, '')"
+    simple = f"translate({x}, '{_ASCII_LETTERS_SPACE}', '') = ''"
+    # Values without letters (codes, bands, doses) have no case to change.
+    caseless = f"upper({x}) = lower({x})"
+    return f"CASE WHEN {simple} THEN initcap({x}) WHEN {caseless} THEN {x} ELSE {general} END"
+
+
 def strip_title_sql(name: str, upper: bool = False) -> str:
     """``title_case(strip(name))`` (optionally upper-cased) as one SQL expression.
 
     The same expression tree as the Column functions, written as text so a
     wide projection costs one call into the JVM per column.
     """
-    x = f"btrim({_sql_ident(name)}, {_sql_unicode(_WHITESPACE)})"
-    marked = f"regexp_replace({x}, '([^\\\\p{{L}}])', concat('$1', {_sql_unicode(_TITLE_MARK + ' ')}))"
-    general = f"replace(initcap({marked}), {_sql_unicode(_TITLE_MARK + ' ')}, '')"
-    simple = f"translate({x}, '{_ASCII_LETTERS_SPACE}', '') = ''"
-    # Values without letters (codes, bands, doses) have no case to change.
-    caseless = f"upper({x}) = lower({x})"
-    out = f"CASE WHEN {simple} THEN initcap({x}) WHEN {caseless} THEN {x} ELSE {general} END"
+    out = _title_sql(f"btrim({_sql_ident(name)}, {_sql_unicode(_WHITESPACE)})")
     return f"upper({out})" if upper else out
 
 
+# Text that ``title_case(strip(x))`` leaves as it is: printable ASCII without spaces in
+# which a capital follows no letter and a small letter follows one.
+_STANDARD_TEXT = r"^[!-@\[-`{-~]*+(?:[A-Z][a-z]*+(?:[!-@\[-`{-~]++|\z))*+\z"
+
+
+def strip_title_all_sql(names: Sequence[str]) -> str:
+    """``title_case(strip(c))`` of many columns as one array, in the order of ``names``.
+
+    One function runs over the array, so the generated code does not grow with the columns;
+    text that is already standard (most of it) costs one match.
+    """
+    general = f"transform(array(btrim(x, {_sql_unicode(_WHITESPACE)})), y -> {_title_sql('y')})[0]"
+    return (f"transform(array({', '.join(map(_sql_ident, names))}), "
+            f"x -> CASE WHEN x RLIKE {_sql_unicode(_STANDARD_TEXT)} THEN x ELSE {general} END)")
+
+
 def split_first(c: ColumnOrName, sep_regex: str = r"\.") -> Column:
     """``astype(str).str.split('.').str[0]`` (NULL stays NULL)."""
     return F.split(col(c), sep_regex).getItem(0)

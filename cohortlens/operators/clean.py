@@ -122,8 +122,6 @@ def flag_key_conflicts(deduped: DataFrame, pk: str, flag_col: str = "duplicate_f
     callers that computed it expensively should store it first.
     """
     found, n = repeated(deduped, F.col(pk))
-    if n == 0:
-        return deduped.withColumn(flag_col, F.lit(0))
     conflicts = found.select(F.col("_k0").alias("_pk"), F.lit(1).alias("_in_conflict"))
     # Null-safe: rows that share a NULL key are in conflict as well.
     return (deduped.join(F.broadcast(conflicts) if n <= list_rows else conflicts, F.col(pk).eqNullSafe(F.col("_pk")), "left")
@@ -185,9 +183,11 @@ def correct_dtypes(df: DataFrame, id_cols: Sequence[str], numeric_cols: Sequence
                    numeric_type: str = "int") -> DataFrame:
     """Code columns -> clean text (drop a ``.0`` suffix); measures -> numbers.
 
-    Unparsable measures become NULL (``try_cast``) instead of failing the job.
+    Unparsable measures become NULL (``try_cast``) instead of failing the job;
+    measures that have the type already stay as they are.
     """
-    ids, nums = set(id_cols), set(numeric_cols)
+    typed = {c for c, t in df.dtypes if t == numeric_type}
+    ids, nums = set(id_cols), set(numeric_cols) - typed
     return df.select(*[
         X.split_first(F.col(c).cast("string")).alias(c) if c in ids
         else F.col(c).cast("string").try_cast(numeric_type).alias(c) if c in nums
@@ -216,17 +216,22 @@ def standardize_text(df: DataFrame, upper_cols: Sequence[str] = (),
                      columns: Sequence[str] | None = None) -> DataFrame:
     """Strip + title-case every string column; ``upper_cols`` upper-cased
     afterwards; then rename (e.g. hyphenated names to snake_case)."""
-    targets = set(columns if columns is not None else string_columns(df))
+    targets = list(columns if columns is not None else string_columns(df))
     uppers = set(upper_cols)
     rename = dict(rename or {})
+    place = {c: i for i, c in enumerate(targets)}
 
     def fix(c: str) -> Column:
-        if c not in targets:
+        if c not in place:
             return F.col(c)
-        # One SQL expression per column (the same tree as title_case(strip(c))).
-        return F.expr(X.strip_title_sql(c, upper=c in uppers))
+        text = F.col("_standard")[place[c]]
+        return F.upper(text) if c in uppers else text
 
-    return df.select(*[fix(c).alias(rename.get(c, c)) for c in df.columns])
+    if not targets:
+        return df.withColumnsRenamed(rename)
+    # One array for all columns (the same as title_case(strip(c)) of each).
+    standard = df.withColumn("_standard", F.expr(X.strip_title_all_sql(targets)))
+    return standard.select(*[fix(c).alias(rename.get(c, c)) for c in df.columns])
 
 
 def vocabulary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -304,8 +309,9 @@ def flag_iqr_outliers(df: DataFrame, cols: Sequence[str], multiplier: float = 1.
 
     flags = {f"{c}_outlier_flag": X.flag((X.num(c) < bound(c, "lower_bound")) | (X.num(c) > bound(c, "upper_bound")))
              for c in cols}
-    flagged = df.select(*df.columns, *[e.alias(n) for n, e in flags.items()])
-    flagged = flagged.withColumn(any_flag, F.greatest(F.lit(0), *[F.col(n) for n in flags]))
+    # The composite flag repeats the comparisons: reading the flags would need a second projection.
+    flagged = df.select(*df.columns, *[e.alias(n) for n, e in flags.items()],
+                        F.greatest(F.lit(0), *flags.values()).alias(any_flag))
 
     lo, hi = (F.element_at(F.create_map(*[x for c in cols for x in (F.lit(c), bound(c, side))]), F.col("column"))
               for side in ("lower_bound", "upper_bound"))

@@ -12,11 +12,11 @@ from ..functions import expr as X
 
 def active_count(cols: Sequence[str], inactive: str = "No"):
     """Number of columns whose value is not ``inactive`` (NULL counts as active)."""
-    return X.row_count([X.not_equal_null_true(c, inactive) for c in cols])
+    return F.size(F.filter(F.array(*cols), lambda v: X.not_equal_null_true(v, inactive)))
 
 
 def any_in(cols: Sequence[str], values: Sequence[str]):
-    return X.row_any([F.col(c).isin(list(values)) for c in cols])
+    return X.flag(F.exists(F.array(*cols), lambda v: F.coalesce(v.isin(list(values)), F.lit(False))))
 
 
 def engineer_features(df: DataFrame, medication_cols: Sequence[str], *,

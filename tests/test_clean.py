@@ -129,3 +129,34 @@ def test_strip_takes_all_unicode_white_space(spark):
     texts = ["\u2003a b\u3000", "\u00a0x\u2028", " plain\t", "", "\u1680"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r.s for r in df.select(X.strip(F.col("t")).alias("s")).collect()] == [t.strip() for t in texts]
+
+
+def test_row_pass_is_two_projections_of_small_methods(spark, monkeypatch):
+    """Generated methods above 8,000 bytes are never compiled by the JVM, unless it is told so."""
+    import re
+
+    from cohortlens import config as C
+    from cohortlens.plans import pipeline
+    from cohortlens.sources.adapter import raw_schema
+    monkeypatch.setattr(CL, "flag_key_conflicts", lambda df, pk: df.withColumn("duplicate_flag", F.lit(0)))
+    monkeypatch.setattr(CL, "iqr_fences", lambda freq, m: spark.createDataFrame([(c, 1.0, 9.0) for c in C.NUMERIC_COLS], "column string, lower_bound double, upper_bound double"))
+    raw = spark.createDataFrame([], raw_schema())
+    clean, _ = pipeline.clean_encounters(raw, cached=[])
+    debug = spark._jvm.org.apache.spark.sql.execution.debug
+    plan = clean._jdf.queryExecution().executedPlan()
+    assert plan.toString().count("Project [") <= 2, plan.toString()
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", getattr(debug, "package").codegenString(plan))]
+    assert sizes and all(n < 8000 for n in sizes), sizes
+
+
+def test_features_of_medications_with_nulls(spark):
+    from cohortlens.operators.features import active_count, any_in
+    df = spark.createDataFrame([("No", "No"), (None, "No"), ("Up", None), ("Steady", "x"), (None, None)], "a string, b string")
+    got = df.select(active_count(["a", "b"]).alias("n"), any_in(["a", "b"], ("Up", "Down")).alias("f"))
+    assert dict(got.dtypes) == {"n": "int", "f": "int"}
+    assert [tuple(r) for r in got.collect()] == [(0, 0), (1, 0), (2, 1), (2, 0), (2, 0)]
+
+
+def test_tables_without_text_keep_their_columns(spark):
+    df = spark.createDataFrame([(1, 2.0)], "`a-b` int, c double")
+    assert CL.standardize_text(df, rename={"a-b": "a_b"}).columns == ["a_b", "c"]

@@ -77,3 +77,14 @@ def test_sql_form_of_strip_title_equals_column_form(spark):
         assert r.a == r.b
         if r.s is not None:
             assert r.a == r.s.strip().title() and r.u == r.s.strip().title().upper()
+
+
+def test_many_texts_in_one_array_equal_each_alone(spark):
+    """Matched text must be exactly text that strip and title case leave as it is."""
+    texts = ["", "No", "no", "NO", "AB", "aB", "Ab", "A", "a", "6a", "6A", "A6b", "A6B", "O'neil", "O'Neil", ">300", "[0-10)", "250.13", "V27", "v27",
+             "No ", " No", "No\n", "\nNo", "No\u2003", "\u00a0x", "Up Down", "Up  down", "up-DOWN", "Up-Down", "Up--Down-", "\u00c4rger", "\u00e4RGER",
+             "St\u00e9", "a\u0001 b", "\u0001", "Tab\there", "?", "Unknown/Invalid", "UNKNOWN/invalid", "'", "`x", "`X", "\\A", "\u01c6", "\u00df", "X\u0301y", None]
+    df = spark.createDataFrame([(t, (t or "") + "Zz") for t in texts], "`a-b` string, y string")
+    got = df.select(F.expr(X.strip_title_all_sql(["a-b", "y"])).alias("t"), F.expr(X.strip_title_sql("a-b")).alias("s"),
+                    F.expr(X.strip_title_sql("y")).alias("u")).collect()
+    assert [list(r.t) for r in got] == [[r.s, r.u] for r in got]
