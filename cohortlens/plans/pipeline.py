@@ -39,7 +39,7 @@ def clean_encounters(raw: DataFrame, schema: C.EncounterSchema = C.ENCOUNTERS,
     """
     df = CL.replace_sentinel(raw, schema.sentinel)
     if cached is not None:
-        df = materialize(CL.drop_exact_duplicates(df), "deduplicated")
+        df = materialize(CL.drop_exact_duplicates(df, key=schema.primary_key), "deduplicated")
         cached.append(df)
     else:
         df = df.dropDuplicates()
