@@ -82,7 +82,8 @@ def layers_from_raw(raw: DataFrame, materialized: bool = True) -> Layers:
 
     The clean table is written once to the checkpoint folder (or persisted
     when none is configured); the base view is computed from it once and
-    kept for the report queries.
+    written as well.  Reports read the columns they need from storage: keeping
+    the whole view in memory cost more than the scans it saved.
     """
     cached: list = []
     clean, outliers = clean_encounters(raw, cached=cached if materialized else None)
@@ -92,7 +93,7 @@ def layers_from_raw(raw: DataFrame, materialized: bool = True) -> Layers:
         # recomputes from the stored raw table when asked.
     base = encounter_base(clean)
     if materialized:
-        base = materialize(base, "base", cache=True)
+        base = materialize(base, "base")
     kept = cached[0] if cached else CL.replace_sentinel(raw, C.ENCOUNTERS.sentinel).dropDuplicates()
     return Layers(raw, clean, outliers, base, kept)
 

@@ -70,3 +70,11 @@ def test_line_items_are_dealt_by_order_once(spark):
     assert plan.split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1, plan
     got = {r["l_orderkey"]: tuple(r)[1:] for r in out.collect()}
     assert got == {1: (3, 6.0, 2, 1, 0, 2, 33, 1), 2: (1, 4.0, 0, 0, 1, 1, 8, 1), None: (1, None, 0, 0, 0, 0, 4, 1)}
+
+
+def test_reports_read_their_columns_of_the_base_view(spark):
+    """A report on two columns does not first copy the whole view into memory."""
+    import __spark_entry__ as E
+    plan = _plan(E.queries()["a20_crosstab_gender_outcome"](spark, SMOKE))
+    assert "InMemoryTableScan" not in plan
+    assert "ReadSchema: struct<readmitted:string,gender:string>" in plan, plan
