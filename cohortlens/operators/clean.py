@@ -10,8 +10,6 @@ keys, and of value frequencies; both pre-aggregate on the map side.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,27 +90,36 @@ def drop_exact_duplicates(df: DataFrame, list_rows: int = LIST_ROWS, key: str |
                           list_keys: int = LIST_NUMBERS) -> DataFrame:
     """``dropDuplicates`` in two phases: only rows that may have a twin are moved.
 
-    Twins agree in every column, so in ``key`` (the primary key, if the table has one): then
-    only rows whose key repeats may have a twin, and one column is read to find them.  Up to
-    ``list_keys`` repeated keys are listed; with more, or without a key, whole rows count.
-
     First the digests are counted (16 bytes a row are shuffled, not the row).  Rows whose
     digest is unique have no twin and stay where they are; the others are compared in full
     by ``dropDuplicates``, so digests that agree by chance do no harm.  The list of repeated
     digests is counted; beyond ``list_rows`` entries many rows have to be moved anyway and
     the one-phase way is taken.  ``df`` is read three times: store it first if it is costly.
+
+    Twins agree in every column, so in ``key`` (the primary key, if the table has one): then
+    only rows whose key repeats may have a twin.  They are found by reading one column, and
+    stored; the rest needs no digests.  Beyond ``list_keys`` repeated keys all rows get digests.
     """
-    digest = row_digest(df) if key is None else [F.xxhash64(F.col(_quoted(key)))]
+    columns = [F.col(_quoted(c)) for c in df.columns]
+    if key is not None:
+        number = F.xxhash64(F.col(_quoted(key)))
+        keys, n = repeated(df, number)
+        if n == 0:
+            return df
+        if n <= list_keys:
+            keyed = df.withColumn("_key_number", number)
+            same = F.col("_key_number") == F.col("_k0")
+            rest = keyed.join(F.broadcast(keys), same, "left_anti").select(*columns)
+            candidates = materialize(keyed.join(F.broadcast(keys), same, "left_semi").select(*columns), "same-key")
+            return rest.unionAll(drop_exact_duplicates(candidates, list_rows))
+    digest = row_digest(df)
     twins, n = repeated(df, *digest)
     if n == 0:
         return df
-    if key is not None and n > list_keys:
-        return drop_exact_duplicates(df, list_rows)
-    if key is None and n > list_rows:
+    if n > list_rows:
         return df.dropDuplicates()
     keyed = df.select("*", *[d.alias(f"_row_digest{i}") for i, d in enumerate(digest)])
-    same = reduce(and_, [F.col(f"_row_digest{i}") == F.col(f"_k{i}") for i in range(len(digest))])
-    columns = [F.col(_quoted(c)) for c in df.columns]
+    same = (F.col("_row_digest0") == F.col("_k0")) & (F.col("_row_digest1") == F.col("_k1"))
     unique = keyed.join(F.broadcast(twins), same, "left_anti").select(*columns)
     copies = keyed.join(F.broadcast(twins), same, "left_semi").select(*columns)
     return unique.unionAll(copies.dropDuplicates())
