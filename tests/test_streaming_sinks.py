@@ -121,11 +121,11 @@ def test_changed_input_folder_gives_new_layers(spark):
     from cohortlens.plans.pipeline import build_layers, drop_layers
     work = tempfile.mkdtemp(prefix="cohortlens-input-")
     for name in ("orders", "lineitem", "customer", "nation", "region", "supplier", "part"):
-        shutil.copy(f"{SMOKE}/{name}.parquet", work)
+        shutil.copyfile(f"{SMOKE}/{name}.parquet", f"{work}/{name}.parquet")
     before = build_layers(spark, work).raw.count()
     assert build_layers(spark, work) is build_layers(spark, work)
     half = spark.read.parquet(f"{SMOKE}/orders.parquet").limit(100)
-    half.toPandas().to_parquet(f"{work}/orders.parquet")
+    half.toPandas().to_parquet(f"{work}/orders.parquet", coerce_timestamps="us")
     after = build_layers(spark, work).raw.count()
     assert 0 < after < before
     drop_layers(spark, work)
